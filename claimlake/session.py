@@ -1,0 +1,26 @@
+"""SparkSession defaults: ANSI, adaptive execution, UTC, Arrow."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+
+
+def build(app: str = "claimlake", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the library's defaults; ``conf`` overrides them (``_`` for ``.`` is not expanded)."""
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
+    for k, v in {**DEFAULTS, **conf}.items():
+        b = b.config(k, v)
+    return b.getOrCreate()
