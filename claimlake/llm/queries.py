@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import near_dup
+from claimlake.llm import bpe, mixing, near_dup, splitter
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,9 +21,53 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(_t(spark, d, "documents"), k=3, least=0.7).withColumnRenamed("id", "doc_id")
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitter.split(splitter.corpus_texts(_t(spark, d, "documents"), _t(spark, d, "qa_items")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the splitter cut: their second piece exists exactly if they are over the limit."""
+    return _pieces(spark, d).where("piece = 1").select("rec_table", "rec_key", "pos").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(_t(spark, d, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Ids decoded again; same is true for every text."""
+    docs = _t(spark, d, "documents")
+    back = bpe.decode(bpe.encode(docs)).withColumnRenamed("text", "back")
+    return docs.select("doc_id", "text").join(back, "doc_id").groupBy((F.coalesce("text", F.lit("")) == F.col("back")).alias("same")).agg(F.count("*").alias("n_docs"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """
+        SELECT 'documents' AS rec_table, CAST(doc_id AS VARCHAR) AS rec_key, CAST(0 AS INTEGER) AS pos FROM documents WHERE length(text) > 2000
+        UNION
+        SELECT 'qa_items', id, CAST(p - 1 AS INTEGER) FROM (SELECT id, contexts, unnest(range(1, len(contexts) + 1)) AS p FROM qa_items) WHERE length(contexts[p]) > 2000
+    """,
+}
