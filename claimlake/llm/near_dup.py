@@ -109,40 +109,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """(members, links): members (id, node, n), links (a, b, jaccard) between different classes, a < b."""
     members = cut_lineage(classes(docs, id_col, text_col, k).dropDuplicates(["id"]))
     cand = cut_lineage(candidates(docs, id_col, text_col, k, least, bands, rows))
-    first = members.groupBy("node").agg(F.min("id").alias("id"))
-    wanted = cand.select(F.col("a").alias("block"), F.col("b").alias("node"), F.lit(1).alias("place")).unionByName(
-        cand.select(F.col("a").alias("block"), F.col("a").alias("node"), F.lit(0).alias("place")).distinct()
-    )
-    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    placed = wanted.join(first, "node").join(text, "id").select("block", "place", "node", "text")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple[int, np.ndarray] | None = None
-        for batch in batches:
-            for o in range(0, batch.num_rows, tiles.TILE):
-                part = batch.slice(o, tiles.TILE)
-                block, place, node = (part[c].to_numpy() for c in ("block", "place", "node"))
-                low = _lowered(part["text"])
-                sets: list[np.ndarray] = []
-                for a, b in textkit.blocks(low):
-                    sets += textkit.shingles(low[a:b], k)
-                at: dict[int, int] = {}
-                if head is not None:
-                    at[head[0]] = len(sets)
-                    sets.append(head[1])
-                for i in np.flatnonzero(place == 0):
-                    at[int(block[i])] = int(i)
-                other = np.flatnonzero(place == 1)
-                left = np.fromiter((at[int(x)] for x in block[other]), np.int64, len(other))
-                j = tiles.jaccard_pairs(sets, left, other, least)
-                ok = j >= least - 1e-9
-                yield pa.RecordBatch.from_pydict({"a": pa.array(block[other][ok]), "b": pa.array(node[other][ok]), "jaccard": pa.array(j[ok])})
-                last = int(block[-1])
-                head = (last, sets[at[last]])
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    decided = placed.repartition(n, "block").sortWithinPartitions("block", "place").mapInArrow(verify, "a long, b long, jaccard double")
-    return members, decided
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"])
+
+    def sets_of(texts: list[str]) -> list[np.ndarray]:
+        low = [t.lower() for t in texts]
+        return [s for a, b in textkit.blocks(low) for s in textkit.shingles(low[a:b], k)]
+
+    return members, tiles.verify(cand, members, text, sets_of, lambda sets, x, y: tiles.jaccard_pairs(sets, x, y, least), least)
 
 
 def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import bpe, mixing, near_dup, splitter
+from claimlake.llm import bpe, mixing, near_dup, spam, split_overlap, splitter
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.pairs(_t(spark, d, "qa_split_items"), 0.8)
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.report(_t(spark, d, "qa_split_items"), 0.8)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     out = near_dup.pairs(_t(spark, d, "documents"), k=3, least=0.7)
     return out.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -53,7 +61,18 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(_t(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p9_by_language(spark: SparkSession, d: str) -> DataFrame:
+    s = spam.score(_t(spark, d, "documents"))
+    return s.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("spam_share") > 0.5).alias("n_spam"), F.round(F.avg("spam_share"), 6).alias("mean_share"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
@@ -62,6 +81,8 @@ QUERIES = {
     "p7_round_trip": p7_round_trip,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_by_language": p9_by_language,
 }
 
 SQL: dict[str, str] = {

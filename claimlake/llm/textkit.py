@@ -78,13 +78,14 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the (already lower-cased) texts in order, and the text that each word is of."""
+def scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the joined texts, the place of each text's closing line feed, and of the words
+    of the (already lower-cased) texts begin, end and hash."""
     alnum, mix = _tables()
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    cp = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends_of = np.cumsum(lengths) - 1
-    cp = np.minimum(cp, LIMIT)
+    cp = np.minimum(raw, LIMIT)
     w = alnum.take(cp)
     w[ends_of] = False
     edge = np.flatnonzero(w[1:] != w[:-1]) + 1
@@ -94,7 +95,18 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(cp))
     sums = np.zeros(len(cp) + 1, _U)
     np.cumsum(mix.take(cp) * up[: len(cp)], out=sums[1:])
-    return mix64((sums[end] - sums[begin]) * down[begin]), np.searchsorted(ends_of, begin).astype(np.int64)
+    return raw, ends_of, begin, end, mix64((sums[end] - sums[begin]) * down[begin])
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the (already lower-cased) texts in order, and the text that each word is of."""
+    _, ends_of, begin, _, h = scan(texts)
+    return h, np.searchsorted(ends_of, begin).astype(np.int64)
+
+
+def hash_of(word: str) -> np.uint64:
+    """Hash of one word."""
+    return words([word])[0][0]
 
 
 def shingles(texts: list[str], k: int) -> list[np.ndarray]:

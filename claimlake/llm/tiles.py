@@ -56,7 +56,7 @@ def scatter(df: DataFrame, entries: Callable[[pa.RecordBatch, set], np.ndarray],
     return df.mapInArrow(run, "part int, block binary")
 
 
-def gather(blocks: DataFrame, reduce: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
+def gather(blocks: DataFrame, reduce: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int, entry: np.dtype = ENTRY) -> DataFrame:
     """``reduce`` of all entries of each part; a part is bounded by the choice of ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,12 +65,12 @@ def gather(blocks: DataFrame, reduce: Callable[[np.ndarray], Iterator[pa.RecordB
         for batch in batches:
             for part, block in zip(batch["part"].to_pylist(), batch["block"].to_pylist()):
                 if part != at and held:
-                    yield from reduce(np.frombuffer(b"".join(held), ENTRY))
+                    yield from reduce(np.frombuffer(b"".join(held), entry))
                     held = []
                 at = part
                 held.append(block)
         if held:
-            yield from reduce(np.frombuffer(b"".join(held), ENTRY))
+            yield from reduce(np.frombuffer(b"".join(held), entry))
 
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
@@ -143,6 +143,43 @@ def expand(items: DataFrame) -> DataFrame:
     return items.repartition(max(2, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "a long, b long").distinct()
 
 
+def verify(cand: DataFrame, members: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]], decide: Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
+    """(a, b, jaccard) of the candidate pairs (a, b) of nodes that reach ``least``.
+
+    ``members`` (id, node) and ``texts`` (id, text) give the text of one member of each node.  Rows travel to the
+    block of the smaller node and stream there in tiles, whose pairs ``decide`` settles exactly.
+    """
+    first = members.groupBy("node").agg(F.min("id").alias("id"))
+    wanted = cand.select(F.col("a").alias("block"), F.col("b").alias("node"), F.lit(1).alias("place")).unionByName(
+        cand.select(F.col("a").alias("block"), F.col("a").alias("node"), F.lit(0).alias("place")).distinct()
+    )
+    placed = wanted.join(first, "node").join(texts, "id").select("block", "place", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            for o in range(0, batch.num_rows, TILE):
+                part = batch.slice(o, TILE)
+                block, place, node = (part[c].to_numpy() for c in ("block", "place", "node"))
+                sets = sets_of(part["text"].to_pylist())
+                at: dict[int, int] = {}
+                if head is not None:
+                    at[head[0]] = len(sets)
+                    sets.append(head[1])
+                for i in np.flatnonzero(place == 0):
+                    at[int(block[i])] = int(i)
+                other = np.flatnonzero(place == 1)
+                left = np.fromiter((at[int(x)] for x in block[other]), np.int64, len(other))
+                j = decide(sets, left, other)
+                ok = j >= least - 1e-9
+                yield pa.RecordBatch.from_pydict({"a": pa.array(block[other][ok]), "b": pa.array(node[other][ok]), "jaccard": pa.array(j[ok])})
+                last = int(block[-1])
+                head = (last, sets[at[last]])
+
+    n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, "block").sortWithinPartitions("block", "place").mapInArrow(run, "a long, b long, jaccard double")
+
+
 def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Exact bit maps of the sets over their common universe, as rows of 64-bit words, and their population counts."""
     count = np.fromiter((len(s) for s in sets), np.int64, len(sets))
