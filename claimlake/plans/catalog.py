@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from claimlake.plans import prepare
+
+QUERIES: dict = {**prepare.QUERIES}
 SQL: dict = {}
