@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import bpe, mixing, near_dup, spam, split_overlap, splitter
+from claimlake.llm import bpe, defects, mixing, near_dup, spam, split_overlap, splitter
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    a = defects.rows_of(_t(spark, d, "qa_items"), "qa_items", "answer", "loaded_at")
+    return a.unionByName(defects.rows_of(_t(spark, d, "qa_split_items"), "qa_split_items", "reference_answer", "released_at"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.found(_answers(spark, d))
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return defects.label(_answers(spark, d)).withColumn("posterior", F.round("posterior", 6))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.pairs(_t(spark, d, "qa_split_items"), 0.8)
 
@@ -71,6 +84,8 @@ def p9_by_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_labels": p1_labels,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,
