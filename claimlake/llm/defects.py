@@ -49,7 +49,7 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _LABEL = regex.compile(r"^[\s\W]*(?:q|a|question|answer|you asked|frage|antwort|pregunta|respuesta|réponse|pergunta|resposta)\s*\**\s*[:：]\s*\**", regex.I)
 _SENTENCE = regex.compile(r"[^.!?。！？\n]+[.!?。！？\n]*")
 _CORE = regex.compile(
-    r"\b(?:can(?:no|')t|can not|unable|not able|won't be able|will not be able|declin\w*|refus\w*|rather not|refrain|not allow\w*|not permitted)\b.{0,60}?\b(?:provide|help|assist|answer\w*|shar\w*|discuss|respond|comment|advi[sc]\w*|request|that|information)"
+    r"\b(?:can(?:no|')t|can not|unable|not able|won't be able|will not be able|declin\w*|refus\w*|rather not|refrain|not allow\w*|not permitted|not have the ability|don't have the ability|not in a position)\b.{0,60}?\b(?:provide|help|assist|answer\w*|shar\w*|discuss|respond|comment|advi[sc]\w*|request|that|information|recommend\w*|give|say)"
     r"|\b(?:against my (?:policy|guidelines|rules)|would(?: not|n't) be appropriate|no answer can be given|guidelines do(?: not|n't)|not able to answer)"
     r"|\bno (?:puedo|me es posible|estoy autorizad\w+)\b|\bme es imposible\b|\bne (?:peux|puis) pas\b|m'est impossible|ne suis pas (?:en mesure|autorisé)|(?:kann|darf|möchte) ich (?:\w+ ){0,3}?(?:nicht|keine?)|ich (?:kann|darf|möchte) (?:\w+ ){0,4}?(?:nicht|keine?)\b|nicht (?:möglich|beantworten)|\bnão (?:posso|me é possível|consigo)\b|não tenho permissão|\bimpossível (?:para mim|dar)"
     r"|无法(?:回答|提供|协助|帮助|给出)|不能(?:回答|提供|协助|帮助|给出)|抱歉|对不起",
@@ -64,7 +64,7 @@ _POLITE = regex.compile(
     r"please|consult|rephrase|is there something else|for your safety|speak with|seek|professional|clinician|your own doctor|your doctor|acuda|consulte|su médico|votre médecin|consultez|veuillez|ihren arzt|arzt|bitte|procure|seu médico|请|医生|individual treatment|worrying|reaching out|good question|ai language model|assistant|sorry|apolog|désolé|siento|leid|desculp|lamento",
     regex.I,
 )
-_LISTED = regex.compile(r"^\s*(?:[-*•·–]|\d{1,3}[.)])\s+\S")
+_SEGMENT = regex.compile(r"[.!?。！？;；\n]")
 _URL_END = regex.compile(r"https?://\S+$|\bwww\.\S+$")
 _CLOSED = frozenset(".!?。！？…")
 _AFTER_CLOSED = "\"'”’»)]*_  \t\n"
@@ -77,6 +77,10 @@ COUNT_BITS = 20
 TABLES = ("word", "word_end", "pair", "pair_end", "after", "after_end")
 
 
+#: Stands for every word of digits only.
+NUMBER = np.uint64(0x123456789ABCDEF1)
+
+
 def _slot(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -115,6 +119,8 @@ def _scan_texts(low: list[str]) -> tuple[np.ndarray, ...]:
     stop = np.isin(cp, np.frombuffer(".!?。！？;；\n".encode("utf-32-le"), np.uint32))
     # a stop before the next word of the same text, with only marks and spaces between
     sums = np.r_[0, np.cumsum(stop)]
+    digit = np.r_[0, np.cumsum((cp >= 48) & (cp < 58))]
+    h[digit[end] - digit[begin] == end - begin] = NUMBER  # all numbers are one word
     nxt = np.r_[begin[1:], len(cp)] if len(begin) else begin
     last = np.r_[of[1:] != of[:-1], True] if len(of) else np.zeros(0, bool)
     upto = np.where(last, ends_of[of] if len(of) else 0, nxt)
@@ -284,26 +290,28 @@ def _truncation(a: str, raw: str, words: list[str], tables, seen) -> tuple[int,
     bracket = 1 if open_bracket or hanging else 0
     if mark == -1 or len(words) < 4:
         return (-1, 0, 0, 0, 0, bracket)
-    last = textkit.words([text[-200:].lower()])[0]
-    if len(last) < 2:
-        return (mark, 0, 0, 0, 0, bracket)
-    h1, h2 = last[-1:], last[-2:-1]
-    here = int(_slot(h1)[0])
+    if mark == 1:
+        return (1, 0, 0, 0, 0, bracket)
+    segment = _SEGMENT.split(text)[-1]
+    last = _scan_texts([segment])[0]
+    if not len(last):
+        return (0, 0, 0, 0, 0, bracket)
+    h1 = last[-1:]
     count = int(seen[int(_slot(h1, COUNT_BITS)[0])])
-    line = text[text.rfind("\n") + 1 :]
+    here = int(_slot(h1)[0])
     common = int(tables["word"][here]) >= 20 and count >= 20
-    r = _rate(tables, "pair", int(_slot(_pair(h2, h1))[0]), 5)
-    pair_end = 0 if r < 0 else 1 if r < 0.04 else -1 if r > 0.25 else 0
     hangs = bool(np.isin(h1, _all_function_words())[0])
-    r = _rate(tables, "word", here, 3 if hangs else 20)
-    word_end = 0 if not (common or hangs) or r < 0 else 1 if r < 0.01 else -1 if r > 0.2 else 0
-    after = 0
+    pair_end = after = word_end = 0
+    if len(last) > 1:
+        r = _rate(tables, "pair", int(_slot(_pair(last[-2:-1], h1))[0]), 5)
+        pair_end = 0 if r < 0 else 1 if r < 0.04 else -1 if r > 0.25 else 0
+    if not pair_end:  # the pair says more than the word alone
+        r = _rate(tables, "word", here, 3 if hangs else 20)
+        word_end = 0 if not (common or hangs) or r < 0 else 1 if r < 0.01 else -1 if r > 0.2 else 0
     if not common and len(last) > 2:
-        r = _rate(tables, "after", int(_slot(_pair(last[-3:-2], h2))[0]), 5)
+        r = _rate(tables, "after", int(_slot(_pair(last[-3:-2], last[-2:-1]))[0]), 5)
         after = 0 if r < 0 else 1 if r < 0.05 else -1 if r > 0.3 else 0
     fragment = 1 if count <= 1 else -1 if count >= 20 and (word_end == -1 or pair_end == -1) else 0
-    if _LISTED.match(line) and pair_end == -1:
-        fragment = -1
     return (mark, pair_end, word_end, after, fragment, bracket)
 
 
