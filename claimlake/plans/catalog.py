@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from claimlake.plans import prepare
+from claimlake.plans import prepare, registry
+from claimlake.plans import text_queries as _text  # noqa: F401 - registers its queries
 
-QUERIES: dict = {**prepare.QUERIES}
-SQL: dict = {}
+QUERIES: dict = {**registry.QUERIES, **prepare.QUERIES}
+SQL: dict = {**registry.SQL}
