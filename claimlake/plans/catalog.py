@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from claimlake.plans import prepare, registry
-from claimlake.plans import text_queries as _text  # noqa: F401 - registers its queries
+from claimlake.plans import kg_queries as _kg  # noqa: F401 - registers its queries
+from claimlake.plans import retrieval_queries as _retrieval  # noqa: F401 - registers its queries
+from claimlake.plans import text_queries as _text  # noqa: F401
 
 QUERIES: dict = {**registry.QUERIES, **prepare.QUERIES}
 SQL: dict = {**registry.SQL}
