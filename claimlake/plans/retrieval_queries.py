@@ -134,6 +134,6 @@ def qa_unify(t):
     return u.select("dataset", "id", "question", F.size("contexts").alias("n_contexts"), "answer", "label")
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {_DOT} >= 0.55")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {_DOT} >= 0.45")
 def near_vectors(t):
-    return retrieval.near_vectors(t("embeddings"), "vec_id", "embedding", 0.55).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return retrieval.near_vectors(t("embeddings"), "vec_id", "embedding", 0.45).select("a", "b", F.round("cosine", 6).alias("cosine"))
