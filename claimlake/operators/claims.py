@@ -84,7 +84,7 @@ def align(keys: Column, labels: Column) -> Column:
     Of documents with the same key only the last gets the label, as in a dictionary of keys.
     """
     pairs = F.map_entries(labels)
-    last = lambda k, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda z: z == k)
+    last = lambda k, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda z: z.eqNullSafe(k))
 
     def one(k: Column, i: Column) -> Column:
         exact = F.try_element_at(labels, k)

@@ -21,7 +21,7 @@ def evaluated(docs: DataFrame) -> DataFrame:
         "file", "pos", F.coalesce(g("query_id"), g("id")).alias("query_id"), F.coalesce(g("query"), g("question")).alias("query"), F.coalesce(g("response"), g("answer")).alias("response"), g("gt_answer").alias("gt_answer"),
         F.when(F.size(own) > 0, own).otherwise(gold).alias("claims"), claims.shaped(F.col("record")).alias("claim_texts"), claims.triples(v("gt_answer_claims")).alias("gold_triples"), claims.triples(v("response_claims")).alias("response_triples"), gold.alias("gold_claims"),
         F.transform(ctx, claims.evidence_text).alias("evidence"), F.transform(ctx, claims.match_key).alias("evidence_keys"),
-        F.try_variant_get("record", "$.retrieved2response", "array<array<string>>").alias("list_labels"), F.try_variant_get("record", "$.retrieved2response", "array<map<string,string>>").alias("map_labels"),
+        F.try_variant_get("record", "$.retrieved2response", "array<variant>").alias("label_rows"),
         F.try_variant_get("record", "$.metrics.hallucination", "double").alias("hallucination"), F.try_variant_get("record", "$.metrics.faithfulness", "double").alias("faithfulness"),
     )
 
@@ -35,7 +35,8 @@ def distinct_rows(rows: DataFrame, key: str = "query_id") -> DataFrame:
 def distillation(docs: DataFrame, key: str = "query_id", rebalance: str = "none", compat: bool = False) -> dict[str, DataFrame]:
     """Training sets from evaluated documents: extractor rows, checker pairs, inputs, claims of both sides, drop counts."""
     rows = distinct_rows(evaluated(docs), key)
-    labels = F.coalesce("list_labels", F.transform("map_labels", lambda m: claims.align(F.col("evidence_keys"), m)))
+    # each claim's labels are a list by document position, or a table by document key
+    labels = F.transform("label_rows", lambda x: F.coalesce(x.try_cast("array<string>"), claims.align(F.col("evidence_keys"), x.try_cast("map<string,string>"))))
     pairs = claims.checker_pairs(rows.withColumn("labels", labels), "query_id", "claims", "evidence", "labels", compat=compat)
     if rebalance != "none":
         pairs = ranking.rebalance(pairs, "label", F.concat_ws("#", "query_id", "claim_no", "doc_no"), {"downsample": "down", "upsample": "up"}[rebalance], text.LABELS)
