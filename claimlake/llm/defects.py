@@ -31,7 +31,7 @@ from claimlake.runtime import cut_lineage
 
 #: In the order in which one label is chosen when several exceed their cutoffs.
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
-CUTOFFS = {"empty": 0.5, "copies_question": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.5}
+CUTOFFS = {"empty": 0.5, "copies_question": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.7}
 #: Labelling functions of each defect, in the order of their votes.
 FUNCTIONS = {
     "empty": ("no_word", "placeholder", "short"),
@@ -41,6 +41,9 @@ FUNCTIONS = {
     "truncated": ("mark", "pair_end", "word_end", "after_pair", "fragment", "bracket"),
 }
 
+#: Defects that can only be where a function does not say no: the place of its vote and the share of defects to start from.
+GATES = {"truncated": (0, 0.4)}
+
 # What stands for no answer.
 PLACEHOLDERS = frozenset("na n/a n.a n.a. none null nan nil tbd todo empty blank unknown missing undefined nothing".split()) | {"no answer", "not available", "no data", "to do", "not provided", "no response", "answer"}
 
@@ -64,6 +67,7 @@ _POLITE = regex.compile(
     r"please|consult|rephrase|is there something else|for your safety|speak with|seek|professional|clinician|your own doctor|your doctor|acuda|consulte|su médico|votre médecin|consultez|veuillez|ihren arzt|arzt|bitte|procure|seu médico|请|医生|individual treatment|worrying|reaching out|good question|ai language model|assistant|sorry|apolog|désolé|siento|leid|desculp|lamento",
     regex.I,
 )
+_LISTED = regex.compile(r"^\s*(?:[-*•·–]|\d{1,3}[.)])\s+\S")
 _SEGMENT = regex.compile(r"[.!?。！？;；\n]")
 _URL_END = regex.compile(r"https?://\S+$|\bwww\.\S+$")
 _CLOSED = frozenset(".!?。！？…")
@@ -134,7 +138,7 @@ def count_tables(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = np.zeros(sum(sizes), np.uint32)
-        seen = np.zeros(1 << COUNT_BITS, np.uint32)
+        seen = np.zeros(2 << COUNT_BITS, np.uint32)  # all places of a word, then its places at the open end of an answer
         t = {k: big[i * SIZE : (i + 1) * SIZE] for i, k in enumerate(TABLES)}
         by_lang = big[len(TABLES) * SIZE :].reshape(len(LANGS), SIZE)
         fw = _function_sets()
@@ -146,7 +150,10 @@ def count_tables(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np
                     n = len(h)
                     if not n:
                         continue
-                    seen += np.bincount(_slot(h, COUNT_BITS), minlength=1 << COUNT_BITS).astype(np.uint32)
+                    slots = _slot(h, COUNT_BITS)
+                    seen[: 1 << COUNT_BITS] += np.bincount(slots, minlength=1 << COUNT_BITS).astype(np.uint32)
+                    if column == "answer":
+                        seen[1 << COUNT_BITS :] += np.bincount(slots[last & ~ends], minlength=1 << COUNT_BITS).astype(np.uint32)
                     hits = np.stack([np.bincount(of[np.isin(h, v)], minlength=b - a) for v in fw.values()])
                     size = np.bincount(of, minlength=b - a)
                     lang = np.array([_seed_language(hits[:, i], size[i]) for i in range(b - a)])
@@ -187,7 +194,7 @@ def count_tables(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np
     zero = bytes(4 * SIZE)
     tables = {k: np.frombuffer(got.get(i, zero), np.uint32) for i, k in enumerate(TABLES)}
     lang = np.stack([np.frombuffer(got.get(len(TABLES) + i, zero), np.uint32) for i in range(len(LANGS))])
-    seen = np.concatenate([np.frombuffer(got.get(wide + i, bytes(SIZE)), np.uint8) for i in range(1 << COUNT_BITS - BITS)])
+    seen = np.concatenate([np.frombuffer(got.get(wide + i, bytes(SIZE)), np.uint8) for i in range(2 << COUNT_BITS - BITS)])
     # log of how much likelier a word is in each language than on average: a byte a cell
     share = (lang + 0.5) / (lang.sum(axis=1, keepdims=True) + 0.5 * SIZE)
     weight = np.log(share) - np.log(share.mean(axis=0))
@@ -297,7 +304,8 @@ def _truncation(a: str, raw: str, words: list[str], tables, seen) -> tuple[int,
     if not len(last):
         return (0, 0, 0, 0, 0, bracket)
     h1 = last[-1:]
-    count = int(seen[int(_slot(h1, COUNT_BITS)[0])])
+    place = int(_slot(h1, COUNT_BITS)[0])
+    count, open_ends = int(seen[place]), int(seen[(1 << COUNT_BITS) + place])
     here = int(_slot(h1)[0])
     common = int(tables["word"][here]) >= 20 and count >= 20
     hangs = bool(np.isin(h1, _all_function_words())[0])
@@ -311,11 +319,14 @@ def _truncation(a: str, raw: str, words: list[str], tables, seen) -> tuple[int,
     if not common and len(last) > 2:
         r = _rate(tables, "after", int(_slot(_pair(last[-3:-2], last[-2:-1]))[0]), 5)
         after = 0 if r < 0 else 1 if r < 0.05 else -1 if r > 0.3 else 0
-    fragment = 1 if count <= 1 else -1 if count >= 20 and (word_end == -1 or pair_end == -1) else 0
+    # a piece of a word hardly occurs but where texts break off
+    fragment = 1 if count < 200 and 2 * open_ends >= count else -1 if count >= 20 and (word_end == -1 or pair_end == -1) else 0
+    if 1 not in (pair_end, word_end, after, fragment) and _LISTED.match(text[text.rfind("\n") + 1 :]):
+        return (-1, 0, 0, 0, 0, bracket)  # list items need no closing mark
     return (mark, pair_end, word_end, after, fragment, bracket)
 
 
-def learn(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
+def learn(patterns: dict[tuple[int, ...], int], rounds: int = 60, prior: float = 0.03) -> dict[tuple[int, ...], float]:
     """Posterior of each vote pattern of one defect: a two-class model with independent functions given the
     class, fitted by expectation-maximization to the pattern counts.  An abstention says nothing about
     the class; each function's rates of positive votes start as more right than wrong."""
@@ -325,15 +336,15 @@ def learn(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[
     v = np.array(keys, int)
     n = np.array([patterns[k] for k in keys], float)
     yes, no = (v == 1).astype(float), (v == -1).astype(float)
-    start = np.array([0.03, 0.8])  # rate of positive votes among cast votes, by class
+    start = np.array([0.01, 0.8])  # rate of positive votes among cast votes, by class
     rate = np.repeat(start[:, None], v.shape[1], axis=1)
-    prior, weight = 0.03, 5.0
+    weight = max(5.0, 0.02 * n.sum())
     post = np.zeros(len(keys))
     for _ in range(rounds):
         logp = yes @ np.log(rate.T) + no @ np.log(1 - rate.T)
         odds = logp[:, 1] - logp[:, 0] + np.log(prior / (1 - prior))
         post = 1 / (1 + np.exp(-odds.clip(-60, 60)))
-        prior = min(0.4, max(1e-4, float((post * n).sum() / n.sum())))
+        prior = min(0.6, max(5e-3, float((post * n).sum() / n.sum())))
         for c, w in ((0, (1 - post) * n), (1, post * n)):
             # the start acts as a few pseudo-observations, so that a rare class cannot drift
             rate[c] = (w @ yes + weight * start[c]) / (w @ yes + w @ no + weight)
@@ -374,7 +385,10 @@ def label(rows: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame
         for r in counted:
             key = tuple(r["votes"][a:z])
             by[key] = by.get(key, 0) + r["count"]
-        post += [(d, list(key), p) for key, p in learn(by).items() if p > cutoffs[d]]
+        gate, prior = GATES.get(d, (None, 0.03))
+        if gate is not None:
+            by = {key: n for key, n in by.items() if key[gate] != -1}
+        post += [(d, list(key), p) for key, p in learn(by, prior=prior).items() if p > cutoffs[d]]
     if not post:
         return voted.select("rec_table", "id", F.lit("").alias("defect"), F.lit(0.0).alias("posterior")).where("false")
     known = F.broadcast(spark.createDataFrame(post, "defect string, part array<tinyint>, posterior double"))  # as many rows as patterns
