@@ -9,7 +9,7 @@ in the spam directions (fewer function words, more repetition, links, boundaries
 spam; a text is found if such windows hold more than half of its characters.
 
 Defined cases: null and empty texts and texts under LEAST_WORDS words are not found; repeated
-rows of one id give the id once; other columns are ignored; an empty table gives no rows.
+rows of one id give the id once, with its largest share; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from claimlake.llm import textkit
 from claimlake.runtime import cut_lineage
 
 WINDOW, LEAST_WORDS = 20, 8
+#: Windows of a stretch of text, over which words are counted.
+STRETCH = 20
 CUTOFF, COSINE = 20.0, 0.5
 #: Largest deviation that one feature may count for, so that no single one (say a table without function words) decides alone.
 MOST = 3.2
@@ -102,8 +104,14 @@ def windows(texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
             continue
         k = max(1, round(n / WINDOW))
         edge = a + (np.arange(k + 1) * n) // k
+        # word frequencies are those of a stretch of the text, so that long texts are judged like short ones
+        parts = []
+        for p in range(0, k, STRETCH):
+            x, y = edge[p], edge[min(k, p + STRETCH)]
+            _, own, count = np.unique(h[x:y], return_inverse=True, return_counts=True)
+            parts.append((np.log2((y - x) / count) / max(1.0, np.log2(y - x)))[own])
+        surprise = np.r_[0, np.cumsum(np.concatenate(parts))]
         _, inverse, count = np.unique(h[a:b], return_inverse=True, return_counts=True)
-        surprise = np.r_[0, np.cumsum(np.log2(n / count)[inverse])] / max(1.0, np.log2(n))
         size = np.diff(edge)
         x0 = begin[edge[:-1]]
         x1 = np.r_[begin[edge[1:-1]], ends_of[i]]
@@ -233,4 +241,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
             yield pa.RecordBatch.from_arrays([b["id"], b["lang"], pa.array(share)], names=["id", "lang", "spam_share"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return feats.mapInArrow(run, f"id {kind}, lang string, spam_share double").dropDuplicates(["id"])
+    each = feats.mapInArrow(run, f"id {kind}, lang string, spam_share double")
+    return each.groupBy("id").agg(F.max(F.struct("spam_share", "lang")).alias("x")).select("id", "x.lang", "x.spam_share")
