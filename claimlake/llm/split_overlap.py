@@ -114,34 +114,92 @@ def keys(words: np.ndarray, side: int, least: float) -> tuple[np.ndarray, np.nda
     return (np.concatenate(out), np.concatenate(pos)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _may_match(e: np.ndarray, t: np.ndarray, least: float) -> np.ndarray:
+    """Which aligned entries agree in length, position and sketch as far as the edits allow."""
+    n, m = e["n"].astype(np.int64), t["n"].astype(np.int64)
+    k = np.floor((n + m) * (1 - least) / (1 + least) + 1e-9)
+    near = np.abs(e["pos"].astype(np.int64) - t["pos"]) <= k
+    return near & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (np.bitwise_count(e["sketch"] ^ t["sketch"]) <= k)
+
+
+def _cross(ev: np.ndarray, tr: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the pairs of two entry blocks that may match: sketches meet as a matrix of exclusive-ors, tile by tile."""
+    left, right = [], []
+    for i in range(0, len(ev), tiles.TILE):
+        e = ev[i : i + tiles.TILE]
+        for j in range(0, len(tr), 16 * tiles.TILE):
+            t = tr[j : j + 16 * tiles.TILE]
+            if t["n"].max() < least * e["n"].min() - 1e-9 or e["n"].max() < least * t["n"].min() - 1e-9:
+                continue  # population counts differ beyond the radius
+            most = (int(e["n"].max()) + int(t["n"].max())) * (1 - least) / (1 + least) + 1e-9
+            x, y = np.nonzero(np.bitwise_count(np.ascontiguousarray(e["sketch"])[:, None] ^ np.ascontiguousarray(t["sketch"])[None, :]) <= most)
+            ok = _may_match(e[x], t[y], least)
+            left.append(e["node"][x[ok]])
+            right.append(t["node"][y[ok]])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+#: Pairs of a key up to which they are looked at in its own task, and entries of either side of a work item beyond.
+HOT, SIDE = 1 << 24, 1 << 12
+
+
 def _reduce(rows: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Work items (see tiles) of the evaluation and training strings that share a segment at allowed positions."""
-    ev = rows[rows["side"] == 1]
-    tr = np.sort(rows[rows["side"] == 0], order=["key", "n"])
-    lo, hi = np.searchsorted(tr["key"], ev["key"], "left"), np.searchsorted(tr["key"], ev["key"], "right")
-    ev, lo, count = ev[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-    most = 1 << 14
-    for i in np.flatnonzero(count > most):  # a hot segment: tiles that any task can expand
-        for s in range(lo[i], lo[i] + count[i], most):
-            t = tr[s : min(s + most, lo[i] + count[i])]
-            if t["n"][-1] >= least * ev["n"][i] - 1e-9 and ev["n"][i] >= least * t["n"][0] - 1e-9:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([ev["node"][i : i + 1].tobytes()], pa.binary()), "b": pa.array([t["node"].tobytes()], pa.binary()), "crossed": [True]})
-    ev, lo, count = ev[count <= most], lo[count <= most], count[count <= most]
-    ends = np.cumsum(count)
-    begin = 0
-    while begin < len(ev):
-        base = ends[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
-        c = count[begin:stop]
-        x = np.repeat(np.arange(begin, stop), c)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[begin:stop], c)
-        e, t = ev[x], tr[y]
-        n, m = e["n"].astype(np.int64), t["n"].astype(np.int64)
-        k = np.floor((n + m) * (1 - least) / (1 + least) + 1e-9)
-        ok = (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (np.abs(e["pos"].astype(np.int64) - t["pos"]) <= k) & (np.bitwise_count(e["sketch"] ^ t["sketch"]) <= k)
+    """Work items of the evaluation and training strings that share a segment at allowed positions: aligned node
+    blocks, or for hot keys crossed entry blocks, which any task can expand."""
+    rows = np.sort(rows, order=["key", "n"])
+    ev, tr = rows[rows["side"] == 1], rows[rows["side"] == 0]
+    key, begin, count = np.unique(ev["key"], return_index=True, return_counts=True)
+    lo, hi = np.searchsorted(tr["key"], key, "left"), np.searchsorted(tr["key"], key, "right")
+    product = count * (hi - lo)
+    left, right = [], []
+    for g in np.flatnonzero(product > 4096):
+        e, t = ev[begin[g] : begin[g] + count[g]], tr[lo[g] : hi[g]]
+        if product[g] <= HOT:
+            x, y = _cross(e, t, least)
+            left.append(x)
+            right.append(y)
+            if sum(map(len, left)) > 1 << 20:
+                yield tiles._items(left, right)
+                left, right = [], []
+            continue
+        for i in range(0, len(e), SIDE):
+            for j in range(0, len(t), SIDE):
+                yield pa.RecordBatch.from_pydict({"a": pa.array([e[i : i + SIDE].tobytes()], pa.binary()), "b": pa.array([t[j : j + SIDE].tobytes()], pa.binary()), "crossed": [True]})
+    if left:
+        yield tiles._items(left, right)
+    small = np.flatnonzero((product > 0) & (product <= 4096))
+    at = np.repeat(begin[small] - (np.cumsum(count[small]) - count[small]), count[small]) + np.arange(count[small].sum())
+    ev, width, lo = ev[at], np.repeat((hi - lo)[small], count[small]), np.repeat(lo[small], count[small])
+    ends = np.cumsum(width)
+    start = 0
+    while start < len(ev):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
+        c = width[start:stop]
+        x = np.repeat(np.arange(start, stop), c)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[start:stop], c)
+        ok = _may_match(ev[x], tr[y], least)
         if ok.any():
-            yield tiles._items([e["node"][ok]], [t["node"][ok]])
-        begin = stop
+            yield tiles._items([ev["node"][x[ok]]], [tr["node"][y[ok]]])
+        start = stop
+
+
+def _expand(items: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b), a < b, of the work items, which are spread over all tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, crossed in zip(*(batch[c].to_pylist() for c in ("a", "b", "crossed"))):
+                if crossed:
+                    x, y = _cross(np.frombuffer(a, ENTRY), np.frombuffer(b, ENTRY), least)
+                else:
+                    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                lo, hi = np.minimum(x, y), np.maximum(x, y)
+                p = np.unique(np.stack((lo[lo < hi], hi[lo < hi])), axis=1)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(p[0]), "b": pa.array(p[1])})
+
+    return items.repartition(width(items.sparkSession)).mapInArrow(run, "a long, b long").distinct()
 
 
 def banded(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
@@ -215,7 +273,7 @@ def links(items: DataFrame, least: float = 0.8, id_col: str = "id", split_col: s
 
     parts = tiles.parts_for(rows, 30, items.count())
     blocks = tiles.scatter(rows.select("side", "text"), entries, parts)
-    cand = tiles.expand(tiles.gather(blocks, lambda r: _reduce(r, least), "a binary, b binary, crossed boolean", parts, ENTRY))
+    cand = _expand(tiles.gather(blocks, lambda r: _reduce(r, least), "a binary, b binary, crossed boolean", parts, ENTRY), least)
     texts = rows.select("id", "text", "side").withColumn("node_side", F.col("side")).dropDuplicates(["id", "text"])
     one = members.groupBy("node").agg(F.min("id").alias("id"))
     return members, _settle(cut_lineage(cand), one, texts, members, least)

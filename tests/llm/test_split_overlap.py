@@ -63,6 +63,23 @@ def test_hot_copies(spark):
     assert {tuple(r) for r in split_overlap.pairs(frame(spark, rows)).collect()} == brute(rows)
 
 
+def test_hot_keys_become_work_items(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = np.zeros(300, split_overlap.ENTRY)
+    rows["node"], rows["n"], rows["side"], rows["pos"] = np.arange(300), rng.integers(20, 40, 300), np.arange(300) < 100, rng.integers(0, 9, 300)
+    rows["sketch"] = rng.integers(0, 1 << 7, 300)
+    want = {(min(int(a["node"]), int(b["node"])), max(int(a["node"]), int(b["node"]))) for a in rows[:100] for b in rows[100:] if split_overlap._may_match(np.array([a]), np.array([b]), 0.8)[0]}
+    for hot, side in ((1 << 24, 4096), (5000, 32)):
+        monkeypatch.setattr(split_overlap, "HOT", hot)
+        monkeypatch.setattr(split_overlap, "SIDE", side)
+        items = [r for b in split_overlap._reduce(rows, 0.8) for r in b.to_pylist()]
+        assert any(r["crossed"] for r in items) == (hot == 5000)
+        d = spark.createDataFrame([(bytearray(r["a"]), bytearray(r["b"]), r["crossed"]) for r in items], "a binary, b binary, crossed boolean")
+        assert {tuple(r) for r in split_overlap._expand(d, 0.8).collect()} == want
+
+
 def test_banded_is_symmetric_difference():
     import numpy as np
 
