@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
 import tempfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +43,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets the Python workers import this package, wherever the driver was started.
+
+    Workers get the package's folder on their path; on a cluster whose executors may be other machines
+    Spark also sends them a copy.
+    """
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    if not sc.master.startswith("local"):
+        base = os.path.join(tempfile.mkdtemp(prefix="claimlake-package-"), "claimlake")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "claimlake"))  # from the driver's disk, as Spark sends it
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package on the workers' path."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ship(spark)
+        return query(spark, d)
+
+    return run
