@@ -101,7 +101,24 @@ QUERIES = {
     "p9_by_language": p9_by_language,
 }
 
+_PAIRS_SQL = """
+    WITH q AS (SELECT DISTINCT id, CASE WHEN lower(trim(split)) = 'train' THEN 0 WHEN lower(trim(split)) IN ('validation', 'val', 'dev', 'test') THEN 1 END AS side, list_distinct(regexp_extract_all(strip_accents(lower(question)), '[\\p{L}\\p{N}]+')) AS w FROM qa_split_items),
+    p AS (SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM q a JOIN q b ON a.side = 0 AND b.side = 1 AND a.id <> b.id AND len(a.w) > 0 AND len(b.w) > 0
+        AND len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w) AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _PAIRS_SQL + "SELECT id_a, id_b FROM p",
+    "p2_report": _PAIRS_SQL
+    + """, n AS (SELECT id, count(*) AS k FROM (SELECT id_a AS id FROM p UNION ALL SELECT id_b FROM p) GROUP BY id), e AS (SELECT DISTINCT id, dataset, lower(trim(split)) AS split FROM qa_split_items WHERE lower(trim(split)) IN ('validation', 'val', 'dev', 'test'))
+    SELECT split, dataset, count(*) AS n_items, count(k) AS n_overlapping, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_pairs FROM e LEFT JOIN n USING (id) GROUP BY split, dataset""",
+    "p3_found": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+        SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.7 * (x.n + y.n - c)
+    """,
     "p4_found": """
         SELECT 'documents' AS rec_table, CAST(doc_id AS VARCHAR) AS rec_key, CAST(0 AS INTEGER) AS pos FROM documents WHERE length(text) > 2000
         UNION
