@@ -116,6 +116,11 @@ def checker_pairs(rows: DataFrame, key: str, claims: str, evidence: str, labels:
     return p.select(key, "claim_no", "doc_no", F.format_string(CHECK_PROMPT, "claim", "ev").alias("prompt"), "label")
 
 
+def pair_text(kind: Column, claim: Column, evidence: Column) -> Column:
+    """Input of an encoder that judges a claim against evidence."""
+    return F.format_string(PAIR_PROMPT, kind, claim, evidence)
+
+
 def json_rows(t: Column) -> Column:
     """JSON text of ARRAY<ARRAY<STRING>> with a space after each comma and non-ASCII kept."""
     quote = lambda s: F.to_json(F.array(s)).substr(F.lit(2), F.length(F.to_json(F.array(s))) - 2)

@@ -7,8 +7,28 @@ from pyspark.sql import functions as F
 
 from claimlake.functions.text import token_estimate
 
-# Fixed value: the length of the prompt around question and context.
-PROMPT_CHARS = 338
+# Fixed value: the answering prompt around question and context.
+ANSWER_PROMPT = """You are a helpful medical assistant. Answer the user's question **faithfully** using the provided context only. If the answer is not in the context, say "I don't know" and do NOT hallucinate.
+
+# Question
+{question}
+
+# Context
+{context}
+
+# Instructions
+- Prefer concise, clinical language.
+- Cite snippets implicitly (no numbered refs needed).
+"""
+PROMPT_CHARS = len(ANSWER_PROMPT.format(question="", context=""))
+
+
+def answer_prompt(question: Column, texts: Column) -> Column:
+    """The answering prompt with one bullet a text."""
+    before, rest = ANSWER_PROMPT.split("{question}")
+    middle, after = rest.split("{context}")
+    bullets = F.array_join(F.transform(texts, lambda t: F.concat(F.lit("- "), F.coalesce(t, F.lit("")))), "\n\n")
+    return F.concat(F.lit(before), F.coalesce(question, F.lit("")), F.lit(middle), bullets, F.lit(after))
 
 
 def prompt_tokens(question: Column, context_chars: Column) -> Column:
@@ -74,4 +94,4 @@ def overflow(window: int, max_new: int, margin: int, used: Column) -> Column:
     return used > F.lit(window - max_new - margin)
 
 
-__all__ = ["completion_budget", "overflow", "pack", "pack_numbered", "prompt_tokens", "token_estimate", "trim_to_limit"]
+__all__ = ["answer_prompt", "completion_budget", "overflow", "pack", "pack_numbered", "prompt_tokens", "token_estimate", "trim_to_limit"]

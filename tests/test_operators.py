@@ -180,6 +180,13 @@ def test_context_packing_never_overflows(spark):
     assert d.select(context.pack_numbered(F.col("t")).alias("s")).first().s.startswith("[Doc 2]\naaa")
 
 
+def test_prompts(spark):
+    p = spark.range(1).select(context.answer_prompt(F.lit("Q?"), F.array(F.lit("a"), F.lit(None).cast("string"))).alias("p")).first().p
+    assert p == context.ANSWER_PROMPT.format(question="Q?", context="- a\n\n- ")
+    t = spark.range(1).select(claims.pair_text(F.lit("doc"), F.lit("c"), F.lit("e")).alias("t")).first().t
+    assert t.endswith("Claim:\nc\n\nEvidence:\ne\n")
+
+
 def test_unify_shapes(spark):
     raw = ['{"pubid":7,"question":"","QUESTION":"q","context":{"contexts":["a","b"]},"long_answer":"","answer":"z","final_decision":"yes"}', '{"id":"x","context":"[\\"c\\"]"}', '{"id":"y","context":"plain"}', "{}"]
     d = spark.createDataFrame([(x,) for x in raw], "j string").select(F.parse_json("j").alias("v"))
