@@ -9,22 +9,33 @@ from claimlake.functions import scores, text
 from claimlake.operators.ranking import top_k
 
 
-def postings(corpus: DataFrame, key: str, content: str) -> DataFrame:
-    """(token, key, tf, dl): term frequencies and document lengths."""
-    toks = corpus.where(F.col(key).isNotNull()).select(key, text.bm25_tokens(F.coalesce(F.col(content), F.lit(""))).alias("_t"))
-    each = toks.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+def _tokens(corpus: DataFrame, key: str, content: str) -> DataFrame:
+    return corpus.where(F.col(key).isNotNull()).select(key, text.bm25_tokens(F.coalesce(F.col(content), F.lit(""))).alias("_t"))
+
+
+def postings(corpus: DataFrame, key: str, content: str, only: DataFrame | None = None) -> DataFrame:
+    """(token, key, tf, dl): term frequencies and document lengths, of the tokens of ``only`` (a column token) if given.
+
+    The filter comes before the aggregation, so what is shuffled is the postings of the asked tokens."""
+    each = _tokens(corpus, key, content).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+    if only is not None:
+        each = each.join(only.select("token").distinct(), "token", "left_semi")
     return each.groupBy("token", key, "dl").agg(F.count("*").alias("tf"))
 
 
+def document_frequencies(corpus: DataFrame, key: str, content: str) -> DataFrame:
+    """(token, df): each document counts a token once, so counting is merged before the shuffle."""
+    return _tokens(corpus, key, content).select(F.explode(F.array_distinct("_t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 def lengths(corpus: DataFrame, key: str, content: str) -> DataFrame:
     """One row (n_docs, avgdl) over all documents, empty ones included."""
     return corpus.where(F.col(key).isNotNull()).agg(F.count("*").alias("n_docs"), F.avg(F.size(text.bm25_tokens(F.coalesce(F.col(content), F.lit(""))))).alias("avgdl"))
 
 
-def idf(posts: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+def idf(frequencies: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(token, df, idf); negative values become ``epsilon`` times the mean over all tokens."""
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # stats is one row
+    raw = frequencies.crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # stats is one row
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
 
@@ -32,12 +43,11 @@ def idf(posts: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
 def bm25(queries: DataFrame, qkey: str, qtext: str, corpus: DataFrame, key: str, content: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qkey, key, score, rank): Okapi top k of each query.  Repeated query tokens count each time; documents that
     share no token with a query are no hits.  Equal query texts are scored once."""
-    posts = postings(corpus, key, content)
     stats = lengths(corpus, key, content)
-    weights = idf(posts, stats)
+    weights = idf(document_frequencies(corpus, key, content), stats)
     toks = queries.select(qkey, text.bm25_tokens(F.coalesce(F.col(qtext), F.lit(""))).alias("_t"))
     asked = toks.select(F.array_sort("_t").alias("_q")).distinct().select("_q", F.explode("_q").alias("token")).groupBy("_q", "token").agg(F.count("*").alias("qn"))
-    p = posts.join(asked, "token").join(weights.select("token", "idf"), "token").crossJoin(F.broadcast(stats))  # one row
+    p = postings(corpus, key, content, asked).join(asked, "token").join(weights.select("token", "idf"), "token").crossJoin(F.broadcast(stats))  # one row
     part = F.col("qn") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = p.groupBy("_q", key).agg(F.sum(part).alias("score"))
     best = top_k(scored, ["_q"], k, F.desc(F.round("score", 6)), F.asc(key))
