@@ -154,3 +154,70 @@ def test_streams(spark, tmp_path):
     assert {(r.k, r.n) for r in run(events.windows(s(), "t", "k", "v"), "win", "complete")} == {(1, 3), (2, 1)}
     ema = {r.k: round(r.ema, 6) for r in run(events.running_ema(s(), "k", "t", "v", 0.1), "ema", "update")}
     assert ema == {1: 0.91, 2: 3.0}
+
+
+def test_datasets(spark, tmp_path):
+    from claimlake.sources import datasets
+
+    (tmp_path / "a.jsonl").write_text('{"pubid":1,"question":"q","long_answer":"a"}\n{bad\n{"pubid":2}\n')
+    assert [r.id for r in datasets.abstracts(spark, str(tmp_path / "a.jsonl")).orderBy("id").collect()] == ["1", "2"]
+    assert datasets.abstracts(spark, str(tmp_path / "a.jsonl"), limit=0).count() == 1
+    spark.createDataFrame([("7", "q", "a", "c")], "question_id string, question string, answer string, category string").write.parquet(str(tmp_path / "p.parquet"))
+    r = datasets.pages(spark, str(tmp_path / "p.parquet")).select("id", F.try_variant_get("metadata", "$.category", "string").alias("c")).first()
+    assert tuple(r) == ("7", "c")
+    assert datasets.live(spark, str(tmp_path / "a.jsonl")).count() == 2
+    (tmp_path / "s.json").write_text('[{"question":"x","document":"d","response":"r"}]')
+    assert datasets.local_split(spark, str(tmp_path / "s.json"), "val").first().contexts == ["d"]
+
+
+def echo(answer):
+    def client():
+        return lambda p: answer
+
+    return client
+
+
+def test_rag_and_generation(spark):
+    items = spark.createDataFrame([("q1", "Q?", "gold"), ("q2", "Q2?", "g")], "id string, question string, answer string")
+    docs = spark.createDataFrame([(1, "text one", "t1", "s"), (2, None, None, None)], "doc_id int, text string, title string, source string")
+    a = spark.createDataFrame([("q1", 1, 0.9, 1), ("q1", 2, 0.8, 2)], "query_id string, doc_id int, score double, rank int")
+    b = spark.createDataFrame([("q1", 2, 5.0, 1)], "query_id string, doc_id int, score double, rank int")
+    rows = pipelines.rag_inputs(items, {"dense": a, "bm25": b}, docs, 8, "bm25=2.0")
+    got = {r.query_id: [x.doc_id for x in r.retrieved_context] for r in rows.collect()}
+    assert got == {"q1": ["2", "1"], "q2": []}
+    out = {r.query_id: (r.rag_response, r._skipped_overflow) for r in pipelines.generate_answers(rows, echo("yes")).collect()}
+    assert out == {"q1": ("yes", False), "q2": ("yes", False)}
+    long = rows.withColumn("query", F.repeat(F.lit("x"), 20000))
+    assert {(r.rag_response, r._skipped_overflow) for r in pipelines.generate_answers(long, echo("yes")).collect()} == {("", True)}
+
+
+def test_evaluation_drivers(spark):
+    p = spark.createDataFrame([("a", "entailed"), ("b", "neutral")], "prompt string, label string")
+    e = pipelines.evaluate_checker(p, echo("Label: entailed."))
+    assert e["summary"].first().accuracy == 0.5 and e["rows"].count() == 2 and e["confusion"].count() == 3
+    t = spark.createDataFrame([("q", ["A b.", "c"])], "query_id string, pred_claims array<string>")
+    g = spark.createDataFrame([("q", ["a  b", "d"]), ("z", ["x"])], "query_id string, pred_claims array<string>")
+    per, mean = pipelines.evaluate_overlap(t, g)
+    assert (per.first().tp, per.first().fp, mean.first().f1) == (1, 1, 0.5)
+
+
+def test_claim_fusion_drivers(spark):
+    surfaces = spark.createDataFrame([("aspirin", 1), ("pain", 2)], "surface string, eid long")
+    vecs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.1, 0.0])], "e long, v array<double>")
+    nli = "struct<p_entailed double, p_neutral double, p_contradicted double>"
+    s = spark.createDataFrame([("q", 0, "Aspirin treats pain.", (0.3, 0.2, 0.5), "entailed"), ("q", 1, "Nothing here", (0.3, 0.2, 0.5), None), ("q", 2, "x", (None, 0.1, 0.1), None)], f"query_id string, claim_idx int, claim_text string, nli {nli}, gold_label string")
+    got = {r.claim_idx: (r.nli_label, r.fused_label) for r in pipelines.legacy_fusion(s, surfaces, vecs, "e", "v").collect()}
+    assert got == {0: ("contradicted", "entailed"), 1: ("contradicted", "contradicted")}
+    p = spark.createDataFrame([("q", ["Neutral", "Entailment"], ["Aspirin treats pain.", "Nothing"])], "query_id string, labels array<string>, claim_texts array<string>")
+    assert pipelines.posthoc_fusion(p, surfaces, vecs, "e", "v").first().fused == ["Entailment", "Entailment"]
+
+
+def test_soft_triples(spark):
+    t = spark.createDataFrame([(1, "aspirin", "treats", "headache"), (2, "zzz", "qqq", "www")], "claim int, s string, r string, o string")
+    al = spark.createDataFrame([("Compound", "C1", "aspirin"), ("Compound", "C2", "ibuprofen"), ("Disease", "D1", "headache"), ("Disease", "D2", "fever")], "kind string, entity string, alias string")
+    bank = spark.createDataFrame([("CtD", "treats"), ("CpD", "relieves")], "relation string, phrase string")
+    ev = spark.createDataFrame([("C1", [0.0, 0.0]), ("D1", [1.0, 0.0]), ("C2", [5.0, 5.0])], "entity string, vec array<double>")
+    rv = spark.createDataFrame([("CtD", [1.0, 0.0])], "relation string, vec array<double>")
+    r = {x.claim: x for x in pipelines.soft_triples(t, al, bank, ev, rv).collect()}
+    assert (r[1].head, r[1].relation, r[1].tail, r[1].status) == ("C1", "CtD", "D1", "ok") and r[1].dist == 0.0
+    assert r[2].status == "ok" and r[2].p_final >= 0
