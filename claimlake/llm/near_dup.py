@@ -14,7 +14,7 @@ No group is collected whole: copies are one class per task before the shuffle, l
 groups become tile pairs that are spread over all tasks, and verification streams.
 
 Defined cases: null, empty and shorter than ``k`` words: no class, in no pair; repeated rows of
-one id: the id counts once; other columns: ignored; empty table: no rows.
+one id: the id counts once, of different texts one by hash; other columns: ignored; empty table: no rows.
 """
 
 from __future__ import annotations
@@ -107,9 +107,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, k: int, least: float
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, node, n), links (a, b, jaccard) between different classes, a < b."""
-    members = cut_lineage(classes(docs, id_col, text_col, k).dropDuplicates(["id"]))
+    members = cut_lineage(classes(docs, id_col, text_col, k).groupBy("id").agg(F.min(F.struct("node", "n")).alias("x")).select("id", "x.node", "x.n"))
     cand = cut_lineage(candidates(docs, id_col, text_col, k, least, bands, rows))
-    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id"])
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def sets_of(texts: list[str]) -> list[np.ndarray]:
         low = [t.lower() for t in texts]

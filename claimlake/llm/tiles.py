@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.llm import textkit
+
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
 TILE = 256
 #: Entries that a task keeps before it writes them out as blocks.
@@ -146,8 +148,9 @@ def expand(items: DataFrame) -> DataFrame:
 def verify(cand: DataFrame, members: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]], decide: Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
     """(a, b, jaccard) of the candidate pairs (a, b) of nodes that reach ``least``.
 
-    ``members`` (id, node) and ``texts`` (id, text) give the text of one member of each node.  Rows travel to the
-    block of the smaller node and stream there in tiles, whose pairs ``decide`` settles exactly.
+    ``members`` (id, node) and ``texts`` (id, text) give the text of one member of each node; of several texts of
+    an id only those of the node itself count.  Rows travel to the block of the smaller node and stream
+    there in tiles, whose pairs ``decide`` settles exactly.
     """
     first = members.groupBy("node").agg(F.min("id").alias("id"))
     wanted = cand.select(F.col("a").alias("block"), F.col("b").alias("node"), F.lit(1).alias("place")).unionByName(
@@ -162,22 +165,23 @@ def verify(cand: DataFrame, members: DataFrame, texts: DataFrame, sets_of: Calla
                 part = batch.slice(o, TILE)
                 block, place, node = (part[c].to_numpy() for c in ("block", "place", "node"))
                 sets = sets_of(part["text"].to_pylist())
+                own = np.fromiter((len(s) > 0 and textkit.set_hash(s)[0] == x for s, x in zip(sets, node)), bool, len(sets))
                 at: dict[int, int] = {}
                 if head is not None:
                     at[head[0]] = len(sets)
                     sets.append(head[1])
-                for i in np.flatnonzero(place == 0):
+                for i in np.flatnonzero(own & (place == 0)):
                     at[int(block[i])] = int(i)
-                other = np.flatnonzero(place == 1)
+                other = np.flatnonzero(own & (place == 1))
                 left = np.fromiter((at[int(x)] for x in block[other]), np.int64, len(other))
                 j = decide(sets, left, other)
                 ok = j >= least - 1e-9
                 yield pa.RecordBatch.from_pydict({"a": pa.array(block[other][ok]), "b": pa.array(node[other][ok]), "jaccard": pa.array(j[ok])})
                 last = int(block[-1])
-                head = (last, sets[at[last]])
+                head = (last, sets[at[last]]) if last in at else None
 
     n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "block").sortWithinPartitions("block", "place").mapInArrow(run, "a long, b long, jaccard double")
+    return placed.repartition(n, "block").sortWithinPartitions("block", "place").mapInArrow(run, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

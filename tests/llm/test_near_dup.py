@@ -53,6 +53,14 @@ def test_edges(spark):
     assert near_dup.groups(frame(spark, rows).where("false")).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    base = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (1, "quite another text of some words here"), (2, base + " end"), (3, "quite another text of some words here now")]
+    a = {tuple(r) for r in near_dup.pairs(frame(spark, rows), k=3, least=0.7).collect()}
+    assert a in ({(1, 2)}, {(1, 3)})
+    assert a == {tuple(r) for r in near_dup.pairs(frame(spark, rows[::-1]), k=3, least=0.7).collect()}
+
+
 def test_groups(spark):
     rows = make(2)
     want = brute(rows)
