@@ -119,7 +119,7 @@ def table(lines: DataFrame, agree: float = 0.6) -> DataFrame:
     names = s.select("stream", "ord", "field").withColumn("name", F.col("field")).withColumn("upto", F.col("ord"))
     while True:
         k = known.select("stream", "since", F.col("field").alias("name"), "old_field")
-        j = names.join(k, ["stream", "name"], "left").where("since IS NULL OR since <= upto OR since > upto")
+        j = names.join(k, ["stream", "name"], "left")
         hit = F.max(F.when(F.col("since") <= F.col("upto"), F.struct("since", "old_field")))
         j = j.groupBy("stream", "ord", "field", "name", "upto").agg(hit.alias("h"))
         step = cut_lineage(j.select("stream", "ord", "field", F.coalesce("h.old_field", "name").alias("name"), F.coalesce(F.col("h.since") - 1, F.col("upto")).alias("upto"), F.col("h").isNotNull().alias("moved")))

@@ -10,4 +10,4 @@ from claimlake.plans import retrieval_queries as _retrieval  # noqa: F401 - regi
 from claimlake.plans import text_queries as _text  # noqa: F401
 
 QUERIES: dict = {**registry.QUERIES, **prepare.QUERIES}
-SQL: dict = {**registry.SQL}
+SQL: dict = {**registry.SQL, **prepare.SQL}

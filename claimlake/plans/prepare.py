@@ -34,3 +34,49 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found, "p6_tables": p6_tables}
+
+
+SQL = {
+    "p5_found": r"""
+WITH r AS (SELECT DISTINCT stream, file_name, written_at, line_no, line FROM run_lines WHERE stream IS NOT NULL AND file_name IS NOT NULL AND json_valid(line) AND json_type(line) = 'OBJECT'),
+fo AS (SELECT stream, file_name, row_number() OVER (PARTITION BY stream ORDER BY min(written_at), file_name) AS ord FROM r GROUP BY stream, file_name),
+e AS (SELECT r.stream, fo.ord, r.line_no, x.key AS field, CASE x.type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+  regexp_extract(CAST(x.value AS VARCHAR), '-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?') AS digits FROM r JOIN fo ON fo.stream = r.stream AND fo.file_name = r.file_name, json_each(r.line) AS x),
+k AS (SELECT stream, ord, field, list(DISTINCT kind ORDER BY kind) FILTER (WHERE kind IS NOT NULL) AS own FROM e GROUP BY stream, ord, field),
+s AS (SELECT stream, ord, field, last_value(own IGNORE NULLS) OVER (PARTITION BY stream, field ORDER BY ord) AS kinds FROM k),
+b AS (SELECT coalesce(n.stream, o.stream) AS stream, coalesce(n.ord, o.ord + 1) AS ord, coalesce(n.field, o.field) AS field, n.field IS NOT NULL AS now, o.field IS NOT NULL AS before, n.kinds AS nk, o.kinds AS ok
+  FROM s n FULL JOIN s o ON o.stream = n.stream AND o.ord + 1 = n.ord AND o.field = n.field),
+c AS (SELECT b.* FROM b JOIN fo ON fo.stream = b.stream AND fo.ord = b.ord WHERE b.ord > 1),
+ad AS (SELECT stream, ord, field FROM c WHERE NOT before), rm AS (SELECT stream, ord, field FROM c WHERE NOT now),
+v AS (SELECT DISTINCT stream, ord, line_no, field, CAST(digits AS DOUBLE) AS number, length(digits) >= 5 AS sharp FROM e WHERE kind IS NOT NULL AND digits <> ''),
+ma AS (SELECT DISTINCT stream, ord, number, line_no FROM v WHERE sharp),
+same AS (SELECT x.stream, x.ord, x.line_no AS a, y.line_no AS b, count(*) AS n FROM ma x JOIN ma y ON x.stream = y.stream AND x.ord = y.ord + 1 AND x.number = y.number GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream, ord, a ORDER BY n DESC, b) AS i FROM same) WHERE i = 1),
+p AS (SELECT best.stream, best.ord, x.field, y.field AS old_field, count(*) AS n, count(*) FILTER (WHERE x.number = y.number) AS eq FROM best
+  JOIN v x ON x.stream = best.stream AND x.ord = best.ord AND x.line_no = best.a JOIN ad ON ad.stream = x.stream AND ad.ord = x.ord AND ad.field = x.field
+  JOIN v y ON y.stream = best.stream AND y.ord + 1 = best.ord AND y.line_no = best.b JOIN rm ON rm.stream = y.stream AND rm.ord = y.ord + 1 AND rm.field = y.field GROUP BY 1, 2, 3, 4),
+q AS (SELECT *, row_number() OVER (PARTITION BY stream, ord, field ORDER BY eq DESC, n, field, old_field) AS r1, row_number() OVER (PARTITION BY stream, ord, old_field ORDER BY eq DESC, n, field, old_field) AS r2 FROM p WHERE eq >= 1 AND eq >= 0.6 * n),
+rn AS (SELECT stream, ord, field, old_field FROM q WHERE r1 = 1 AND r2 = 1),
+ch AS (SELECT stream, ord, field, '' AS old_field, 'added' AS change FROM ad WHERE (stream, ord, field) NOT IN (SELECT (stream, ord, field) FROM rn)
+  UNION ALL SELECT stream, ord, field, '', 'removed' FROM rm WHERE (stream, ord, field) NOT IN (SELECT (stream, ord, old_field) FROM rn)
+  UNION ALL SELECT stream, ord, field, '', 'retyped' FROM c WHERE now AND before AND nk IS NOT NULL AND ok IS NOT NULL AND nk <> ok
+  UNION ALL SELECT stream, ord, field, old_field, 'renamed' FROM rn)
+SELECT fo.file_name, ch.field, ch.old_field, ch.change FROM ch JOIN fo ON fo.stream = ch.stream AND fo.ord = ch.ord
+""",
+    "p6_found": r"""
+WITH m AS (SELECT 'qa_items' AS rec_table, id, 'metadata' AS root, arg_max(metadata, coalesce(epoch_us(loaded_at), 0)) AS raw FROM qa_items WHERE id IS NOT NULL GROUP BY id
+  UNION ALL SELECT 'qa_split_items', id, 'source_urls', arg_max(CAST(to_json(source_urls) AS VARCHAR), coalesce(epoch_us(released_at), 0)) FROM qa_split_items WHERE id IS NOT NULL AND source_urls IS NOT NULL GROUP BY id),
+u AS (SELECT rec_table, id, root, CASE WHEN NOT json_valid(raw) THEN NULL WHEN json_type(raw) = 'VARCHAR' THEN json_extract_string(raw, '$') ELSE raw END AS j FROM m WHERE raw IS NOT NULL),
+v AS (SELECT * FROM u WHERE j IS NOT NULL AND json_valid(j)),
+x AS (SELECT v.rec_table, v.id, v.root || substr(x.fullkey, 2) AS path, x.type, CASE WHEN x.type = 'VARCHAR' THEN json_extract_string(v.j, x.fullkey) END AS inner_text, v.root FROM v, json_tree(v.j) AS x WHERE x.type IN ('OBJECT', 'ARRAY', 'VARCHAR')),
+i AS (SELECT * FROM x WHERE type = 'VARCHAR' AND (inner_text LIKE '[%' OR inner_text LIKE '{%') AND json_valid(inner_text)),
+t AS (SELECT rec_table, id, root, type, path FROM x WHERE type <> 'VARCHAR' UNION ALL SELECT i.rec_table, i.id, i.root, y.type, i.path || substr(y.fullkey, 2) FROM i, json_tree(i.inner_text) AS y WHERE y.type IN ('OBJECT', 'ARRAY')),
+g AS (SELECT *, regexp_replace(path, '\[\d+\]', '', 'g') AS generic, path LIKE '%]' AS element FROM t),
+a AS (SELECT DISTINCT generic FROM g WHERE type = 'ARRAY' AND NOT element),
+lone AS (SELECT rec_table, id, path, length(path) AS n FROM g WHERE type = 'OBJECT' AND NOT element AND path <> root AND generic IN (SELECT generic FROM a)),
+o AS (SELECT g.rec_table, g.id, g.path, g.element, list(l.n ORDER BY l.n DESC) FILTER (WHERE l.n IS NOT NULL) AS cuts, bool_or(coalesce(l.path = g.path, FALSE)) AS itself
+  FROM g LEFT JOIN lone l ON l.rec_table = g.rec_table AND l.id = g.id AND (g.path = l.path OR starts_with(g.path, l.path || '.') OR starts_with(g.path, l.path || '[')) WHERE g.type = 'OBJECT' GROUP BY g.rec_table, g.id, g.path, g.element),
+e AS (SELECT rec_table, id, path AS p0, cuts, coalesce(len(cuts), 0) AS k FROM o WHERE element OR itself)
+SELECT rec_table, id, CASE k WHEN 0 THEN p0 ELSE list_reduce(list_prepend(p0, list_transform(cuts, lambda c: CAST(c AS VARCHAR))), lambda s, c: substr(s, 1, CAST(c AS BIGINT)) || '[0]' || substr(s, CAST(c AS BIGINT) + 1)) END AS path FROM e
+""",
+}
