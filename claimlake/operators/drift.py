@@ -63,11 +63,12 @@ def changes(lines: DataFrame, agree: float = 0.6) -> DataFrame:
     s = cut_lineage(schemas(f))
     now = s.select("stream", "ord", "field", "kinds")
     before = s.select("stream", (F.col("ord") + 1).alias("ord"), "field", F.col("kinds").alias("old_kinds"))
-    both = now.join(before, ["stream", "ord", "field"], "full").where("ord > 1").join(order.select("stream", "ord"), ["stream", "ord"])
+    order = cut_lineage(order)
+    both = cut_lineage(now.join(before, ["stream", "ord", "field"], "full").where("ord > 1").join(order.select("stream", "ord"), ["stream", "ord"]))
     added = both.where("old_kinds IS NULL").select("stream", "ord", "field")
     removed = both.where("kinds IS NULL").select("stream", "ord", "field")
     retyped = both.where("size(kinds) > 0 AND size(old_kinds) > 0 AND kinds <> old_kinds")
-    renamed = renames(f, added, removed, agree)
+    renamed = cut_lineage(renames(f, added, removed, agree))
     out = order.select("stream", "ord", "file_name")
     plain = lambda df, change: df.select("stream", "ord", "field", F.lit("").alias("old_field"), F.lit(change).alias("change"))
     kept_added = added.join(renamed.select("stream", "ord", "field"), ["stream", "ord", "field"], "left_anti")
