@@ -24,16 +24,16 @@ NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 
 def fields(lines: DataFrame) -> DataFrame:
-    """(stream, file_name, written_at, rec, field, kind, text, number): one row a field of a readable record.
-    ``kind`` is the JSON type (null for a null), ``number`` the first number of the value."""
-    rec = lines.select("kind", "stream", "file_name", "written_at", F.col("line_no"), F.expr("try_cast(try_parse_json(line) AS MAP<STRING, VARIANT>)").alias("m")).where("m IS NOT NULL AND stream IS NOT NULL AND file_name IS NOT NULL")
+    """(record_kind, stream, file_name, ord, line_no, field, kind, text, number): one row a field of a readable record of
+    ordered lines.  ``kind`` is the JSON type (null for a null), ``number`` the first number of the value."""
+    rec = lines.select("kind", "stream", "file_name", "ord", "line_no", F.expr("try_cast(try_parse_json(line) AS MAP<STRING, VARIANT>)").alias("m")).where("m IS NOT NULL AND stream IS NOT NULL AND file_name IS NOT NULL")
     rec = rec.withColumnRenamed("kind", "record_kind")
-    f = rec.select("record_kind", "stream", "file_name", "written_at", "line_no", F.explode("m").alias("field", "v"))
+    f = rec.select("record_kind", "stream", "file_name", "ord", "line_no", F.explode("m").alias("field", "v"))
     f = f.withColumn("schema", F.expr("schema_of_variant(v)")).withColumn("text", F.expr("to_json(v)"))
     head = F.regexp_extract("schema", r"^[A-Z]+", 0)
     kind = F.when(F.col("v").isNull() | (head == "VOID"), None).when(head == "STRING", "string").when(head == "BOOLEAN", "boolean").when(head == "ARRAY", "array").when(head == "OBJECT", "object").otherwise("number")
     number = F.expr(f"try_cast(regexp_extract(text, r'{NUMBER}', 0) AS DOUBLE)")
-    return f.select("record_kind", "stream", "file_name", "written_at", "line_no", "field", kind.alias("kind"), "text", F.when(kind.isNotNull(), number).alias("number"))
+    return f.select("record_kind", "stream", "file_name", "ord", "line_no", "field", kind.alias("kind"), "text", F.when(kind.isNotNull(), number).alias("number"))
 
 
 def files(lines: DataFrame) -> DataFrame:
@@ -43,9 +43,10 @@ def files(lines: DataFrame) -> DataFrame:
 
 
 def _ordered(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    readable = lines.where(F.expr("try_cast(try_parse_json(line) AS MAP<STRING, VARIANT>)").isNotNull())
-    order = files(readable)
-    return fields(lines).join(order, ["stream", "file_name"]), order
+    """Fields of the readable lines and the order of their files; lines get their place before they become many fields."""
+    rows = lines.select("kind", "stream", "file_name", "written_at", "line_no", "line")
+    order = cut_lineage(files(rows.where(F.expr("try_cast(try_parse_json(line) AS MAP<STRING, VARIANT>)").isNotNull())))
+    return fields(rows.join(order, ["stream", "file_name"])), order
 
 
 def schemas(f: DataFrame) -> DataFrame:
@@ -59,11 +60,10 @@ def schemas(f: DataFrame) -> DataFrame:
 def changes(lines: DataFrame, agree: float = 0.6) -> DataFrame:
     """(file_name, field, old_field, change): every change against the previous file of the stream."""
     f, order = _ordered(lines)
-    f = cut_lineage(f)
+    f = cut_lineage(f.select("stream", "file_name", "ord", "line_no", "field", "kind", "number", (F.length(F.regexp_extract("text", NUMBER, 0)) >= 5).alias("sharp")))
     s = cut_lineage(schemas(f))
     now = s.select("stream", "ord", "field", "kinds")
     before = s.select("stream", (F.col("ord") + 1).alias("ord"), "field", F.col("kinds").alias("old_kinds"))
-    order = cut_lineage(order)
     both = cut_lineage(now.join(before, ["stream", "ord", "field"], "full").where("ord > 1").join(order.select("stream", "ord"), ["stream", "ord"]))
     added = both.where("old_kinds IS NULL").select("stream", "ord", "field")
     removed = both.where("kinds IS NULL").select("stream", "ord", "field")
@@ -86,7 +86,7 @@ def renames(f: DataFrame, added: DataFrame, removed: DataFrame, agree: float) ->
     remove a field are looked at.
     """
     steps = added.select("stream", "ord").distinct().join(removed.select("stream", "ord").distinct(), ["stream", "ord"])
-    rec = f.where("kind IS NOT NULL AND number IS NOT NULL").select("stream", "ord", "line_no", "field", "number", (F.length(F.regexp_extract("text", NUMBER, 0)) >= 5).alias("sharp")).distinct()
+    rec = f.where("kind IS NOT NULL AND number IS NOT NULL").select("stream", "ord", "line_no", "field", "number", "sharp").distinct()
     new = rec.join(steps, ["stream", "ord"])
     old = rec.withColumn("ord", F.col("ord") + 1).join(steps, ["stream", "ord"])
     marks = lambda df, name: df.where("sharp").select("stream", "ord", "number", F.col("line_no").alias(name)).distinct()
@@ -109,7 +109,7 @@ def table(lines: DataFrame, agree: float = 0.6) -> DataFrame:
     ``canonical`` has the number that all number-like branches agree on.
     """
     f, _ = _ordered(lines)
-    f = cut_lineage(f)
+    f = cut_lineage(f.withColumn("sharp", F.length(F.regexp_extract("text", NUMBER, 0)) >= 5))
     s = cut_lineage(schemas(f))
     now = s.select("stream", "ord", "field")
     before = s.select("stream", (F.col("ord") + 1).alias("ord"), "field")
