@@ -145,7 +145,7 @@ def count_tables(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np
         for batch in batches:
             for column in ("answer", "question"):
                 low = [x.lower() for x in batch[column].to_pylist() if x]
-                for a, b in textkit.blocks(low):
+                for a, b in textkit.blocks(low, 1_000_000):
                     h, of, ends, last = _scan_texts(low[a:b])
                     n = len(h)
                     if not n:
@@ -185,18 +185,18 @@ def count_tables(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np
 
         if key[0] < wide:
             v = sum(np.frombuffer(v, np.uint32).astype(np.int64) for v in pdf["v"])
-            v = np.minimum(v, (1 << 32) - 1).astype(np.uint32)
+            v = v.astype(np.float32)  # only ratios and small counts matter, whatever the size of the corpus
         else:
             v = np.minimum(sum(np.frombuffer(v, np.uint8).astype(np.int64) for v in pdf["v"]), 255).astype(np.uint8)
         return pd.DataFrame({"chunk": [key[0]], "v": [v.tobytes()]})
 
     got = {r["chunk"]: r["v"] for r in rows.select("question", "answer").mapInArrow(run, "chunk int, v binary").groupBy("chunk").applyInPandas(merge, "chunk int, v binary").collect()}
     zero = bytes(4 * SIZE)
-    tables = {k: np.frombuffer(got.get(i, zero), np.uint32) for i, k in enumerate(TABLES)}
-    lang = np.stack([np.frombuffer(got.get(len(TABLES) + i, zero), np.uint32) for i in range(len(LANGS))])
+    tables = {k: np.frombuffer(got.get(i, zero), np.float32) for i, k in enumerate(TABLES)}
+    lang = np.stack([np.frombuffer(got.get(len(TABLES) + i, zero), np.float32) for i in range(len(LANGS))])
     seen = np.concatenate([np.frombuffer(got.get(wide + i, bytes(SIZE)), np.uint8) for i in range(2 << COUNT_BITS - BITS)])
     # log of how much likelier a word is in each language than on average: a byte a cell
-    share = (lang + 0.5) / (lang.sum(axis=1, keepdims=True) + 0.5 * SIZE)
+    share = (lang + 0.5) / (lang.sum(axis=1, keepdims=True, dtype=np.float64) + 0.5 * SIZE)
     weight = np.log(share) - np.log(share.mean(axis=0))
     weight = np.where(lang.sum(axis=0) >= 5, weight, 0).clip(-4, 4).astype(np.float16)
     return tables, weight, seen
