@@ -6,9 +6,10 @@ An expectation-maximization label model per defect learns, from these counts alo
 each function can be trusted, and gives each pattern a posterior.  An item keeps every
 label whose posterior exceeds the label's cutoff; :func:`found` keeps the first in DEFECTS order.
 
-Functions for truncation and language rest on counts over all texts in tables of fixed size: how often
+Functions for truncation and language rest on exact counts over all texts, keyed by 64-bit hashes: how often
 a word, a word pair, or the word after a pair ends a sentence; how often a word occurs; how often a
-word occurs in texts that function words place in a language.
+word occurs in texts that function words place in a language.  Open answers are joined with the counts of their
+last words by key; only the words that tell languages apart are broadcast.
 
 Defined cases: a null, blank or placeholder answer is empty whatever the question; a null or blank question can
 neither be copied nor set the language; ids delivered several times count once, with the latest
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.llm import textkit
@@ -75,20 +76,19 @@ _AFTER_CLOSED = "\"'”’»)]*_  \t\n"
 _HANGING = frozenset(",;:，；、([{-–/&+")
 
 LANGS = tuple(FUNCTION_WORDS)
-BITS = 18
-SIZE = 1 << BITS
-COUNT_BITS = 20
-TABLES = ("word", "word_end", "pair", "pair_end", "after", "after_end")
+#: The half counts of the word model are dealt over so many words a language.
+SMOOTH = 1 << 18
+#: What is counted: words, word pairs, and by the pair before it the word after a pair.
+WORD, PAIR, AFTER = 0, 1, 2
+COUNTS = ("n", "open_ends", "sure", "sure_end", *(f"lang_{k}" for k in LANGS))
+#: Distinct keys that a task holds before it passes its counts on.
+HELD = 300_000
 
 
 #: Stands for every word of digits only.
 NUMBER = np.uint64(0x123456789ABCDEF1)
 
 
-def _slot(h: np.ndarray, bits: int = BITS) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textkit.mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
@@ -132,82 +132,87 @@ def _scan_texts(low: list[str]) -> tuple[np.ndarray, ...]:
     return h, of, ends, last
 
 
-def count_tables(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Sentence-end tables, word-by-language counts and word counts over all questions and answers."""
-    sizes = [SIZE] * len(TABLES) + [SIZE * len(LANGS)]
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (kind, hash, counts) with the counts of equal keys added up."""
+    x = np.concatenate(parts)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    new = np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)] if len(x) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return np.column_stack([x[at, :2], np.add.reduceat(x[:, 2:], at)]) if len(x) else x
+
+
+def _counted(kind: int, h: np.ndarray, *masks: np.ndarray | None) -> np.ndarray:
+    """Rows (kind, hash, counts): how often each hash occurs under each mask (None counts nothing)."""
+    u, inv = np.unique(h, return_inverse=True)
+    out = np.zeros((len(u), 2 + len(COUNTS)), np.int64)
+    out[:, 0], out[:, 1] = kind, u.view(np.int64)
+    for j, m in enumerate(masks):
+        if m is not None:
+            out[:, 2 + j] = np.bincount(inv[m], minlength=len(u))
+    return out
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """(kind, h, n, open_ends, sure, sure_end, lang_...): exact counts of the words and pairs of all questions and answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        big = np.zeros(sum(sizes), np.uint32)
-        seen = np.zeros(2 << COUNT_BITS, np.uint32)  # all places of a word, then its places at the open end of an answer
-        t = {k: big[i * SIZE : (i + 1) * SIZE] for i, k in enumerate(TABLES)}
-        by_lang = big[len(TABLES) * SIZE :].reshape(len(LANGS), SIZE)
         fw = _function_sets()
+        parts: list[np.ndarray] = []
+        held = 0
+        names = ["kind", "h", *COUNTS]
         for batch in batches:
             for column in ("answer", "question"):
                 low = [x.lower() for x in batch[column].to_pylist() if x]
                 for a, b in textkit.blocks(low, 1_000_000):
                     h, of, ends, last = _scan_texts(low[a:b])
-                    n = len(h)
-                    if not n:
+                    if not len(h):
                         continue
-                    slots = _slot(h, COUNT_BITS)
-                    seen[: 1 << COUNT_BITS] += np.bincount(slots, minlength=1 << COUNT_BITS).astype(np.uint32)
-                    if column == "answer":
-                        seen[1 << COUNT_BITS :] += np.bincount(slots[last & ~ends], minlength=1 << COUNT_BITS).astype(np.uint32)
                     hits = np.stack([np.bincount(of[np.isin(h, v)], minlength=b - a) for v in fw.values()])
                     size = np.bincount(of, minlength=b - a)
-                    lang = np.array([_seed_language(hits[:, i], size[i]) for i in range(b - a)])
-                    w = _slot(h)
-                    for k in range(len(LANGS)):
-                        by_lang[k] += np.bincount(w[lang[of] == k], minlength=SIZE).astype(np.uint32)
+                    lang = np.array([_seed_language(hits[:, i], size[i]) for i in range(b - a)])[of]
+                    by_lang = [lang == k for k in range(len(LANGS))]
+                    every = np.ones(len(h), bool)
                     if column == "question":
-                        continue
-                    # the last word of a text counts only where a stop follows it: its own end is what is asked
-                    sure = ~last | ends
-                    t["word"] += np.bincount(w[sure], minlength=SIZE).astype(np.uint32)
-                    t["word_end"] += np.bincount(w[sure & ends], minlength=SIZE).astype(np.uint32)
-                    if n > 1:
-                        p = _slot(_pair(h[:-1], h[1:]))
-                        good = (of[1:] == of[:-1]) & ~ends[:-1] & sure[1:]
-                        t["pair"] += np.bincount(p[good], minlength=SIZE).astype(np.uint32)
-                        t["pair_end"] += np.bincount(p[good & ends[1:]], minlength=SIZE).astype(np.uint32)
-                    if n > 2:
-                        good = (of[2:] == of[:-2]) & ~ends[:-2] & ~ends[1:-1] & sure[2:]
-                        t["after"] += np.bincount(p[:-1][good], minlength=SIZE).astype(np.uint32)
-                        t["after_end"] += np.bincount(p[:-1][good & ends[2:]], minlength=SIZE).astype(np.uint32)
-        out = [*(big[i : i + SIZE] for i in range(0, len(big), SIZE)), *(np.minimum(seen[i : i + SIZE], 255).astype(np.uint8) for i in range(0, len(seen), SIZE))]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(out)), pa.int32()), "v": pa.array([x.tobytes() for x in out], pa.binary())})
-
-    wide = len(TABLES) + len(LANGS)
-
-    def merge(key, pdf):
-        import pandas as pd
-
-        if key[0] < wide:
-            v = sum(np.frombuffer(v, np.uint32).astype(np.int64) for v in pdf["v"])
-            v = v.astype(np.float32)  # only ratios and small counts matter, whatever the size of the corpus
-        else:
-            v = np.minimum(sum(np.frombuffer(v, np.uint8).astype(np.int64) for v in pdf["v"]), 255).astype(np.uint8)
-        return pd.DataFrame({"chunk": [key[0]], "v": [v.tobytes()]})
-
-    got = {r["chunk"]: r["v"] for r in rows.select("question", "answer").mapInArrow(run, "chunk int, v binary").groupBy("chunk").applyInPandas(merge, "chunk int, v binary").collect()}
-    zero = bytes(4 * SIZE)
-    tables = {k: np.frombuffer(got.get(i, zero), np.float32) for i, k in enumerate(TABLES)}
-    lang = np.stack([np.frombuffer(got.get(len(TABLES) + i, zero), np.float32) for i in range(len(LANGS))])
-    seen = np.concatenate([np.frombuffer(got.get(wide + i, bytes(SIZE)), np.uint8) for i in range(2 << COUNT_BITS - BITS)])
-    # log of how much likelier a word is in each language than on average: a byte a cell
-    share = (lang + 0.5) / (lang.sum(axis=1, keepdims=True, dtype=np.float64) + 0.5 * SIZE)
+                        new = [_counted(WORD, h, every, None, None, None, *by_lang)]
+                    else:
+                        # the last word of a text counts only where a stop follows it: its own end is what is asked
+                        sure = ~last | ends
+                        p = _pair(h[:-1], h[1:])
+                        two = (of[1:] == of[:-1]) & ~ends[:-1] & sure[1:]
+                        three = (of[2:] == of[:-2]) & ~ends[:-2] & ~ends[1:-1] & sure[2:]
+                        new = [_counted(WORD, h, every, last & ~ends, sure, sure & ends, *by_lang)]
+                        new.append(_counted(PAIR, p[two], None, None, np.ones(int(two.sum()), bool), ends[1:][two]))
+                        new.append(_counted(AFTER, p[:-1][three], None, None, np.ones(int(three.sum()), bool), ends[2:][three]))
+                    parts += new
+                    held += sum(map(len, new))
+                    if held > 2 * HELD:
+                        parts = [_summed(parts)]
+                        held = len(parts[0])
+                        if held > HELD:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0].T], names=names)
+                            parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _summed(parts).T], names=names)
+
+    part = rows.select("question", "answer").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("kind", "h", *COUNTS)))
+    return part.groupBy("kind", "h").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def word_model(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words known by language, and for each the log of how much likelier it is in each language than on average."""
+    lang = [f"lang_{k}" for k in LANGS]
+    words = counted.where(F.col("kind") == WORD)
+    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in lang)).first()
+    told = words.where(sum((F.col(c) for c in lang), F.lit(0)) >= 5).select("h", *lang).toArrow()
+    h = told["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    n = np.stack([told[c].to_numpy() for c in lang])[:, order]
+    share = (n + 0.5) / (np.array([[total[c]] for c in lang], np.float64) + 0.5 * SMOOTH)
     weight = np.log(share) - np.log(share.mean(axis=0))
-    weight = np.where(lang.sum(axis=0) >= 5, weight, 0).clip(-4, 4).astype(np.float16)
-    return tables, weight, seen
-
+    return h[order], weight.clip(-4, 4).astype(np.float16)
 
-def _rate(t: dict[str, np.ndarray], name: str, at: int, least: int) -> float:
-    n = int(t[name][at])
-    return float(t[name + "_end"][at]) / n if n >= least else -1.0
 
-
-def _languages(low: list[str], weight: np.ndarray) -> list[tuple[int, int, float]]:
+def _languages(low: list[str], known: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
     """For each text: language by function words or -1, by the word model or -1, and the share of Chinese characters."""
     out: list = []
     fw = _function_sets()
@@ -215,7 +220,10 @@ def _languages(low: list[str], weight: np.ndarray) -> list[tuple[int, int, float
         h, of = textkit.words(low[a:b])
         size = np.bincount(of, minlength=b - a)
         hits = np.stack([np.bincount(of[np.isin(h, v)], minlength=b - a) for v in fw.values()])
-        w = weight[:, _slot(h)].astype(np.float32)
+        w = np.zeros((len(LANGS), len(h)), np.float32)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            w = np.where(known[at] == h, weight[:, at], 0).astype(np.float32)
         score = np.stack([np.bincount(of, weights=w[k], minlength=b - a) for k in range(len(LANGS))])
         for i in range(b - a):
             t = low[a + i]
@@ -228,22 +236,23 @@ def _languages(low: list[str], weight: np.ndarray) -> list[tuple[int, int, float
     return out
 
 
-def votes(questions: list[str | None], answers: list[str | None], tables: dict[str, np.ndarray], weight: np.ndarray, seen: np.ndarray) -> list[tuple[int, ...]]:
-    """Votes of all labelling functions, in the order of FUNCTIONS, for each pair."""
+def votes(questions: list[str | None], answers: list[str | None], known: np.ndarray, weight: np.ndarray) -> list[tuple[tuple[int, ...], tuple | None]]:
+    """Votes of all labelling functions, in the order of FUNCTIONS, for each pair; with the keys of its last words
+    for an answer whose end the counts must judge."""
     low_a = [(x or "").lower() for x in answers]
     low_q = [(x or "").lower() for x in questions]
-    lang_a, lang_q = _languages(low_a, weight), _languages(low_q, weight)
-    return [_votes_one(q, a, answers[i] or "", la, lq, tables, seen) for i, (q, a, la, lq) in enumerate(zip(low_q, low_a, lang_a, lang_q))]
+    lang_a, lang_q = _languages(low_a, known, weight), _languages(low_q, known, weight)
+    return [_votes_one(q, a, answers[i] or "", la, lq) for i, (q, a, la, lq) in enumerate(zip(low_q, low_a, lang_a, lang_q))]
 
 
-def _votes_one(q: str, a: str, raw: str, la, lq, tables, seen) -> tuple[int, ...]:
+def _votes_one(q: str, a: str, raw: str, la, lq) -> tuple[tuple[int, ...], tuple | None]:
     bare = _STRIP.sub(" ", a).strip()
     words = _WORD.findall(bare)
     core_text = bare.strip("()[]{}\"'.-–—*_ ")
     placeholder = not words or core_text in PLACEHOLDERS
     empty = (1 if not words else -1, 1 if placeholder else -1, 0 if len(bare) <= 14 else -1)
     if placeholder:
-        return ((1, 1, 0) if not words else (0, 1, 0)) + (-1,) * 17
+        return ((1, 1, 0) if not words else (0, 1, 0)) + (-1,) * 17, None
 
     # copies_question
     own = _WORD.findall(_LABEL.sub("", a, count=1))
@@ -283,10 +292,13 @@ def _votes_one(q: str, a: str, raw: str, la, lq, tables, seen) -> tuple[int, ...
     else:
         language = (0, 0, -1)
 
-    return (*empty, *copies, *refusal, *language, *_truncation(a, raw, words, tables, seen))
+    truncated, keys = _truncation(a, raw, words)
+    return (*empty, *copies, *refusal, *language, *truncated), keys
 
 
-def _truncation(a: str, raw: str, words: list[str], tables, seen) -> tuple[int, ...]:
+def _truncation(a: str, raw: str, words: list[str]) -> tuple[tuple[int, ...], tuple | None]:
+    """Votes on truncation as far as the text alone gives them, and for an open end (last word, last pair, pair before the
+    last word, is a function word, is a list item), which :func:`ends` judges."""
     text = a.rstrip()
     tail = text.rstrip(_AFTER_CLOSED)
     closed = bool(tail) and tail[-1] in _CLOSED or text[-1:] in "\"”»)" and len(words) > 3 or bool(_URL_END.search(text))
@@ -296,34 +308,46 @@ def _truncation(a: str, raw: str, words: list[str], tables, seen) -> tuple[int,
     mark = -1 if closed and not open_bracket else 1 if hanging or open_bracket else 0
     bracket = 1 if open_bracket or hanging else 0
     if mark == -1 or len(words) < 4:
-        return (-1, 0, 0, 0, 0, bracket)
+        return (-1, 0, 0, 0, 0, bracket), None
     if mark == 1:
-        return (1, 0, 0, 0, 0, bracket)
+        return (1, 0, 0, 0, 0, bracket), None
     segment = _SEGMENT.split(text)[-1]
     last = _scan_texts([segment])[0]
     if not len(last):
-        return (0, 0, 0, 0, 0, bracket)
-    h1 = last[-1:]
-    place = int(_slot(h1, COUNT_BITS)[0])
-    count, open_ends = int(seen[place]), int(seen[(1 << COUNT_BITS) + place])
-    here = int(_slot(h1)[0])
-    common = int(tables["word"][here]) >= 20 and count >= 20
-    hangs = bool(np.isin(h1, _all_function_words())[0])
-    pair_end = after = word_end = 0
-    if len(last) > 1:
-        r = _rate(tables, "pair", int(_slot(_pair(last[-2:-1], h1))[0]), 5)
-        pair_end = 0 if r < 0 else 1 if r < 0.04 else -1 if r > 0.25 else 0
-    if not pair_end:  # the pair says more than the word alone
-        r = _rate(tables, "word", here, 3 if hangs else 20)
-        word_end = 0 if not (common or hangs) or r < 0 else 1 if r < 0.01 else -1 if r > 0.2 else 0
-    if not common and len(last) > 2:
-        r = _rate(tables, "after", int(_slot(_pair(last[-3:-2], last[-2:-1]))[0]), 5)
-        after = 0 if r < 0 else 1 if r < 0.05 else -1 if r > 0.3 else 0
+        return (0, 0, 0, 0, 0, bracket), None
+    hangs = bool(np.isin(last[-1:], _all_function_words())[0])
+    signed = lambda x: int(x.view(np.int64)[0])
+    pair = signed(_pair(last[-2:-1], last[-1:])) if len(last) > 1 else None
+    before = signed(_pair(last[-3:-2], last[-2:-1])) if len(last) > 2 else None
+    listed = bool(_LISTED.match(text[text.rfind("\n") + 1 :]))
+    return (mark, 0, 0, 0, 0, bracket), (signed(last[-1:].copy()), pair, before, hangs, listed)
+
+
+def ends(open_answers: DataFrame, counted: DataFrame) -> DataFrame:
+    """(rec_table, id, votes): the votes of answers with an open end, joined with the counts of their last words."""
+    of = lambda kind, key, *cs: counted.where(F.col("kind") == kind).select(F.col("h").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in cs))
+    x = open_answers.join(of(WORD, "last", "n", "open_ends", "sure", "sure_end"), "last", "left").join(of(PAIR, "pair", "sure", "sure_end"), "pair", "left").join(of(AFTER, "before", "sure", "sure_end"), "before", "left")
+
+    def vote(key: str, least: int | Column, low: float, high: float) -> Column:
+        r = F.col(f"{key}_sure_end") / F.col(f"{key}_sure")
+        return F.when(F.col(f"{key}_sure") >= least, F.when(r < low, 1).when(r > high, -1)).otherwise(0)
+
+    whole = lambda c: F.coalesce(c, F.lit(0))
+    x = x.withColumn("common", whole(F.col("last_sure")) >= 20).withColumn("common", F.col("common") & (whole(F.col("last_n")) >= 20))
+    x = x.withColumn("pair_end", whole(vote("pair", 5, 0.04, 0.25)))
+    # the pair says more than the word alone
+    x = x.withColumn("word_end", F.when((F.col("pair_end") == 0) & (F.col("common") | F.col("hangs")), whole(vote("last", F.when(F.col("hangs"), 3).otherwise(20), 0.01, 0.2))).otherwise(0))
+    x = x.withColumn("after_pair", F.when(~F.col("common"), whole(vote("before", 5, 0.05, 0.3))).otherwise(0))
     # a piece of a word hardly occurs but where texts break off
-    fragment = 1 if count < 200 and 2 * open_ends >= count else -1 if count >= 20 and (word_end == -1 or pair_end == -1) else 0
-    if 1 not in (pair_end, word_end, after, fragment) and _LISTED.match(text[text.rfind("\n") + 1 :]):
-        return (-1, 0, 0, 0, 0, bracket)  # list items need no closing mark
-    return (mark, pair_end, word_end, after, fragment, bracket)
+    n, broken = whole(F.col("last_n")), whole(F.col("last_open_ends"))
+    x = x.withColumn("fragment", F.when((n < 200) & (2 * broken >= n), 1).when((n >= 20) & ((F.col("word_end") == -1) | (F.col("pair_end") == -1)), -1).otherwise(0))
+    four = ("pair_end", "word_end", "after_pair", "fragment")
+    # list items need no closing mark
+    item = F.col("listed") & (F.greatest(*four) < 1)
+    at = sum(len(v) for d, v in FUNCTIONS.items() if d != "truncated")
+    mark = F.when(item, -1).otherwise(F.element_at("votes", at + 1))
+    judged = F.array(*(F.when(item, 0).otherwise(F.col(c)).cast("tinyint") for c in four))
+    return x.select("rec_table", "id", F.concat(F.slice("votes", 1, at), F.array(mark.cast("tinyint")), judged, F.slice("votes", at + 6, 1)).alias("votes"))
 
 
 def learn(patterns: dict[tuple[int, ...], int], rounds: int = 60, prior: float = 0.03) -> dict[tuple[int, ...], float]:
@@ -362,27 +386,32 @@ def label(rows: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame
     """(rec_table, id, defect, posterior): every label over its cutoff."""
     cutoffs = {**CUTOFFS, **(cutoffs or {})}
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(count_tables(rows))  # a fixed few MB
+    counted = cut_lineage(counts(rows))
+    shared = spark.sparkContext.broadcast(word_model(counted))  # words that occur five times in texts of a clear language
     spans, k = {}, 0
     for d in DEFECTS:
         spans[d] = (k, k + len(FUNCTIONS[d]))
         k += len(FUNCTIONS[d])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, weight, seen = shared.value
+        known, weight = shared.value
         for whole in batches:
             for o in range(0, whole.num_rows, 1000):
                 b = whole.slice(o, 1000)
-                v = votes(b["question"].to_pylist(), b["answer"].to_pylist(), tables, weight, seen)
-                yield pa.RecordBatch.from_arrays([b["rec_table"], b["id"], pa.array([list(x) for x in v], pa.list_(pa.int8()))], names=["rec_table", "id", "votes"])
-
-    voted = cut_lineage(rows.mapInArrow(run, "rec_table string, id string, votes array<tinyint>"))
-    counted = voted.groupBy("votes").count().collect()  # vote patterns, not rows
+                v = votes(b["question"].to_pylist(), b["answer"].to_pylist(), known, weight)
+                keys = [k or (None,) * 5 for _, k in v]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b["rec_table"], b["id"], pa.array([list(x) for x, _ in v], pa.list_(pa.int8())), *(pa.array([k[j] for k in keys], t) for j, t in enumerate(kinds))], names=["rec_table", "id", "votes", "last", "pair", "before", "hangs", "listed"])
+
+    first = cut_lineage(rows.mapInArrow(run, "rec_table string, id string, votes array<tinyint>, last bigint, pair bigint, before bigint, hangs boolean, listed boolean"))
+    judged = cut_lineage(ends(first.where("last IS NOT NULL"), counted))
+    voted = first.where("last IS NULL").select("rec_table", "id", "votes").unionByName(judged)
+    patterns = voted.groupBy("votes").count().collect()  # vote patterns, not rows
     post: list[tuple] = []
     for d in DEFECTS:
         a, z = spans[d]
         by: dict[tuple[int, ...], int] = {}
-        for r in counted:
+        for r in patterns:
             key = tuple(r["votes"][a:z])
             by[key] = by.get(key, 0) + r["count"]
         gate, prior = GATES.get(d, (None, 0.03))
