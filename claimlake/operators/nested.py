@@ -11,6 +11,7 @@ where other records hold an array is element 0 of it.
 Defined cases: null, empty and malformed text gives no row; JSON inside strings (the whole value or
 a member) is read; null elements keep their places and give no row; repeated rows of an id give
 each path once, the latest delivery counts; other columns are ignored; an empty table gives no rows.
+The flat tables of :func:`tables` hold every scalar, null ones too; text that only looks like JSON is a scalar.
 """
 
 from __future__ import annotations
@@ -266,3 +267,85 @@ def scalars(found: DataFrame) -> DataFrame:
     members = F.from_json("value", "map<string,string>")
     flat = F.map_filter(members, lambda k, v: v.isNull() | ~(v.startswith("{") | v.startswith("[")))
     return found.select("rec_table", "id", "path", "parent", flat.alias("fields"))
+
+
+class _Members(list):
+    """The members of a JSON object as (key, value), all of a repeated key."""
+
+
+class _Written(str):
+    """A number as it is written."""
+
+
+def _value(text: str):
+    return json.loads(text, object_pairs_hook=_Members, parse_float=_Written, parse_int=_Written, parse_constant=_Written)
+
+
+def _read(x):
+    """The JSON inside a string, else the value itself."""
+    if isinstance(x, str) and x[:1] in ("{", "["):
+        inner = unwrap(x)
+        return x if inner is None else _value(inner)
+    return x
+
+
+def _text(x) -> str | None:
+    if isinstance(x, str):
+        return x if x.isascii() else x.encode("utf-8", "replace").decode()
+    return None if x is None else "true" if x else "false"
+
+
+def flat(text: str, root: str) -> Iterator[tuple[str, str | None, str | None, int | None, str | None]]:
+    """(path, parent, name, place, value) of a valid text: each scalar member of each object, and each scalar item of each
+    array with its place.  An object without scalars and a root have a row of their own, so that every ``parent``, the
+    nearest object above or the root, is there; lone objects carry the mark."""
+    value = _value(text)
+    if not isinstance(value, _Members):
+        yield root, None, None, None, None
+    todo = [(value, root, None if isinstance(value, _Members) else root)]
+    while todo:
+        value, path, parent = todo.pop()
+        if isinstance(value, _Members):
+            empty = True
+            for k, x in value:
+                x = _read(x)
+                if isinstance(x, list):
+                    todo.append((x, f"{path}.{k}" + (LONE if isinstance(x, _Members) else ""), path))
+                else:
+                    empty = False
+                    yield path, parent, k, None, _text(x)
+            if empty:
+                yield path, parent, None, None, None
+        else:
+            for i, x in enumerate(value):
+                x = _read(x)
+                if isinstance(x, list):
+                    todo.append((x, f"{path}[{i}]", parent))
+                else:
+                    yield path, parent, None, i, _text(x)
+
+
+def tables(rows: DataFrame) -> DataFrame:
+    """(rec_table, id, path, parent, name, place, value): all objects, root and lone ones too, with their scalar members by
+    ``name``, and all scalar array items by the array's ``path`` and their ``place``, of rows (rec_table, id, root, text)."""
+    arrays = mixed_paths(rows)
+    schema = pa.schema([("path", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("place", pa.int32()), ("value", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots, texts = batch["root"].to_pylist(), batch["text"].to_pylist()
+            for s in range(0, len(texts), 500):
+                at: list[int] = []
+                out: list[tuple] = []
+                for i in range(s, min(s + 500, len(texts))):
+                    text = unwrap(texts[i])
+                    if text is None:
+                        continue
+                    for path, parent, name, place, value in flat(text, roots[i]):
+                        at.append(i)
+                        out.append((_text(resolve(path, arrays)), None if parent is None else _text(resolve(parent, arrays)), _text(name), place, value))
+                take = pa.array(at, pa.int32())
+                columns = [pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)]
+                yield pa.RecordBatch.from_arrays([batch["rec_table"].take(take), batch["id"].take(take), *columns], names=["rec_table", "id", *schema.names])
+
+    return rows.select("rec_table", "id", "root", "text").mapInArrow(run, "rec_table string, id string, path string, parent string, name string, place int, value string")

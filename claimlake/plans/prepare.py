@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from claimlake.operators import drift, nested
 
@@ -20,17 +19,16 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.table(_t(spark, d, "run_lines"))
 
 
-def _elements(spark: SparkSession, d: str) -> DataFrame:
-    return nested.elements(nested.qa_rows(_t(spark, d, "qa_items"), _t(spark, d, "qa_split_items")))
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return nested.qa_rows(_t(spark, d, "qa_items"), _t(spark, d, "qa_split_items"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _elements(spark, d).select("rec_table", "id", "path")
+    return nested.elements(_rows(spark, d)).select("rec_table", "id", "path")
 
 
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
-    flat = nested.scalars(_elements(spark, d))
-    return flat.select("rec_table", "id", "path", "parent", F.explode_outer("fields").alias("name", "value"))
+    return nested.tables(_rows(spark, d))
 
 
 QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found, "p6_tables": p6_tables}
