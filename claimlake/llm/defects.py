@@ -340,7 +340,7 @@ def ends(open_answers: DataFrame, counted: DataFrame) -> DataFrame:
     x = x.withColumn("after_pair", F.when(~F.col("common"), whole(vote("before", 5, 0.05, 0.3))).otherwise(0))
     # a piece of a word hardly occurs but where texts break off
     n, broken = whole(F.col("last_n")), whole(F.col("last_open_ends"))
-    x = x.withColumn("fragment", F.when((n < 200) & (2 * broken >= n), 1).when((n >= 20) & ((F.col("word_end") == -1) | (F.col("pair_end") == -1)), -1).otherwise(0))
+    x = x.withColumn("fragment", F.when(2 * broken >= n, 1).when((n >= 20) & ((F.col("word_end") == -1) | (F.col("pair_end") == -1)), -1).otherwise(0))
     four = ("pair_end", "word_end", "after_pair", "fragment")
     # list items need no closing mark
     item = F.col("listed") & (F.greatest(*four) < 1)
