@@ -2,9 +2,10 @@
 
 For each defect several labelling functions vote 1 (defective), -1 (not) or 0 (abstain).  The vote
 patterns of all items are counted; their number is bounded by the functions, not by the data.
-An expectation-maximization label model per defect learns, from these counts alone, how far
-each function can be trusted, and gives each pattern a posterior.  An item keeps every
-label whose posterior exceeds the label's cutoff; :func:`found` keeps the first in DEFECTS order.
+An expectation-maximization label model per defect learns, from the counts of one half of the items (by the hash of
+their ids), how far each function can be trusted, and gives each pattern a posterior.  The cutoff of each defect is
+validated on the other half, see :func:`validated`.  An item keeps every label whose posterior exceeds the label's
+cutoff; :func:`found` keeps the first in DEFECTS order.
 
 Functions for truncation and language rest on exact counts over all texts, keyed by 64-bit hashes: how often
 a word, a word pair, or the word after a pair ends a sentence; how often a word occurs; how often a
@@ -32,14 +33,15 @@ from claimlake.runtime import cut_lineage
 
 #: In the order in which one label is chosen when several exceed their cutoffs.
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
-CUTOFFS = {"empty": 0.5, "copies_question": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.7}
+#: Cutoffs to choose from on the held-out half.
+GRID = tuple(round(0.3 + 0.05 * i, 2) for i in range(14))
 #: Labelling functions of each defect, in the order of their votes.
 FUNCTIONS = {
     "empty": ("no_word", "placeholder", "short"),
     "copies_question": ("words_inside", "pairs_inside", "length", "opens_alike"),
-    "refusal": ("core", "mostly_refusing", "opener", "short"),
+    "refusal": ("clause", "speaker", "to_the_asker", "opener", "names_nothing"),
     "other_language": ("function_words", "word_model", "script"),
-    "truncated": ("mark", "pair_end", "word_end", "after_pair", "fragment", "bracket"),
+    "truncated": ("mark", "pair_end", "word_end", "after_pair", "fragment", "function_word", "unfinished"),
 }
 
 #: Defects that can only be where a function does not say no: the place of its vote and the share of defects to start from.
@@ -48,38 +50,48 @@ GATES = {"truncated": (0, 0.4)}
 # What stands for no answer.
 PLACEHOLDERS = frozenset("na n/a n.a n.a. none null nan nil tbd todo empty blank unknown missing undefined nothing".split()) | {"no answer", "not available", "no data", "to do", "not provided", "no response", "answer"}
 
-_STRIP = regex.compile(r"<[^<>]{0,40}>|&(?:nbsp|#160);?|[\s\p{Z}\p{C}]+")
+_STRIP = regex.compile(r"<[^<>]*>|&(?:nbsp|#160);?|[\s\p{Z}\p{C}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _LABEL = regex.compile(r"^[\s\W]*(?:q|a|question|answer|you asked|frage|antwort|pregunta|respuesta|réponse|pergunta|resposta)\s*\**\s*[:：]\s*\**", regex.I)
 _SENTENCE = regex.compile(r"[^.!?。！？\n]+[.!?。！？\n]*")
-_CORE = regex.compile(
-    r"\b(?:can(?:no|')t|can not|unable|not able|won't be able|will not be able|declin\w*|refus\w*|rather not|refrain|not allow\w*|not permitted|not have the ability|don't have the ability|not in a position)\b.{0,60}?\b(?:provide|help|assist|answer\w*|shar\w*|discuss|respond|comment|advi[sc]\w*|request|that|information|recommend\w*|give|say)"
-    r"|\b(?:against my (?:policy|guidelines|rules)|would(?: not|n't) be appropriate|no answer can be given|guidelines do(?: not|n't)|not able to answer)"
-    r"|\bno (?:puedo|me es posible|estoy autorizad\w+)\b|\bme es imposible\b|\bne (?:peux|puis) pas\b|m'est impossible|ne suis pas (?:en mesure|autorisé)|(?:kann|darf|möchte) ich (?:\w+ ){0,3}?(?:nicht|keine?)|ich (?:kann|darf|möchte) (?:\w+ ){0,4}?(?:nicht|keine?)\b|nicht (?:möglich|beantworten)|\bnão (?:posso|me é possível|consigo)\b|não tenho permissão|\bimpossível (?:para mim|dar)"
-    r"|无法(?:回答|提供|协助|帮助|给出)|不能(?:回答|提供|协助|帮助|给出)|抱歉|对不起",
-    regex.I,
+# A refusing clause: ability, permission or will denied of an act of speech or help.
+_DENIED = (
+    r"(?:can(?:no|')t|can not|unable|not able|won't|will not|declin\w*|refus\w*|refrain\w*|(?:'d|would) rather not|prefer not|not (?:be )?(?:allow|permit|authori[sz]|appropriate|right|proper)\w*"
+    r"|not have (?:the )?(?:ability|permission|right)|not in a position|against (?:my|our|the)|no\s+(?:answer|advice|information|recommendation|comment)\w*)"
 )
-_NOT_CORE = regex.compile(r"cannot stress|can't stress|say exactly|cannot swallow|good news", regex.I)
-_OPENER = regex.compile(
-    r"^[\s\W]*(?:as an (?:ai|assistant)|i(?:'m| am) (?:really |very |so )?sorry|sorry|apolog|i apologi[sz]e|unfortunately|i (?:can't|cannot|must|have to)|thank you for reaching|i understand (?:this|that|your)|that's a good question|lo siento|lamento|je suis désolé|désolé|es tut mir leid|leider|entschuldig|desculpe|lamento|sinto muito|抱歉|对不起|很抱歉)",
-    regex.I,
+_SPEECH = (
+    r"(?:answer|assist|help|discuss|respond|comment|recommend|offer)(?:s|ed|ing)?\b|(?:recommendation|response|reply|replies|advice|assistance|information|polic(?:y|ies)|guideline|rule)s?\b"
+    r"|(?:provid|shar|advis|giv)(?:e|es|ed|en|ing)\b"
 )
-_POLITE = regex.compile(
-    r"please|consult|rephrase|is there something else|for your safety|speak with|seek|professional|clinician|your own doctor|your doctor|acuda|consulte|su médico|votre médecin|consultez|veuillez|ihren arzt|arzt|bitte|procure|seu médico|请|医生|individual treatment|worrying|reaching out|good question|ai language model|assistant|sorry|apolog|désolé|siento|leid|desculp|lamento",
-    regex.I,
+_CLAUSE = regex.compile(rf"\b(?:{_DENIED}(?:\W+\w+){{0,4}}?\W+(?:{_SPEECH})|(?:{_SPEECH})(?:\W+\w+){{0,4}}?\W+{_DENIED}|(?:must|have to|will|shall|would|do) (?:declin|refus|refrain)\w*)")
+_CLAUSE_ELSEWHERE = regex.compile(
+    r"\bno (?:puedo|podemos|me es posible|estoy autorizad\w+)\b|\bme es imposible\b|\bne (?:peux|puis|pouvons) pas\b|\bm'est impossible\b|\bne suis pas (?:en mesure|autorisé)"
+    r"|\b(?:kann|darf|möchte) ich (?:\w+ ){0,4}?(?:nicht|keine?)\b|\bich (?:kann|darf|möchte) (?:\w+ ){0,4}?(?:nicht|keine?)\b|\bmir (?:ist es |ist )?(?:nicht möglich|nicht erlaubt)"
+    r"|\bnão (?:posso|podemos|me é possível|consigo|tenho permissão)\b|\bimpossível para mim\b|(?:无法|不能|不便)(?:\w{0,4})(?:回答|提供|协助|帮助|给出)"
 )
+#: Cheap test that must hold where a refusing clause is.
+_MAY_DENY = regex.compile(r"can'?n?o?t|unable|not|n't|declin|refus|refrain|against|no |imposs|peux|puis|pouvons|suis pas|kann|darf|möcht|mir |não|无法|不能|不便")
+# Pronouns of the two who talk, apologies and requests, by language: what is said to the asker rather than of the matter.
+_SELF = regex.compile(r"\b(?:i|i'm|i'd|i've|me|my|we|our|us|this assistant|puedo|podemos|me|mi|je|j'|m'|ich|mir|wir|posso|podemos|mim|consigo|tenho)\b|我")
+_ASKER = regex.compile(r"\b(?:i|i'm|i'd|me|my|we|our|you|your|yours|please|su|usted|consulte|acuda|votre|vous|veuillez|ihr\w*|sie|bitte|seu|sua|você|procure|puedo|je|ich|mir|posso)\b|m'est|我|您|你|请")
+_OPENER = regex.compile(r"^[\s\W]*(?:as an? \w+|(?:i(?:'m| am) (?:\w+ ){0,2})?sorry|i apologi[sz]e|apologies|unfortunately|regrettably|lo siento|lamento|je suis désolée?|désolée?|es tut mir leid|leider|entschuldig\w*|desculpe|sinto muito|很?抱歉|对不起)\b")
+#: A list item, and the mark of one without its item at the end of a list.
 _LISTED = regex.compile(r"^\s*(?:[-*•·–]|\d{1,3}[.)])\s+\S")
+_BARE_ITEM = regex.compile(r"\S\s*\n[ \t]*(?:[-*•·–]|\d{1,3}[.)])$")
 _SEGMENT = regex.compile(r"[.!?。！？;；\n]")
 _URL_END = regex.compile(r"https?://\S+$|\bwww\.\S+$")
-_CLOSED = frozenset(".!?。！？…")
+_CLOSED = frozenset(".!?。！？")
+_ELLIPSIS = ("...", "…")
 _AFTER_CLOSED = "\"'”’»)]*_  \t\n"
 _HANGING = frozenset(",;:，；、([{-–/&+")
 
 LANGS = tuple(FUNCTION_WORDS)
 #: The half counts of the word model are dealt over so many words a language.
 SMOOTH = 1 << 18
-#: What is counted: words, word pairs, and by the pair before it the word after a pair.
-WORD, PAIR, AFTER = 0, 1, 2
+#: Words that the language model holds are at least one in so many of all words, which bounds their number.
+RAREST = 1 << 20
+#: What is counted: words, word pairs, by the pair before it the word after a pair, and whole sentences of up to three words.
+WORD, PAIR, AFTER, WHOLE = 0, 1, 2, 3
 COUNTS = ("n", "open_ends", "sure", "sure_end", *(f"lang_{k}" for k in LANGS))
 #: Distinct keys that a task holds before it passes its counts on.
 HELD = 300_000
@@ -132,6 +144,19 @@ def _scan_texts(low: list[str]) -> tuple[np.ndarray, ...]:
     return h, of, ends, last
 
 
+def _short_sentences(h: np.ndarray, of: np.ndarray, ends: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the sentences of up to three words, and which of them are closed."""
+    stop = np.flatnonzero(ends | last)
+    start = np.r_[0, stop[:-1] + 1]
+    size = stop - start + 1
+    short = size <= 3
+    start, stop, size = start[short], stop[short], size[short]
+    out = size.astype(np.uint64)
+    for i in range(3):
+        out = np.where(size > i, textkit.mix64(out * np.uint64(0xD6E8FEB86659FD93) + h[np.minimum(start + i, stop)]), out)
+    return out, ends[stop]
+
+
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
     """Rows (kind, hash, counts) with the counts of equal keys added up."""
     x = np.concatenate(parts)
@@ -183,6 +208,8 @@ def counts(rows: DataFrame) -> DataFrame:
                         new = [_counted(WORD, h, every, last & ~ends, sure, sure & ends, *by_lang)]
                         new.append(_counted(PAIR, p[two], None, None, np.ones(int(two.sum()), bool), ends[1:][two]))
                         new.append(_counted(AFTER, p[:-1][three], None, None, np.ones(int(three.sum()), bool), ends[2:][three]))
+                        whole, closed = _short_sentences(h, of, ends, last)
+                        new.append(_counted(WHOLE, whole, np.ones(len(whole), bool), ~closed, None, closed))
                     parts += new
                     held += sum(map(len, new))
                     if held > 2 * HELD:
@@ -203,7 +230,8 @@ def word_model(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     lang = [f"lang_{k}" for k in LANGS]
     words = counted.where(F.col("kind") == WORD)
     total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in lang)).first()
-    told = words.where(sum((F.col(c) for c in lang), F.lit(0)) >= 5).select("h", *lang).toArrow()
+    least = max(5, sum(total) // RAREST)  # hence at most RAREST words
+    told = words.where(sum((F.col(c) for c in lang), F.lit(0)) >= least).select("h", *lang).toArrow()
     h = told["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     n = np.stack([told[c].to_numpy() for c in lang])[:, order]
@@ -252,7 +280,7 @@ def _votes_one(q: str, a: str, raw: str, la, lq) -> tuple[tuple[int, ...], tuple
     placeholder = not words or core_text in PLACEHOLDERS
     empty = (1 if not words else -1, 1 if placeholder else -1, 0 if len(bare) <= 14 else -1)
     if placeholder:
-        return ((1, 1, 0) if not words else (0, 1, 0)) + (-1,) * 17, None
+        return ((1, 1, 0) if not words else (0, 1, 0)) + (-1,) * 19, None
 
     # copies_question
     own = _WORD.findall(_LABEL.sub("", a, count=1))
@@ -268,17 +296,7 @@ def _votes_one(q: str, a: str, raw: str, la, lq) -> tuple[tuple[int, ...], tuple
     else:
         copies = (-1, -1, -1, 0)
 
-    # refusal
-    core = refusing = polite = 0
-    if len(a) < 1200 and _CORE.search(a):
-        for s in _SENTENCE.findall(a):
-            if _CORE.search(s) and not _NOT_CORE.search(s):
-                core += 1
-                refusing += len(s)
-            elif _POLITE.search(s):
-                polite += len(s)
-    share = (refusing + polite) / max(1, len(a))
-    refusal = (1 if core else -1, 1 if core and share >= 0.7 else -1, 1 if _OPENER.search(a) else 0, 0 if len(a) < 220 else -1)
+    refusal = _refusal(a, asked)
 
     # other_language; Chinese counts as one more language, told by its script
     (f_a, m_a, cjk_a), (f_q, m_q, cjk_q) = la, lq
@@ -287,7 +305,7 @@ def _votes_one(q: str, a: str, raw: str, la, lq) -> tuple[tuple[int, ...], tuple
     if cjk_q > 0.3:
         f_q = m_q = len(LANGS)
     m_q = m_q if m_q >= 0 else f_q
-    if asked and len(a) >= 8:
+    if asked:
         language = (0 if f_a < 0 or f_q < 0 else 1 if f_a != f_q else -1, 0 if m_a < 0 or m_q < 0 else 1 if m_a != m_q else -1, 1 if (cjk_a > 0.3) != (cjk_q > 0.3) else -1)
     else:
         language = (0, 0, -1)
@@ -296,37 +314,51 @@ def _votes_one(q: str, a: str, raw: str, la, lq) -> tuple[tuple[int, ...], tuple
     return (*empty, *copies, *refusal, *language, *truncated), keys
 
 
+def _refusal(a: str, asked: list[str]) -> tuple[int, ...]:
+    """Votes on refusal: that a clause denies an act of speech; who its subject is; how much of the answer is said to
+    the asker; how it opens; and whether it names more of the question than a refusal does."""
+    opener = 1 if _OPENER.search(a) else 0
+    sentences = _SENTENCE.findall(a)
+    denied = [s for s in sentences if _MAY_DENY.search(s) and (_CLAUSE.search(s) or _CLAUSE_ELSEWHERE.search(s))]
+    if not denied:
+        return (-1, 0, 0 if opener else -1, opener, 0)
+    # a clause whose subject is a third person tells of somebody else
+    speaker = 1 if any(_SELF.search(s) for s in denied) else 0
+    said = sum(len(s) for s in sentences if s in denied or _ASKER.search(s))
+    share = said / max(1, len(a))
+    rare = {w for w in asked if len(w) > 4}
+    named = sum(w in rare for w in set(_WORD.findall(a)))
+    return (1, speaker, 1 if share >= 0.7 else -1 if share < 0.5 else 0, opener, 0 if named <= 2 else -1)
+
+
 def _truncation(a: str, raw: str, words: list[str]) -> tuple[tuple[int, ...], tuple | None]:
     """Votes on truncation as far as the text alone gives them, and for an open end (last word, last pair, pair before the
-    last word, is a function word, is a list item), which :func:`ends` judges."""
+    last word, whole sentence if short, is a function word, is a list item), which :func:`ends` judges."""
     text = a.rstrip()
     tail = text.rstrip(_AFTER_CLOSED)
-    closed = bool(tail) and tail[-1] in _CLOSED or text[-1:] in "\"”»)" and len(words) > 3 or bool(_URL_END.search(text))
     pairs = (("(", ")"), ("[", "]"), ("“", "”"), ("（", "）"))
-    open_bracket = any(text.count(x) > text.count(y) for x, y in pairs)
-    hanging = text[-1:] in _HANGING
-    mark = -1 if closed and not open_bracket else 1 if hanging or open_bracket else 0
-    bracket = 1 if open_bracket or hanging else 0
-    if mark == -1 or len(words) < 4:
-        return (-1, 0, 0, 0, 0, bracket), None
-    if mark == 1:
-        return (1, 0, 0, 0, 0, bracket), None
+    unfinished = any(text.count(x) > text.count(y) for x, y in pairs) or text[-1:] in _HANGING or text.endswith(_ELLIPSIS) or bool(_BARE_ITEM.search(text))
+    closed = bool(tail) and tail[-1] in _CLOSED or text[-1:] in "\"”»)" or bool(_URL_END.search(text))
+    if unfinished or closed:
+        return (1 if unfinished else -1, 0, 0, 0, 0, 0, int(unfinished)), None
     segment = _SEGMENT.split(text)[-1]
-    last = _scan_texts([segment])[0]
-    if not len(last):
-        return (0, 0, 0, 0, 0, bracket), None
-    hangs = bool(np.isin(last[-1:], _all_function_words())[0])
+    h, of, stops, last = _scan_texts([segment])
+    if not len(h) or len(words) == 1:  # an answer of one word has no sentence that could be cut
+        return (0,) * 7, None
+    hangs = bool(np.isin(h[-1:], _all_function_words())[0])
     signed = lambda x: int(x.view(np.int64)[0])
-    pair = signed(_pair(last[-2:-1], last[-1:])) if len(last) > 1 else None
-    before = signed(_pair(last[-3:-2], last[-2:-1])) if len(last) > 2 else None
+    pair = signed(_pair(h[-2:-1], h[-1:])) if len(h) > 1 else None
+    before = signed(_pair(h[-3:-2], h[-2:-1])) if len(h) > 2 else None
+    whole = signed(_short_sentences(h, of, stops, last)[0][-1:].copy()) if len(h) <= 3 else None
     listed = bool(_LISTED.match(text[text.rfind("\n") + 1 :]))
-    return (mark, 0, 0, 0, 0, bracket), (signed(last[-1:].copy()), pair, before, hangs, listed)
+    return (0,) * 7, (signed(h[-1:].copy()), pair, before, whole, hangs, listed)
 
 
 def ends(open_answers: DataFrame, counted: DataFrame) -> DataFrame:
     """(rec_table, id, votes): the votes of answers with an open end, joined with the counts of their last words."""
     of = lambda kind, key, *cs: counted.where(F.col("kind") == kind).select(F.col("h").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in cs))
     x = open_answers.join(of(WORD, "last", "n", "open_ends", "sure", "sure_end"), "last", "left").join(of(PAIR, "pair", "sure", "sure_end"), "pair", "left").join(of(AFTER, "before", "sure", "sure_end"), "before", "left")
+    x = x.join(of(WHOLE, "whole", "sure_end"), "whole", "left")
 
     def vote(key: str, least: int | Column, low: float, high: float) -> Column:
         r = F.col(f"{key}_sure_end") / F.col(f"{key}_sure")
@@ -341,39 +373,72 @@ def ends(open_answers: DataFrame, counted: DataFrame) -> DataFrame:
     # a piece of a word hardly occurs but where texts break off
     n, broken = whole(F.col("last_n")), whole(F.col("last_open_ends"))
     x = x.withColumn("fragment", F.when(2 * broken >= n, 1).when((n >= 20) & ((F.col("word_end") == -1) | (F.col("pair_end") == -1)), -1).otherwise(0))
-    four = ("pair_end", "word_end", "after_pair", "fragment")
-    # list items need no closing mark
-    item = F.col("listed") & (F.greatest(*four) < 1)
+    # a function word can end a sentence only where the corpus has it so
+    x = x.withColumn("function_word", F.when(F.col("hangs") & (F.col("word_end") != -1) & (F.col("pair_end") != -1), 1).otherwise(0))
+    five = ("pair_end", "word_end", "after_pair", "fragment", "function_word")
+    # list items need no closing mark, nor short sentences that are closed elsewhere
+    item = (F.col("listed") & (F.greatest(*five) < 1)) | (whole(F.col("whole_sure_end")) > 0)
     at = sum(len(v) for d, v in FUNCTIONS.items() if d != "truncated")
     mark = F.when(item, -1).otherwise(F.element_at("votes", at + 1))
-    judged = F.array(*(F.when(item, 0).otherwise(F.col(c)).cast("tinyint") for c in four))
-    return x.select("rec_table", "id", F.concat(F.slice("votes", 1, at), F.array(mark.cast("tinyint")), judged, F.slice("votes", at + 6, 1)).alias("votes"))
+    judged = F.array(*(F.when(item, 0).otherwise(F.col(c)).cast("tinyint") for c in five))
+    return x.select("rec_table", "id", F.concat(F.slice("votes", 1, at), F.array(mark.cast("tinyint")), judged, F.slice("votes", at + 7, 1)).alias("votes"))
+
 
+Model = tuple[float, np.ndarray]  # share of defective items; rates of positive votes among cast votes, by class and function
 
-def learn(patterns: dict[tuple[int, ...], int], rounds: int = 60, prior: float = 0.03) -> dict[tuple[int, ...], float]:
-    """Posterior of each vote pattern of one defect: a two-class model with independent functions given the
-    class, fitted by expectation-maximization to the pattern counts.  An abstention says nothing about
-    the class; each function's rates of positive votes start as more right than wrong."""
+
+def learn(patterns: dict[tuple[int, ...], int], rounds: int = 60, prior: float = 0.03) -> Model | None:
+    """The label model of one defect: two classes with independent functions given the class, fitted by
+    expectation-maximization to the pattern counts.  An abstention says nothing about the class; each function's
+    rates of positive votes start as more right than wrong."""
     if not patterns:
-        return {}
-    keys = list(patterns)
-    v = np.array(keys, int)
-    n = np.array([patterns[k] for k in keys], float)
+        return None
+    v, n = np.array(list(patterns), int), np.array(list(patterns.values()), float)
     yes, no = (v == 1).astype(float), (v == -1).astype(float)
-    start = np.array([0.01, 0.8])  # rate of positive votes among cast votes, by class
+    start = np.array([0.01, 0.8])
     rate = np.repeat(start[:, None], v.shape[1], axis=1)
     weight = max(5.0, 0.02 * n.sum())
-    post = np.zeros(len(keys))
     for _ in range(rounds):
-        logp = yes @ np.log(rate.T) + no @ np.log(1 - rate.T)
-        odds = logp[:, 1] - logp[:, 0] + np.log(prior / (1 - prior))
-        post = 1 / (1 + np.exp(-odds.clip(-60, 60)))
+        post = _posterior((prior, rate), v)
         prior = min(0.6, max(5e-3, float((post * n).sum() / n.sum())))
+        rate = rate.copy()
         for c, w in ((0, (1 - post) * n), (1, post * n)):
             # the start acts as a few pseudo-observations, so that a rare class cannot drift
             rate[c] = (w @ yes + weight * start[c]) / (w @ yes + w @ no + weight)
         rate[1] = np.maximum(rate[1], rate[0])  # a function may be useless, never misleading
-    return {k: float(p) for k, p in zip(keys, post)}
+    return prior, rate
+
+
+def _posterior(model: Model, v: np.ndarray) -> np.ndarray:
+    prior, rate = model
+    logp = (v == 1).astype(float) @ np.log(rate.T) + (v == -1).astype(float) @ np.log(1 - rate.T)
+    return 1 / (1 + np.exp(-(logp[:, 1] - logp[:, 0] + np.log(prior / (1 - prior))).clip(-60, 60)))
+
+
+def _spoken(model: Model, v: np.ndarray) -> np.ndarray:
+    return np.where((v == 1).any(axis=1), _posterior(model, v), 0.0)
+
+
+def posteriors(model: Model | None, patterns: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
+    """The posterior of each vote pattern; 0 where no function votes for the defect, whatever the prior."""
+    return dict(zip(patterns, _spoken(model, np.array(list(patterns), int)).tolist())) if model and patterns else {}
+
+
+def validated(model: Model | None, held: dict[tuple[int, ...], int], prior: float) -> tuple[float, float]:
+    """(cutoff, expected F1) of a fitted model on held-out pattern counts.
+
+    Truth is taken from a second model, fitted to the held-out half alone: an item at the first model's posterior counts as
+    defective with the second's probability.  Of the cutoffs with the best expected F1 the middle one is taken; 0.5
+    where the held-out half has nothing to tell.
+    """
+    other = learn(held, prior=prior)
+    if model is None or other is None:
+        return 0.5, 0.0
+    v, n = np.array(list(held), int), np.array(list(held.values()), float)
+    p, q = _spoken(model, v), _spoken(other, v)
+    f1 = [2 * (n * q)[p > c].sum() / max(1e-9, n[p > c].sum() + (n * q).sum()) for c in GRID]
+    best = [c for c, f in zip(GRID, f1) if f >= max(f1) - 1e-6]
+    return best[len(best) // 2], float(max(f1))
 
 
 def rows_of(items: DataFrame, table: str, answer_col: str, time_col: str, id_col: str = "id", question_col: str = "question") -> DataFrame:
@@ -382,16 +447,11 @@ def rows_of(items: DataFrame, table: str, answer_col: str, time_col: str, id_col
     return rows.groupBy("id").agg(F.max("x").alias("x")).select(F.lit(table).alias("rec_table"), "id", "x.question", "x.answer")
 
 
-def label(rows: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
-    """(rec_table, id, defect, posterior): every label over its cutoff."""
-    cutoffs = {**CUTOFFS, **(cutoffs or {})}
-    spark = rows.sparkSession
+def voted(rows: DataFrame) -> DataFrame:
+    """(rec_table, id, half, defect, part): the votes of the functions of each defect on each item; ``half`` by the id's hash."""
+    rows = cut_lineage(rows)
     counted = cut_lineage(counts(rows))
-    shared = spark.sparkContext.broadcast(word_model(counted))  # words that occur five times in texts of a clear language
-    spans, k = {}, 0
-    for d in DEFECTS:
-        spans[d] = (k, k + len(FUNCTIONS[d]))
-        k += len(FUNCTIONS[d])
+    shared = rows.sparkSession.sparkContext.broadcast(word_model(counted))  # at most RAREST words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = shared.value
@@ -399,30 +459,60 @@ def label(rows: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame
             for o in range(0, whole.num_rows, 1000):
                 b = whole.slice(o, 1000)
                 v = votes(b["question"].to_pylist(), b["answer"].to_pylist(), known, weight)
-                keys = [k or (None,) * 5 for _, k in v]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([b["rec_table"], b["id"], pa.array([list(x) for x, _ in v], pa.list_(pa.int8())), *(pa.array([k[j] for k in keys], t) for j, t in enumerate(kinds))], names=["rec_table", "id", "votes", "last", "pair", "before", "hangs", "listed"])
-
-    first = cut_lineage(rows.mapInArrow(run, "rec_table string, id string, votes array<tinyint>, last bigint, pair bigint, before bigint, hangs boolean, listed boolean"))
-    judged = cut_lineage(ends(first.where("last IS NOT NULL"), counted))
-    voted = first.where("last IS NULL").select("rec_table", "id", "votes").unionByName(judged)
-    patterns = voted.groupBy("votes").count().collect()  # vote patterns, not rows
+                keys = [k or (None,) * 6 for _, k in v]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+                flat = pa.array(np.array([x for x, _ in v], np.int8).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * (len(flat) // max(1, len(v)))), flat)
+                yield pa.RecordBatch.from_arrays([b["rec_table"], b["id"], lists, *(pa.array([k[j] for k in keys], t) for j, t in enumerate(kinds))], names=["rec_table", "id", "votes", "last", "pair", "before", "whole", "hangs", "listed"])
+
+    first = cut_lineage(rows.mapInArrow(run, "rec_table string, id string, votes array<tinyint>, last bigint, pair bigint, before bigint, whole bigint, hangs boolean, listed boolean"))
+    both = first.where("last IS NULL").select("rec_table", "id", "votes").unionByName(ends(first.where("last IS NOT NULL"), counted))
+    each, at = [], 0
+    for d, names in FUNCTIONS.items():
+        each.append(F.struct(F.lit(d).alias("defect"), F.slice("votes", at + 1, len(names)).alias("part")))
+        at += len(names)
+    half = F.xxhash64("id").bitwiseAND(1).cast("int")
+    return cut_lineage(both.select("rec_table", "id", half.alias("half"), F.explode(F.array(*each)).alias("e")).select("rec_table", "id", "half", "e.defect", "e.part"))
+
+
+def models(votes_of: DataFrame) -> dict[str, tuple[Model | None, float, float, dict[tuple[int, ...], int]]]:
+    """For each defect the model fitted to one half, its validated cutoff, its expected F1 there, and all pattern counts.
+    What comes to the driver is at most two rows a defect and pattern of its own votes: 3^7 for the largest."""
+    by: dict[str, tuple[dict, dict]] = {d: ({}, {}) for d in DEFECTS}
+    for r in votes_of.groupBy("defect", "half", "part").count().collect():
+        gate, _ = GATES.get(r["defect"], (None, 0))
+        if gate is None or r["part"][gate] != -1:
+            by[r["defect"]][r["half"]][tuple(r["part"])] = r["count"]
+    out = {}
+    for d, (fit, held) in by.items():
+        _, prior = GATES.get(d, (None, 0.03))
+        every = {k: fit.get(k, 0) + held.get(k, 0) for k in {**fit, **held}}
+        model = learn(fit or held, prior=prior)
+        out[d] = (model, *validated(model, held, prior), every)
+    return out
+
+
+def label(rows: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
+    """(rec_table, id, defect, posterior): every label over its cutoff; ``cutoffs`` overrides the validated ones."""
+    each = voted(rows)
     post: list[tuple] = []
-    for d in DEFECTS:
-        a, z = spans[d]
-        by: dict[tuple[int, ...], int] = {}
-        for r in patterns:
-            key = tuple(r["votes"][a:z])
-            by[key] = by.get(key, 0) + r["count"]
-        gate, prior = GATES.get(d, (None, 0.03))
-        if gate is not None:
-            by = {key: n for key, n in by.items() if key[gate] != -1}
-        post += [(d, list(key), p) for key, p in learn(by, prior=prior).items() if p > cutoffs[d]]
+    for d, (model, cutoff, _, every) in models(each).items():
+        limit = (cutoffs or {}).get(d, cutoff)
+        post += [(d, list(k), p) for k, p in posteriors(model, every).items() if p > limit]
     if not post:
-        return voted.select("rec_table", "id", F.lit("").alias("defect"), F.lit(0.0).alias("posterior")).where("false")
-    known = F.broadcast(spark.createDataFrame(post, "defect string, part array<tinyint>, posterior double"))  # as many rows as patterns
-    each = voted.select("rec_table", "id", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.slice("votes", a + 1, z - a).alias("part")) for d, (a, z) in spans.items()))).alias("e"))
-    return each.select("rec_table", "id", "e.defect", "e.part").join(known, ["defect", "part"]).select("rec_table", "id", "defect", "posterior")
+        return each.select("rec_table", "id", "defect", F.lit(0.0).alias("posterior")).where("false")
+    known = F.broadcast(rows.sparkSession.createDataFrame(post, "defect string, part array<tinyint>, posterior double"))  # at most 3^7 rows a defect
+    return each.join(known, ["defect", "part"]).select("rec_table", "id", "defect", "posterior")
+
+
+def cutoff_report(rows: DataFrame) -> DataFrame:
+    """(defect, cutoff, expected_f1, prior, functions): what the label models learnt; functions as
+    name:rate among the sound:rate among the defective."""
+    out = []
+    for d, (model, cutoff, f1, _) in models(voted(rows)).items():
+        rates = "" if model is None else " ".join(f"{name}:{a:.3f}:{b:.3f}" for name, a, b in zip(FUNCTIONS[d], *model[1]))
+        out.append((d, cutoff, round(f1, 6), None if model is None else round(model[0], 6), rates))
+    return rows.sparkSession.createDataFrame(out, "defect string, cutoff double, expected_f1 double, prior double, functions string")
 
 
 def found(rows: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:

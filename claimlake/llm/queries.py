@@ -84,9 +84,15 @@ def p9_by_language(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("spam_share") > 0.5).alias("n_spam"), F.round(F.avg("spam_share"), 6).alias("mean_share"))
 
 
+def p1_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """The label model of each defect with its validated cutoff."""
+    return defects.cutoff_report(_answers(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_labels": p1_labels,
+    "p1_cutoffs": p1_cutoffs,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,

@@ -73,7 +73,29 @@ def test_label_model_recovers_classes():
     patterns: dict = {}
     for v in map(tuple, votes.tolist()):
         patterns[v] = patterns.get(v, 0) + 1
-    post = defects.learn(patterns)
+    post = defects.posteriors(defects.learn(patterns), patterns)
     flagged = np.array([post[tuple(v)] > 0.5 for v in votes.tolist()])
     assert (flagged & y).sum() / y.sum() > 0.8 and (flagged & y).sum() / flagged.sum() > 0.8
-    assert defects.learn({}) == {}
+    assert defects.learn({}) is None and defects.posteriors(None, {}) == {}
+
+
+DECOYS = {
+    "third": (Q, "Patients who are unable to give informed consent need a guardian. " + FULL, None), "stress": (Q, "We can't emphasise enough how helpful rest is. " + FULL, None),
+    "regret": (Q, "Sorry about the long wait. " + FULL, None), "nocure": (Q, "Regrettably the cough may stay for some weeks. " + FULL, None),
+    "long_refusal": (Q, "I'm sorry, but I am not permitted to respond to that. " + "Please ask your own physician, who knows you, for any advice you need. " * 40, "refusal"),
+    "list_end": (Q, FULL + "\n1. rest\n2. water\n3.", "truncated"), "ellipsis": (Q, FULL + " The treatment is stopped if the...", "truncated"), "three": (Q, "Only after the", "truncated"),
+}
+
+
+def test_decoys_and_lengths(spark):
+    got = {r.id: r.defect for r in defects.found(defects.rows_of(rows(spark, {**CASES, **DECOYS}), "t", "answer", "loaded_at")).collect()}
+    assert {k: got.get(k) for k in DECOYS} == {k: w for k, (_, _, w) in DECOYS.items()}
+
+
+def test_cutoffs_are_chosen_on_the_other_half(spark):
+    report = {r.defect: r for r in defects.cutoff_report(defects.rows_of(rows(spark, CASES), "t", "answer", "loaded_at")).collect()}
+    assert set(report) == set(defects.DEFECTS) and all(0 < r.cutoff < 1 for r in report.values())
+    # a held-out half without any item keeps the plain cutoff
+    assert defects.validated(defects.learn({(1, 1): 3, (-1, -1): 50}), {}, 0.03) == (0.5, 0.0)
+    cutoff, f1 = defects.validated(defects.learn({(1, 1): 30, (-1, -1): 500}), {(1, 1): 28, (-1, -1): 510, (0, 0): 5}, 0.03)
+    assert cutoff in defects.GRID and f1 > 0.9

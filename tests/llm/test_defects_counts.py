@@ -45,6 +45,6 @@ def test_a_piece_stays_a_piece_however_often_texts_break_off_at_it(spark):
     rows += [(f"piece{i}", Q, f"The dose of drug{i} is reduced in people with kidney disease. The treatment of {PIECE}", T) for i in range(260)]
     d = spark.createDataFrame(rows, "id string, question string, answer string, loaded_at timestamp")
     (votes, keys), = defects.votes([Q], [rows[-1][2]], np.zeros(0, np.uint64), np.zeros((len(defects.LANGS), 0)))
-    asked = spark.createDataFrame([("t", "x", list(votes), *keys)], "rec_table string, id string, votes array<tinyint>, last bigint, pair bigint, before bigint, hangs boolean, listed boolean")
+    asked = spark.createDataFrame([("t", "x", list(votes), *keys)], "rec_table string, id string, votes array<tinyint>, last bigint, pair bigint, before bigint, whole bigint, hangs boolean, listed boolean")
     got = defects.ends(asked, defects.counts(defects.rows_of(d, "t", "answer", "loaded_at"))).first().votes
-    assert dict(zip(defects.FUNCTIONS["truncated"], got[-6:]))["fragment"] == 1
+    assert dict(zip(defects.FUNCTIONS["truncated"], got[-7:]))["fragment"] == 1
