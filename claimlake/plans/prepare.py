@@ -19,6 +19,14 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.table(_t(spark, d, "run_lines"))
 
 
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    return drift.values(drift.table(_t(spark, d, "run_lines")))
+
+
+def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return drift.alternatives(_t(spark, d, "run_lines"))
+
+
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     return nested.qa_rows(_t(spark, d, "qa_items"), _t(spark, d, "qa_split_items"))
 
@@ -31,35 +39,55 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.tables(_rows(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p6_found": p6_found, "p6_tables": p6_tables}
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p5_values": p5_values, "p5_alternatives": p5_alternatives, "p6_found": p6_found, "p6_tables": p6_tables}
 
 
-SQL = {
-    "p5_found": r"""
-WITH r AS (SELECT DISTINCT stream, file_name, written_at, line_no, line FROM run_lines WHERE stream IS NOT NULL AND file_name IS NOT NULL AND json_valid(line) AND json_type(line) = 'OBJECT'),
+# Two lines of neighbouring files are one run here if at least half of the fields that both have agree, whatever the values are.
+_DRIFT = r"""
+r AS (SELECT kind, stream, file_name, written_at, line_no, line FROM run_lines WHERE stream IS NOT NULL AND file_name IS NOT NULL AND json_valid(line) AND json_type(line) = 'OBJECT'),
 fo AS (SELECT stream, file_name, row_number() OVER (PARTITION BY stream ORDER BY min(written_at), file_name) AS ord FROM r GROUP BY stream, file_name),
-e AS (SELECT r.stream, fo.ord, r.line_no, x.key AS field, CASE x.type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
-  regexp_extract(CAST(x.value AS VARCHAR), '-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?') AS digits FROM r JOIN fo ON fo.stream = r.stream AND fo.file_name = r.file_name, json_each(r.line) AS x),
+raw AS (SELECT r.kind AS record_kind, r.stream, fo.file_name, fo.ord, r.line_no, x.key AS field, CASE x.type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+  CAST(x.value AS VARCHAR) AS text, x.value AS value FROM r JOIN fo ON fo.stream = r.stream AND fo.file_name = r.file_name, json_each(r.line) AS x),
+e AS (SELECT *, CASE kind WHEN 'number' THEN CAST(text AS DOUBLE) WHEN 'string' THEN try_cast(json_extract_string(value, '$') AS DOUBLE)
+  WHEN 'array' THEN CASE WHEN json_array_length(value) = 1 THEN try_cast(json_extract_string(value, '$[0]') AS DOUBLE) END
+  WHEN 'object' THEN CASE WHEN (json_extract(value, '$.mean') IS NULL) <> (json_extract(value, '$.value') IS NULL) THEN try_cast(coalesce(json_extract_string(value, '$.mean'), json_extract_string(value, '$.value')) AS DOUBLE) END END AS canonical FROM raw),
 k AS (SELECT stream, ord, field, list(DISTINCT kind ORDER BY kind) FILTER (WHERE kind IS NOT NULL) AS own FROM e GROUP BY stream, ord, field),
 s AS (SELECT stream, ord, field, last_value(own IGNORE NULLS) OVER (PARTITION BY stream, field ORDER BY ord) AS kinds FROM k),
 b AS (SELECT coalesce(n.stream, o.stream) AS stream, coalesce(n.ord, o.ord + 1) AS ord, coalesce(n.field, o.field) AS field, n.field IS NOT NULL AS now, o.field IS NOT NULL AS before, n.kinds AS nk, o.kinds AS ok
   FROM s n FULL JOIN s o ON o.stream = n.stream AND o.ord + 1 = n.ord AND o.field = n.field),
 c AS (SELECT b.* FROM b JOIN fo ON fo.stream = b.stream AND fo.ord = b.ord WHERE b.ord > 1),
 ad AS (SELECT stream, ord, field FROM c WHERE NOT before), rm AS (SELECT stream, ord, field FROM c WHERE NOT now),
-v AS (SELECT DISTINCT stream, ord, line_no, field, CAST(digits AS DOUBLE) AS number, length(digits) >= 5 AS sharp FROM e WHERE kind IS NOT NULL AND digits <> ''),
-ma AS (SELECT DISTINCT stream, ord, number, line_no FROM v WHERE sharp),
-same AS (SELECT x.stream, x.ord, x.line_no AS a, y.line_no AS b, count(*) AS n FROM ma x JOIN ma y ON x.stream = y.stream AND x.ord = y.ord + 1 AND x.number = y.number GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream, ord, a ORDER BY n DESC, b) AS i FROM same) WHERE i = 1),
-p AS (SELECT best.stream, best.ord, x.field, y.field AS old_field, count(*) AS n, count(*) FILTER (WHERE x.number = y.number) AS eq FROM best
+v AS (SELECT DISTINCT stream, ord, line_no, field, coalesce(CAST(canonical AS VARCHAR), text) AS value FROM e WHERE kind IS NOT NULL),
+st AS (SELECT DISTINCT ad.stream, ad.ord FROM ad JOIN rm ON rm.stream = ad.stream AND rm.ord = ad.ord),
+best AS (SELECT x.stream, x.ord, x.line_no AS a, y.line_no AS b FROM v x JOIN st ON st.stream = x.stream AND st.ord = x.ord JOIN v y ON x.stream = y.stream AND x.ord = y.ord + 1 AND x.field = y.field
+  GROUP BY 1, 2, 3, 4 HAVING 2 * count(*) FILTER (WHERE x.value = y.value) >= count(*)),
+p AS (SELECT best.stream, best.ord, x.field, y.field AS old_field, count(*) AS n, count(*) FILTER (WHERE x.value = y.value) AS eq FROM best
   JOIN v x ON x.stream = best.stream AND x.ord = best.ord AND x.line_no = best.a JOIN ad ON ad.stream = x.stream AND ad.ord = x.ord AND ad.field = x.field
   JOIN v y ON y.stream = best.stream AND y.ord + 1 = best.ord AND y.line_no = best.b JOIN rm ON rm.stream = y.stream AND rm.ord = y.ord + 1 AND rm.field = y.field GROUP BY 1, 2, 3, 4),
 q AS (SELECT *, row_number() OVER (PARTITION BY stream, ord, field ORDER BY eq DESC, n, field, old_field) AS r1, row_number() OVER (PARTITION BY stream, ord, old_field ORDER BY eq DESC, n, field, old_field) AS r2 FROM p WHERE eq >= 1 AND eq >= 0.6 * n),
-rn AS (SELECT stream, ord, field, old_field FROM q WHERE r1 = 1 AND r2 = 1),
+rn AS (SELECT stream, ord, field, old_field FROM q WHERE r1 = 1 AND r2 = 1)
+"""
+
+SQL = {
+    "p5_found": "WITH " + _DRIFT + r""",
 ch AS (SELECT stream, ord, field, '' AS old_field, 'added' AS change FROM ad WHERE (stream, ord, field) NOT IN (SELECT (stream, ord, field) FROM rn)
   UNION ALL SELECT stream, ord, field, '', 'removed' FROM rm WHERE (stream, ord, field) NOT IN (SELECT (stream, ord, old_field) FROM rn)
   UNION ALL SELECT stream, ord, field, '', 'retyped' FROM c WHERE now AND before AND nk IS NOT NULL AND ok IS NOT NULL AND nk <> ok
   UNION ALL SELECT stream, ord, field, old_field, 'renamed' FROM rn)
 SELECT fo.file_name, ch.field, ch.old_field, ch.change FROM ch JOIN fo ON fo.stream = ch.stream AND fo.ord = ch.ord
+""",
+    "p5_values": "WITH RECURSIVE " + _DRIFT + r""",
+nm AS (SELECT stream, ord, field, field AS name, ord AS upto, 0 AS depth FROM s
+  UNION ALL SELECT nm.stream, nm.ord, nm.field, rn.old_field, rn.ord - 1, depth + 1 FROM nm JOIN rn ON rn.stream = nm.stream AND rn.field = nm.name AND rn.ord <= nm.upto
+    WHERE NOT EXISTS (SELECT 1 FROM rn z WHERE z.stream = nm.stream AND z.field = nm.name AND z.ord <= nm.upto AND z.ord > rn.ord)),
+nf AS (SELECT stream, ord, field, arg_max(name, depth) AS name FROM nm GROUP BY stream, ord, field)
+SELECT e.record_kind AS kind, e.stream, e.file_name, CAST(e.line_no AS BIGINT) AS line_no, nf.name AS field, e.field AS written_as, CASE WHEN kind = 'number' THEN canonical END AS number, CASE WHEN kind = 'string' THEN json_extract_string(value, '$') END AS string,
+  CASE WHEN kind = 'boolean' THEN text = 'true' END AS boolean, CASE WHEN kind IN ('array', 'object') THEN text END AS json, e.canonical FROM e JOIN nf ON nf.stream = e.stream AND nf.ord = e.ord AND nf.field = e.field
+""",
+    "p5_alternatives": "WITH " + _DRIFT.split("raw AS (")[0].rstrip().rstrip(",") + r""",
+x AS (SELECT r.stream, r.file_name, fo.ord, regexp_replace(substr(t.fullkey, 3), '\[\d+\]', '[]', 'g') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind
+  FROM r JOIN fo ON fo.stream = r.stream AND fo.file_name = r.file_name, json_tree(r.line) AS t WHERE t.fullkey <> '$' AND t.type <> 'NULL')
+SELECT stream, path, kind, arg_min(file_name, ord) AS file_name, count(DISTINCT ord) AS n_files FROM x GROUP BY stream, path, kind
 """,
     "p6_found": r"""
 WITH m AS (SELECT 'qa_items' AS rec_table, id, 'metadata' AS root, arg_max(metadata, coalesce(epoch_us(loaded_at), 0)) AS raw FROM qa_items WHERE id IS NOT NULL GROUP BY id

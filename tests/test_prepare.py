@@ -23,9 +23,9 @@ def test_changes(spark):
     rows += [("c", "s", T[2], 1, {"id": "r9", "accuracy": None, "f1": None, "acc_dev": 0.7}), ("d", "s", T[3], 1, {"id": "r9", "accuracy": [0.5], "f1": "x", "acc_dev": 0.7}), ("z", "other", T[1], 1, {"q": 1})]
     got = {tuple(r) for r in drift.changes(frame(spark, rows)).collect()}
     assert got == {("b", "accuracy", "acc", "renamed"), ("b", "f1", "", "retyped"), ("b", "acc_dev", "", "added"), ("b", "old", "", "removed"), ("d", "accuracy", "", "retyped")}
-    t = {(r.file_name, r.line_no, r.written_as): r for r in drift.table(frame(spark, rows)).collect()}
-    assert t["b", 1, "accuracy"].field == "acc" and t["b", 1, "f1"].string_value == "0.51111" and t["b", 1, "f1"].canonical == 0.51111
-    assert t["d", 1, "accuracy"].json_value == "[0.5]" and t["d", 1, "accuracy"].field == "acc" and t["d", 1, "accuracy"].canonical == 0.5
+    t = {(r.file_name, r.line_no, r.written_as): r for r in drift.values(drift.table(frame(spark, rows))).collect()}
+    assert t["b", 1, "accuracy"].field == "acc" and t["b", 1, "f1"].string == "0.51111" and t["b", 1, "f1"].canonical == 0.51111
+    assert t["d", 1, "accuracy"].json == "[0.5]" and t["d", 1, "accuracy"].field == "acc" and t["d", 1, "accuracy"].canonical == 0.5
 
 
 def test_chained_renames(spark):
@@ -35,13 +35,40 @@ def test_chained_renames(spark):
         rows += [(name, "s", t, i, {"k": r["k"], field: r["x"], "w": 7.77777 + i}) for i, r in enumerate(v)]
     got = {tuple(r) for r in drift.changes(frame(spark, rows)).collect()}
     assert got == {("b", "y", "x", "renamed"), ("c", "z", "y", "renamed")}
-    assert {r.field for r in drift.table(frame(spark, rows)).where("written_as IN ('x', 'y', 'z')").collect()} == {"x"}
+    assert {r.field for r in drift.values(drift.table(frame(spark, rows))).where("written_as IN ('x', 'y', 'z')").collect()} == {"x"}
+
+
+def test_renamed_text_and_one_row_a_record(spark):
+    v = [{"run": f"r{i}", "f1": 0.5 + i, "n": 100 + i, "note": f"words {i} of a note"} for i in range(6)]
+    rows = [("a", "s", T[0], i, r) for i, r in enumerate(v)] + [("b", "s", T[1], i, {**{k: x for k, x in r.items() if k != "note"}, "remark": r["note"]}) for i, r in enumerate(v)]
+    d = frame(spark, rows)
+    assert {tuple(r) for r in drift.changes(d).collect()} == {("b", "remark", "note", "renamed")}
+    t = {(r.file_name, r.line_no): r.fields for r in drift.table(d).collect()}
+    assert len(t) == 12 and t["b", 3]["note"].string == "words 3 of a note" and t["b", 3]["note"].written_as == "remark"
+    assert t["a", 2]["run"].canonical is None and t["a", 2]["n"].canonical == 102
+
+
+def test_canonical_numbers():
+    for value, want in ((2, 2.0), ("0.5", 0.5), ("r02", None), ([0.5], 0.5), (["0.5"], 0.5), ([1, 2], None), ({"mean": 0.1, "sd": 3}, 0.1), ({"count": 900, "mean": 0.12345}, 0.12345), ({"count": 900}, None), (True, None), (None, None), ({"mean": 1, "value": 2}, None), ("1_0", None), ("nan", None)):
+        assert drift.canonical(value) == want, value
+
+
+def test_alternatives_at_every_depth(spark):
+    rows = [("a", "s", T[0], 1, {"acc": {"mean": 1, "runs": [1, "x"]}}), ("b", "s", T[1], 1, {"acc": {"mean": "1", "runs": [{"id": None}]}})]
+    got = {(r.path, r.kind, r.file_name, r.n_files) for r in drift.alternatives(frame(spark, rows)).collect()}
+    assert got == {("acc", "object", "a", 2), ("acc.mean", "number", "a", 1), ("acc.mean", "string", "b", 1), ("acc.runs", "array", "a", 2), ("acc.runs[]", "number", "a", 1), ("acc.runs[]", "string", "a", 1), ("acc.runs[]", "object", "b", 1)}
+
+
+def test_repeated_values_link_no_pairs(spark):
+    # one value in all rows of both files: a join on it would make n * n pairs
+    rows = [(f, "s", t, i, {"same": 7.5, "k": f"{f}{i}", f: i}) for f, t in (("a", T[0]), ("b", T[1])) for i in range(3000)]
+    assert {tuple(r) for r in drift.changes(frame(spark, rows)).collect()} == {("b", "a", "", "removed"), ("b", "b", "", "added")}
 
 
 def test_drift_empty_and_clashing_columns(spark):
     d = frame(spark, [("a", "s", T[0], 1, {"x": 1})]).selectExpr("*", "'c' AS field", "1 AS ord", "'v' AS m")
     assert drift.changes(d).count() == 0 and drift.changes(d.where("false")).count() == 0
-    assert drift.table(d).first().canonical == 1.0
+    assert drift.values(drift.table(d)).first().canonical == 1.0
 
 
 def paths_of(rec, arrays):
