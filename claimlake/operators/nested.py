@@ -3,7 +3,8 @@
 Vectorised structural indexing over whole batches: bit maps of quotes, escapes, brackets and
 delimiters, string interiors and nesting depth by prefix sums, parents by a search in the
 openings one level up, array places by counting commas.  Only the containers found this way are
-looked at in Python.
+looked at in Python, in one pass; whether a lone object is an element is then settled by a join with the paths under
+which some record holds an array.
 
 A path names an object by keys and 0-based places: ``metadata.a[0].b[1]``.  An object that stands alone
 where other records hold an array is element 0 of it.
@@ -24,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.runtime import cut_lineage
+
 #: Marks an object that stands alone under its key; resolved to [0] or nothing.
 LONE = "\x00"
+_PLACES = r"\[[^\]]*\]|\x00"
 
 
 def unwrap(text: str | None) -> str | None:
     """The JSON text itself, out of any string around it; None if it is not valid JSON with an object or array."""
-    for _ in range(4):
-        if text is None:
-            return None
+    while text is not None:
         try:
             value = json.loads(text)  # the exact check of what the index then cuts
         except (ValueError, RecursionError):
@@ -66,6 +68,8 @@ class Index:
         opening = out & ((b == 123) | (b == 91))
         closing = out & ((b == 125) | (b == 93))
         depth = np.cumsum(opening.astype(np.int32)) - np.cumsum(closing.astype(np.int32))
+        self.level = depth
+        self.filled = np.r_[0, np.cumsum((b != 32) & (b != 9) & (b != 10) & (b != 13))]
         self.at = np.flatnonzero(opening)
         self.is_array = b[self.at] == 91
         self.depth = depth[self.at]
@@ -73,20 +77,23 @@ class Index:
         end_depth = depth[ends] + 1
         commas = np.flatnonzero(out & (b == 44))
         comma_depth = depth[commas]
-        colons = np.flatnonzero(out & (b == 58))
+        self.colons = colons = np.flatnonzero(out & (b == 58))
+        self.own: dict[int, np.ndarray] = {}
+        self.commas: dict[int, np.ndarray] = {}
         m = len(self.at)
         self.parent = np.full(m, -1, np.int64)
         self.place = np.zeros(m, np.int64)
         self.end = np.zeros(m, np.int64)
         previous = np.zeros(0, np.int64)
         for d in range(1, int(self.depth.max()) + 1 if m else 0):
-            own = np.flatnonzero(self.depth == d)
+            own = self.own[d] = np.flatnonzero(self.depth == d)
+            self.commas[d] = commas[comma_depth == d]
             closes = ends[end_depth == d]
             self.end[own] = closes[np.searchsorted(closes, self.at[own])]
             if d > 1:
                 up = previous[np.searchsorted(self.at[previous], self.at[own]) - 1]
                 self.parent[own] = up
-                c = commas[comma_depth == d - 1]
+                c = self.commas[d - 1]
                 self.place[own] = np.searchsorted(c, self.at[own]) - np.searchsorted(c, self.at[up])
             previous = own
         # the colon before a member's value, and the quotes around its key
@@ -102,33 +109,31 @@ class Index:
 
     def string_members(self) -> list[tuple[int, str | int, str]]:
         """(container, key or place, text) of string values that may hold JSON themselves."""
-        opens = self.quotes[0::2]
+        opens, closes = self.quotes[0::2], self.quotes[1::2]
         b = np.frombuffer(self.data, np.uint8)
         nxt = b[np.minimum(opens + 1, len(b) - 1)]
+        # text that begins with a bracket, a quote or white space may be JSON; whatever a string ahead of a colon holds, it is a key
+        k = np.flatnonzero((nxt == 123) | (nxt == 91) | (nxt == 92) | (nxt == 32))
+        colon = np.r_[self.colons, len(b)][np.searchsorted(self.colons, closes[k])]
+        key = (colon < len(b)) & (self.filled[np.minimum(colon, len(b))] == self.filled[closes[k] + 1])
+        k = k[~key & (self.level[opens[k]] > 0)]
         out = []
-        for k in np.flatnonzero((nxt == 123) | (nxt == 91)):
-            a, z = int(opens[k]), int(self.quotes[2 * k + 1])
-            after = self.data[z + 1 : z + 64].lstrip()[:1]
-            if after == b":":
-                continue  # a key
-            inner = np.flatnonzero((self.at < a) & (self.end > z))
-            if not len(inner):
+        for i in k:
+            a, z = int(opens[i]), int(closes[i])
+            text = json.loads(self.data[a : z + 1])
+            if text.lstrip()[:1] not in ("{", "[", '"'):
                 continue
-            c = int(inner[-1])
+            d = int(self.level[a])
+            own = self.own[d]
+            c = int(own[np.searchsorted(self.at[own], a) - 1])
             if self.is_array[c]:
-                place = self._place_in(c, a)
-                out.append((c, place, json.loads(self.data[a : z + 1])))
+                commas = self.commas[d]
+                out.append((c, int(np.searchsorted(commas, a) - np.searchsorted(commas, self.at[c])), text))
             else:
-                q = 2 * int(k)
-                out.append((c, json.loads(self.data[self.quotes[q - 2] : self.quotes[q - 1] + 1]), json.loads(self.data[a : z + 1])))
+                q = 2 * int(i)
+                out.append((c, json.loads(self.data[self.quotes[q - 2] : self.quotes[q - 1] + 1]), text))
         return out
 
-    def _place_in(self, c: int, at: int) -> int:
-        value = json.loads(self.data[self.at[c] : self.end[c] + 1])
-        left = self.data[self.at[c] : at].rstrip() + b"null]"
-        del value
-        return len(json.loads(left)) - 1
-
 
 def containers(texts: list[str], root: str) -> list[tuple[int, str, str, bool, bool, str]]:
     """(text, path, parent path, is element, is array, span) of all objects and arrays; lone objects carry the mark."""
@@ -146,17 +151,17 @@ def containers(texts: list[str], root: str) -> list[tuple[int, str, str, bool, b
             path, element, above = f"{paths[p]}.{ix.key(i)}" + ("" if array else LONE), False, paths[p]
         paths.append(path)
         out.append((int(ix.of[i]), path, above, element, array, ix.data[ix.at[i] : ix.end[i] + 1].decode("utf-8", "surrogatepass")))
-    if any('"{' in t or '"[' in t for t in texts):
+    if any('"{' in t or '"[' in t or '"\\' in t or '" ' in t for t in texts):
         for c, name, text in ix.string_members():
             inner = unwrap(text)
             if inner is None:
                 continue
             in_array = isinstance(name, int)
-            here = f"{paths[c]}[{name}]" if in_array else f"{paths[c]}.{name}"
+            # what is inside a lone object has its mark in the path too
+            here = f"{paths[c]}[{name}]" if in_array else f"{paths[c]}.{name}" + (LONE if inner.lstrip()[:1] == "{" else "")
             for _, path, above, element, array, span in containers([inner], here):
                 top = path == here
-                mark = LONE if top and not array and not in_array else ""
-                out.append((int(ix.of[c]), path + mark, paths[c] if top else above, element or (top and in_array and not array), array, span))
+                out.append((int(ix.of[c]), path, paths[c] if top else above, element or (top and in_array and not array), array, span))
     return out
 
 
@@ -174,7 +179,7 @@ def generic(path: str) -> str:
 
 
 def resolve(path: str, arrays: frozenset[str]) -> str:
-    """The path with each lone mark as [0] where other records hold an array, else as nothing."""
+    """The path with each lone mark as [0] where other records hold an array, else as nothing; :func:`resolved` does this for tables."""
     if LONE not in path:
         return path
     out = ""
@@ -200,57 +205,51 @@ def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list]]:
             yield root, [i for i, _ in some], containers([t for _, t in some], root)
 
 
-def mixed_paths(rows: DataFrame) -> frozenset[str]:
-    """Generic paths under which some records hold an array and others a lone object.  A fact of the schema:
-    only such paths leave the executors, after distinct and grouping."""
+def resolved(marked: DataFrame, *names: str) -> DataFrame:
+    """``marked`` with the lone marks in its path columns settled: [0] where another record holds an array, else nothing.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, bool]] = set()
-        for batch in batches:
-            new = set()
-            for _, _, found in _parsed(batch):
-                for _, path, _, element, array, _ in found:
-                    if array and not element or path.endswith(LONE):
-                        key = (generic(path), array)
-                        if key not in seen:
-                            new.add(key)
-            seen |= new
-            yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in new], pa.string()), "is_array": pa.array([a for _, a in new], pa.bool_())})
+    ``marked`` has rows (path, is_array, ...): those of arrays tell where records hold one.  The marks of a path are
+    its prefixes; they are joined with the array paths, so nothing of the data goes to the driver.
+    """
+    general = lambda c: F.regexp_replace(c, _PLACES, "")
+    arrays = marked.where("is_array").select(general("path").alias("g")).distinct()
+    rows = marked.where("NOT is_array")
+    plain, lone = rows, None
+    has = F.lit(False)
+    for name in names:
+        has = has | F.coalesce(F.col(name).contains(LONE), F.lit(False))
+    plain, lone = rows.where(~has), rows.where(has)
+    # the longest path column holds the prefixes of all: a parent is above its path
+    pieces = F.split(names[0], LONE)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.regexp_replace(F.array_join(F.slice(pieces, 1, i), ""), _PLACES, ""))
+    marks = lone.select(names[0]).distinct().withColumn("p", F.explode(prefixes)).join(arrays.withColumnRenamed("g", "p"), "p").groupBy(names[0]).agg(F.collect_set("p").alias("held"))
+    lone = lone.join(marks, names[0], "left")
 
-    kinds = rows.select("root", "text").mapInArrow(run, "path string, is_array boolean")
-    got = kinds.groupBy("path").agg(F.bool_or("is_array").alias("a"), F.bool_or(~F.col("is_array")).alias("b")).where("a AND b").collect()
-    return frozenset(r["path"] for r in got)
+    def settle(c: str):
+        pieces = F.split(c, LONE)
+        last = F.size(pieces)
+        put = F.transform(pieces, lambda x, i: F.concat(x, F.when((i < last - 1) & F.array_contains(F.coalesce("held", F.array().cast("array<string>")), F.regexp_replace(F.array_join(F.slice(pieces, 1, i + 1), ""), _PLACES, "")), "[0]").otherwise("")))
+        return F.array_join(put, "")
+
+    return plain.unionByName(lone.select(*(settle(c).alias(c) if c in names else F.col(c) for c in rows.columns)))
 
 
 def elements(rows: DataFrame) -> DataFrame:
     """(rec_table, id, path, parent, value): each object that is an array element, of rows (rec_table, id, root, text).
     ``parent`` is the path of the nearest object above (the root for the topmost), ``value`` the object's JSON text."""
-    arrays = mixed_paths(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, paths, parents, values = [], [], [], []
             for root, numbers, found in _parsed(batch):
-                for i, path, above, element, array, span in found:
-                    if array:
-                        continue
-                    full = resolve(path, arrays)
-                    if element or full.endswith("]"):
-                        at.append(numbers[i])
-                        paths.append(full)
-                        up = resolve(above, arrays)
-                        parents.append(_object_above(up, root))
-                        values.append(span)
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["rec_table"].take(at), batch["id"].take(at), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(values, pa.string())], names=["rec_table", "id", "path", "parent", "value"])
-
-    return rows.select("rec_table", "id", "root", "text").mapInArrow(run, "rec_table string, id string, path string, parent string, value string")
-
+                kept = [x for x in found if x[4] and not x[3] or not x[4] and (x[3] or x[1].endswith(LONE))]
+                at = pa.array([numbers[x[0]] for x in kept], pa.int32())
+                columns = [pa.array([_text(x[1]) for x in kept], pa.string()), pa.array([x[3] for x in kept], pa.bool_()), pa.array([x[4] for x in kept], pa.bool_()), pa.array([None if x[4] else _text(x[5]) for x in kept], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch["rec_table"].take(at), batch["id"].take(at), pa.array([root] * len(kept), pa.string()), *columns], names=["rec_table", "id", "root", "path", "is_element", "is_array", "value"])
 
-def _object_above(path: str, root: str) -> str:
-    """The nearest element (or the root) that contains what lies under ``path``."""
-    cut = path.rfind("]")
-    return path[: cut + 1] if cut >= 0 else root
+    marked = cut_lineage(rows.select("rec_table", "id", "root", "text").mapInArrow(run, "rec_table string, id string, root string, path string, is_element boolean, is_array boolean, value string"))
+    out = resolved(marked, "path").where("is_element OR endswith(path, ']')")
+    above = F.regexp_extract(F.regexp_replace("path", r"\[[^\]]*\]$", ""), r"^(.*\])", 1)
+    return out.select("rec_table", "id", "path", F.when(above == "", F.col("root")).otherwise(above).alias("parent"), "value")
 
 
 def qa_rows(qa_items: DataFrame, qa_split_items: DataFrame) -> DataFrame:
@@ -283,7 +282,7 @@ def _value(text: str):
 
 def _read(x):
     """The JSON inside a string, else the value itself."""
-    if isinstance(x, str) and x[:1] in ("{", "["):
+    if isinstance(x, str) and x.lstrip()[:1] in ("{", "[", '"'):
         inner = unwrap(x)
         return x if inner is None else _value(inner)
     return x
@@ -295,13 +294,13 @@ def _text(x) -> str | None:
     return None if x is None else "true" if x else "false"
 
 
-def flat(text: str, root: str) -> Iterator[tuple[str, str | None, str | None, int | None, str | None]]:
-    """(path, parent, name, place, value) of a valid text: each scalar member of each object, and each scalar item of each
+def flat(text: str, root: str) -> Iterator[tuple[str, str | None, str | None, int | None, str | None, bool]]:
+    """(path, parent, name, place, value, is_array) of a valid text: one row for each array that is a member, and each scalar member of each object, and each scalar item of each
     array with its place.  An object without scalars and a root have a row of their own, so that every ``parent``, the
     nearest object above or the root, is there; lone objects carry the mark."""
     value = _value(text)
     if not isinstance(value, _Members):
-        yield root, None, None, None, None
+        yield root, None, None, None, None, False
     todo = [(value, root, None if isinstance(value, _Members) else root)]
     while todo:
         value, path, parent = todo.pop()
@@ -310,26 +309,27 @@ def flat(text: str, root: str) -> Iterator[tuple[str, str | None, str | None, in
             for k, x in value:
                 x = _read(x)
                 if isinstance(x, list):
+                    if not isinstance(x, _Members):
+                        yield f"{path}.{k}", None, None, None, None, True
                     todo.append((x, f"{path}.{k}" + (LONE if isinstance(x, _Members) else ""), path))
                 else:
                     empty = False
-                    yield path, parent, k, None, _text(x)
+                    yield path, parent, k, None, _text(x), False
             if empty:
-                yield path, parent, None, None, None
+                yield path, parent, None, None, None, False
         else:
             for i, x in enumerate(value):
                 x = _read(x)
                 if isinstance(x, list):
                     todo.append((x, f"{path}[{i}]", parent))
                 else:
-                    yield path, parent, None, i, _text(x)
+                    yield path, parent, None, i, _text(x), False
 
 
 def tables(rows: DataFrame) -> DataFrame:
     """(rec_table, id, path, parent, name, place, value): all objects, root and lone ones too, with their scalar members by
     ``name``, and all scalar array items by the array's ``path`` and their ``place``, of rows (rec_table, id, root, text)."""
-    arrays = mixed_paths(rows)
-    schema = pa.schema([("path", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("place", pa.int32()), ("value", pa.string())])
+    schema = pa.schema([("path", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("place", pa.int32()), ("value", pa.string()), ("is_array", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,11 +341,12 @@ def tables(rows: DataFrame) -> DataFrame:
                     text = unwrap(texts[i])
                     if text is None:
                         continue
-                    for path, parent, name, place, value in flat(text, roots[i]):
+                    for path, parent, name, place, value, array in flat(text, roots[i]):
                         at.append(i)
-                        out.append((_text(resolve(path, arrays)), None if parent is None else _text(resolve(parent, arrays)), _text(name), place, value))
+                        out.append((_text(path), _text(parent), _text(name), place, value, array))
                 take = pa.array(at, pa.int32())
                 columns = [pa.array([r[j] for r in out], f.type) for j, f in enumerate(schema)]
                 yield pa.RecordBatch.from_arrays([batch["rec_table"].take(take), batch["id"].take(take), *columns], names=["rec_table", "id", *schema.names])
 
-    return rows.select("rec_table", "id", "root", "text").mapInArrow(run, "rec_table string, id string, path string, parent string, name string, place int, value string")
+    marked = cut_lineage(rows.select("rec_table", "id", "root", "text").mapInArrow(run, "rec_table string, id string, path string, parent string, name string, place int, value string, is_array boolean"))
+    return resolved(marked, "path", "parent").drop("is_array")

@@ -85,7 +85,7 @@ SELECT e.record_kind AS kind, e.stream, e.file_name, CAST(e.line_no AS BIGINT) A
   CASE WHEN kind = 'boolean' THEN text = 'true' END AS boolean, CASE WHEN kind IN ('array', 'object') THEN text END AS json, e.canonical FROM e JOIN nf ON nf.stream = e.stream AND nf.ord = e.ord AND nf.field = e.field
 """,
     "p5_alternatives": "WITH " + _DRIFT.split("raw AS (")[0].rstrip().rstrip(",") + r""",
-x AS (SELECT r.stream, r.file_name, fo.ord, regexp_replace(substr(t.fullkey, 3), '\[\d+\]', '[]', 'g') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind
+x AS (SELECT r.stream, r.file_name, fo.ord, regexp_replace(replace(substr(t.fullkey, 3), '"', ''), '\[\d+\]', '[]', 'g') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind
   FROM r JOIN fo ON fo.stream = r.stream AND fo.file_name = r.file_name, json_tree(r.line) AS t WHERE t.fullkey <> '$' AND t.type <> 'NULL')
 SELECT stream, path, kind, arg_min(file_name, ord) AS file_name, count(DISTINCT ord) AS n_files FROM x GROUP BY stream, path, kind
 """,

@@ -149,3 +149,15 @@ def test_latest_delivery_counts(spark):
     u = spark.createDataFrame([("1", [("u", None), None], t)], "id string, source_urls array<struct<url string, mirrors array<struct<url string>>>>, released_at timestamp")
     got = sorted(r.path for r in nested.elements(nested.qa_rows(q, u)).collect())
     assert got == ["metadata.a[0]", "metadata.a[1]", "source_urls[0]"]
+
+
+def test_lone_objects_inside_strings_and_many_layers(spark):
+    text = json.dumps({"b": [{"c": 1}]})
+    for _ in range(7):
+        text = json.dumps(text)
+    rows = [("q", "1", "m", json.dumps({"a": [{"q": [{"n": 1}]}]})), ("q", "2", "m", json.dumps({"a": json.dumps({"q": [{"n": 1}, {"n": 2}]})})), ("q", "3", "m", json.dumps({"a": json.dumps([None, {"q": {"n": 5}}])})), ("q", "4", "m", json.dumps({"deep": text})), ("q", "5", "m", json.dumps({"b": " " + json.dumps([{"c": 2}]) + " ", 'k {"': 1}))]
+    d = spark.createDataFrame(rows, "rec_table string, id string, root string, text string")
+    got = {(r.id, r.path, r.parent) for r in nested.elements(d).collect()}
+    assert got == {("1", "m.a[0]", "m"), ("1", "m.a[0].q[0]", "m.a[0]"), ("2", "m.a[0]", "m"), ("2", "m.a[0].q[0]", "m.a[0]"), ("2", "m.a[0].q[1]", "m.a[0]"), ("3", "m.a[1]", "m"), ("3", "m.a[1].q[0]", "m.a[1]"), ("4", "m.deep.b[0]", "m"), ("5", "m.b[0]", "m")}
+    flat = {(r.id, r.path, r.parent, r.name) for r in nested.tables(d).where("name IS NOT NULL").collect()}
+    assert {("2", "m.a[0].q[1]", "m.a[0]", "n"), ("3", "m.a[1].q[0]", "m.a[1]", "n"), ("4", "m.deep.b[0]", "m.deep", "c")} <= flat
