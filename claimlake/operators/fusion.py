@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions import scores
+from claimlake.operators.ranking import top_k
 
 
 def probabilities(claims: DataFrame, nli: str = "nli") -> DataFrame:
@@ -33,6 +34,23 @@ def fuse(claims: DataFrame, beta: float = 0.8, score: Column | None = None) -> D
     return c.withColumn("fused_label", scores.argmax_enc(F.col("fe"), F.col("fn"), F.col("fc")))
 
 
+def documents(fused: DataFrame, scored: DataFrame, config: dict, edges: int, key: str = "query_id") -> DataFrame:
+    """(key, claims, config, diagnostics, top_edges): one document a query of fused claims.
+
+    ``config`` holds the parameters of the run; diagnostics the numbers of claims, of claims with a hit and of score
+    rows; top_edges the ``edges`` best distinct score rows (eid_head, eid_tail, p_final), ties by ids.
+    """
+    best = scored.where(F.col(key).isNotNull()).select(key, "eid_head", "eid_tail", F.when(~F.isnan("p_final"), F.col("p_final")).alias("p_final")).where("p_final IS NOT NULL").distinct()
+    best = top_k(best, [key], edges, F.desc("p_final"), F.asc("eid_head"), F.asc("eid_tail"))
+    top = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "eid_head", "eid_tail", "p_final"))), lambda x: x.dropFields("rank")).alias("top_edges"))
+    claim = F.struct("claim_idx", "pe", "pn", "pc", "fe", "fn", "fc", "fused_label", "kg_score", "kg_hit")
+    d = fused.groupBy(key).agg(F.array_sort(F.collect_list(claim)).alias("claims"), F.count("*").alias("n_claims"), F.count_if("kg_hit").alias("n_with_graph"))  # claims of one query
+    rows = scored.groupBy(key).agg(F.count("*").alias("n_scores"))
+    own = F.struct(*(F.lit(v).alias(k) for k, v in config.items()))
+    j = d.join(top, key, "left").join(rows, key, "left")
+    return j.select(key, "claims", own.alias("config"), F.struct("n_claims", "n_with_graph", F.coalesce("n_scores", F.lit(0)).alias("n_scores")).alias("diagnostics"), "top_edges")
+
+
 def _share(c: Column) -> Column:
     return F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimlake.functions import text
 
+# Header and column names under which entity tables and name maps come.
 HEADERS = ("entity_name", "entity", "name", "entity_id", "id")
 SURFACE_COLUMNS = ("surface_form", "surface", "mention", "alias", "name", "text")
 NAME_COLUMNS = ("drkg_entity", "entity_name", "entity", "drkg_entity_name")
@@ -32,38 +33,52 @@ def entity_lines(lines: DataFrame, line: str, line_no: str, header: tuple[str, .
         d = d.where(clear)
         counter = F.lit(None).cast("long")
     else:
-        counter = F.row_number().over(Window.orderBy(line_no)).cast("long") - 1
-        d = d.withColumn("_n", counter)
+        d = _counted(d, line_no, "_n")
         counter = F.col("_n")
     name = F.when(clear & digits("a"), F.col("b")).otherwise(F.col("a"))
     eid = F.when(clear & digits("a"), F.col("a").try_cast("long")).when(clear, F.col("b").try_cast("long")).otherwise(counter)
     return d.select(line_no, name.alias("name"), eid.alias("eid")).groupBy("name").agg(F.max_by("eid", line_no).alias("eid"))
 
 
+#: Lines that are ranked together when a file's rows are counted.
+RANGE = 1 << 16
+
+
+def _counted(d: DataFrame, line_no: str, name: str) -> DataFrame:
+    """``d`` with the number of its rows on earlier lines: within ranges of line numbers, plus the rows of earlier ranges,
+    whose table has one row a range."""
+    part = F.floor(F.col(line_no) / RANGE).alias("_part")
+    sizes = d.groupBy(part).agg(F.count("*").alias("_c"))
+    before = sizes.select("_part", (F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(line_no)) - 1
+    return d.withColumn("_part", part).join(before, "_part").withColumn(name, (own + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def pick(columns: list[str], wanted: tuple[str, ...]) -> str | None:
     return next((c for c in wanted if c in columns), None)
 
 
-def resolve_names(names: DataFrame, entities: DataFrame, order: Column, rules: tuple[str, ...] = ("id", "entity", "second"), surface: str | None = None) -> DataFrame:
+def resolve_names(names: DataFrame, entities: DataFrame, order: Column, rules: tuple[str, ...] = ("id", "entity", "second"), surface: str | None = None, id_columns: tuple[str, ...] = ID_COLUMNS) -> DataFrame:
     """(surface, eid): a name table of unknown column names against entities (name, eid).
 
-    ``rules`` say in which order a row is resolved: by an integer id column, by an entity-name column, by
-    the second column.  Of a repeated surface the last resolved row counts.
+    ``rules`` say in which order a row is resolved: by digits in an id column (id), by that column as an entity
+    name (raw), by an entity-name column (entity), by the second column (second).  Of a repeated surface the last resolved
+    row counts.
     """
     cols = names.columns
     s = surface or pick(cols, SURFACE_COLUMNS) or cols[0]
-    by_id, by_name = pick([c for c in cols if c != s], ID_COLUMNS), pick([c for c in cols if c != s], NAME_COLUMNS)
+    by_id, by_name = pick([c for c in cols if c != s], id_columns), pick([c for c in cols if c != s], NAME_COLUMNS)
     d = names.select(order.alias("_o"), text.surface(s).alias("surface"), *(F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(cols)))
     d = d.where("surface IS NOT NULL AND surface <> '' AND surface <> 'nan'")
     at = lambda c: f"_{cols.index(c)}"
-    choice = {"id": at(by_id) if by_id else None, "entity": at(by_name) if by_name else None, "second": at(cols[1]) if not by_name and len(cols) > 1 else None}
+    choice = {"id": at(by_id) if by_id else None, "raw": at(by_id) if by_id else None, "entity": at(by_name) if by_name else None, "second": at(cols[1]) if not by_name and len(cols) > 1 else None}
     found = []
     for r in rules:
         c = choice.get(r)
         if c is None:
             continue
         if r == "id":
-            d = d.withColumn(f"r_{r}", F.col(c).try_cast("long"))
+            d = d.withColumn(f"r_{r}", F.when(text.strip(c).rlike("^[0-9]+$"), text.strip(c).try_cast("long")))
         else:
             e = entities.select(F.col("name").alias(f"n_{r}"), F.col("eid").alias(f"r_{r}"))
             d = d.join(e, text.strip(c) == F.col(f"n_{r}"), "left")
