@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimlake.functions import scores
 from claimlake.operators.linking import entity_pairs
 from claimlake.operators.ranking import top_k
+from claimlake.operators.retrieval import nearest
 
 
 def index(rows: DataFrame, key: str = "query_id", score: Column | None = None, node: str = "node_hit", pair: str = "pair_hit", agg: str = "max", k: int = 10, hit_only: bool = False, missing_hit: bool = False) -> DataFrame:
@@ -73,44 +74,10 @@ def centroids(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     return m.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))  # one entry a dimension
 
 
-def entity_candidates(claims: DataFrame, claim: str, vec: str, aliases: DataFrame, kind: str, entity: str, avec: str, k: int, block: int = 4096) -> DataFrame:
-    """(claim, kind, entity, sim, rank): per claim and entity type the k entities whose best alias is nearest, at least 0.
-
-    Blocks of claims meet blocks of aliases as matrices; all aliases of an entity are in one block, and each
-    meeting keeps its own best k of every type.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    width = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(1, -(-claims.count() // block))
-    q = claims.select(F.col(claim).alias("claim"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(claim), F.lit(n_blocks)).alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("_s"))
-    a = aliases.select(F.col(kind).cast("string").alias("kind"), F.col(entity).alias("entity"), F.col(avec).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_b"))
-    a = a.withColumn("_s", F.pmod(F.xxhash64("kind", "entity"), F.lit(width)))
-    ct, et = claims.schema[claim].dataType.simpleString(), aliases.schema[entity].dataType.simpleString()
-
-    def meet(_, left: "pa.Table", right: "pa.Table") -> "pa.Table":
-        empty = {"claim": left["claim"].slice(0, 0), "kind": pa.array([], pa.string()), "entity": right["entity"].slice(0, 0), "sim": pa.array([], pa.float64())}
-        if not left.num_rows or not right.num_rows:
-            return pa.table(empty)
-        right = right.sort_by([("kind", "ascending"), ("entity", "ascending")])
-        kinds, ids = np.array(right["kind"].to_pylist()), np.array(right["entity"].to_pylist())
-        first = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (ids[1:] != ids[:-1])])
-        v = np.array(right["v"].to_pylist())
-        ci, ei, sims = [], [], []
-        for i, x in enumerate(np.array(left["v"].to_pylist())):
-            best = np.maximum(0.0, np.maximum.reduceat(v @ x, first))
-            for kd in np.unique(kinds[first]):
-                own = np.flatnonzero(kinds[first] == kd)
-                top = own[np.argsort(-np.round(best[own], 9), kind="stable")[:k]]
-                ci += [i] * len(top)
-                ei += first[top].tolist()
-                sims += best[top].tolist()
-        rows = right.take(pa.array(ei, pa.int64()))
-        return pa.table({"claim": left["claim"].take(pa.array(ci, pa.int64())), "kind": rows["kind"], "entity": rows["entity"], "sim": pa.array(sims, pa.float64())})
-
-    met = q.groupBy("_b", "_s").cogroup(a.groupBy("_b", "_s")).applyInArrow(meet, f"claim {ct}, kind string, entity {et}, sim double")
-    met = met.select(F.col("claim").alias(claim), F.col("kind").cast(aliases.schema[kind].dataType).alias(kind), F.col("entity").alias(entity), "sim")
+def entity_candidates(claims: DataFrame, claim: str, vec: str, aliases: DataFrame, kind: str, entity: str, avec: str, k: int) -> DataFrame:
+    """(claim, kind, entity, sim, rank): per claim and entity type the k entities whose best alias is nearest, at least 0."""
+    met = nearest(claims, claim, vec, aliases, entity, avec, k, kind)
+    met = met.select(claim, F.col("kind").cast(aliases.schema[kind].dataType).alias(kind), entity, F.greatest(F.lit(0.0), "score").alias("sim"))
     return top_k(met, [claim, kind], k, F.desc(F.round("sim", 9)), F.asc(entity))
 
 

@@ -84,15 +84,24 @@ def advantages(samples: DataFrame, group: str, value: str) -> DataFrame:
     return samples.join(s, group).withColumn("advantage", (F.col(value) - F.col("_m")) / (F.col("_s") + 1e-6)).drop("_m", "_s")
 
 
-def last_ema(rows: DataFrame, key: str, value: str, order: list[Column], alpha: float) -> DataFrame:
+def last_ema(rows: DataFrame, key: str, value: str, order: list[Column], alpha: float, span: Column | None = None) -> DataFrame:
     """(key, ema): exponential moving average after the last value, which begins with the first value.
 
-    The closed form weighs each value by its distance from the end, so rows are ranked but never collected.
+    The closed form weighs each value by its distance from the end.  ``span``, which must grow with ``order`` (a day, a
+    range of positions), cuts the rows of a key into pieces: each piece is weighed on its own, so no task ranks all rows
+    of a frequent key, and the pieces are then discounted by the rows after them.
     """
-    w = Window.partitionBy(key)
-    r = rows.select(key, F.col(value).cast("double").alias("_v"), (F.row_number().over(w.orderBy(*[c.desc() for c in order])) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
-    weight = F.when(F.col("_k") == F.col("_n") - 1, F.pow(F.lit(1 - alpha), F.col("_k"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("_k")))
-    return r.groupBy(key).agg(F.sum(F.col("_v") * weight).alias("ema"))
+    piece = span if span is not None else F.lit(0)
+    r = rows.select(key, piece.alias("_p"), F.col(value).cast("double").alias("_v"), *(c.alias(f"_o{i}") for i, c in enumerate(order)))
+    by = [F.col(f"_o{i}").desc() for i in range(len(order))]
+    r = r.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_p").orderBy(*by)) - 1)
+    parts = r.groupBy(key, "_p").agg(F.sum(F.col("_v") * alpha * F.pow(F.lit(1 - alpha), F.col("_k"))).alias("_s"), F.count("*").alias("_n"), F.max_by("_v", "_k").alias("_first"))
+    w = Window.partitionBy(key).orderBy(F.desc("_p"))
+    parts = parts.withColumn("_after", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the first value of all has the weight of everything before it too: 1 - alpha more times what alpha leaves
+    head = F.max_by(F.struct("_first", (F.col("_after") + F.col("_n") - 1).alias("k")), F.struct(F.col("_after"), F.col("_n")))
+    d = parts.groupBy(key).agg(F.sum(F.col("_s") * F.pow(F.lit(1 - alpha), F.col("_after"))).alias("_s"), head.alias("_h"))
+    return d.select(key, (F.col("_s") + F.col("_h._first") * (1 - alpha) * F.pow(F.lit(1 - alpha), F.col("_h.k"))).alias("ema"))
 
 
 def context_metrics(claims_supported: DataFrame, chunk_gains: DataFrame, key: str, k: int) -> DataFrame:

@@ -194,7 +194,7 @@ def advantage_norm(t):
 
 @query("SELECT user_id, round(sum(value * CASE WHEN k = n - 1 THEN power(0.9, k) ELSE 0.1 * power(0.9, k) END), 6) AS ema FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id")
 def ema_values(t):
-    return metrics.last_ema(t("events"), "user_id", "value", [F.col("ts"), F.col("event_id")], 0.1).select("user_id", F.round("ema", 6).alias("ema"))
+    return metrics.last_ema(t("events"), "user_id", "value", [F.col("ts"), F.col("event_id")], 0.1, F.to_date("ts")).select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @query("SELECT event_type, count(*) AS n_total, count(*) FILTER (WHERE value > 50) AS n_fused, count(*) FILTER (WHERE value <= 5) AS n_skipped, count(*) FILTER (WHERE value > 50 AND user_id % 7 = 0) AS n_zero_coverage FROM events GROUP BY event_type")

@@ -66,8 +66,13 @@ def topk_entities(t):
 
 
 def _vectors(t):
-    """Stand-in document vectors: embeddings dealt out by doc_id."""
-    return t("documents").select("doc_id", (F.col("doc_id") % 500).alias("vec_id")).join(t("embeddings").select("vec_id", "embedding"), "vec_id").select("doc_id", "embedding")
+    """A vector of its own for each document: one embedding of the whole table plus a little of another."""
+    e = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    n = e.agg(F.count("*").alias("n"))
+    d = t("documents").select("doc_id").crossJoin(F.broadcast(n))  # one row
+    d = d.select("doc_id", F.pmod("doc_id", "n").alias("x"), F.pmod(F.floor(F.col("doc_id") / F.col("n")), F.col("n")).alias("y"))
+    d = d.join(e.select(F.col("vec_id").alias("x"), F.col("e").alias("ex")), "x").join(e.select(F.col("vec_id").alias("y"), F.col("e").alias("ey")), "y")
+    return d.select("doc_id", F.zip_with("ex", "ey", lambda a, b: a + 0.1 * b).alias("embedding"))
 
 
 def _dense(t, k):
@@ -76,7 +81,8 @@ def _dense(t, k):
 
 
 _DENSE_SQL = """
-v AS (SELECT doc_id, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON doc_id % 500 = vec_id),
+v AS (SELECT doc_id, list_transform(list_zip(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), lambda z: z[1] + 0.1 * z[2]) AS e
+  FROM documents, (SELECT count(*) AS n FROM embeddings) JOIN embeddings x ON x.vec_id = doc_id % n JOIN embeddings y ON y.vec_id = (doc_id // n) % n),
 de AS (SELECT qid, doc_id, score, rank FROM (SELECT a.doc_id AS qid, b.doc_id, list_inner_product(a.e, b.e) AS score, row_number() OVER (PARTITION BY a.doc_id ORDER BY round(list_inner_product(a.e, b.e), 9) DESC, b.doc_id) AS rank FROM v a, v b WHERE a.doc_id % 50 = 0) WHERE rank <= {k})"""
 
 
@@ -134,6 +140,18 @@ def qa_unify(t):
     return u.select("dataset", "id", "question", F.size("contexts").alias("n_contexts"), "answer", "label")
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {_DOT} >= 0.45")
+_FLIPPED = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL SELECT -1 - vec_id, list_concat([-CAST(embedding[1] AS DOUBLE)], CAST(embedding[2:] AS DOUBLE[])) FROM embeddings)"""
+
+
+@query(f"WITH {_FLIPPED} SELECT a.id AS a, b.id AS b, round(list_inner_product(a.e, b.e), 6) AS cosine FROM v a, v b WHERE a.id < b.id AND list_inner_product(a.e, b.e) >= 0.95")
 def near_vectors(t):
-    return retrieval.near_vectors(t("embeddings"), "vec_id", "embedding", 0.45).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    """Pairs at cosine 0.95 by random projections, among all vectors and copies of them with the first coordinate's sign turned."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    turned = e.select((-1 - F.col("id")).alias("id"), F.transform("e", lambda x, i: F.when(i == 0, -x).otherwise(x)).alias("e"))
+    return retrieval.near_vectors(e.unionByName(turned), "id", "e", 0.95).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {_DOT} >= 0.45")
+def near_vectors_exact(t):
+    """All pairs at a low cosine, tile against tile."""
+    return retrieval.near_vectors(t("embeddings"), "vec_id", "embedding", 0.45, exact=True).select("a", "b", F.round("cosine", 6).alias("cosine"))

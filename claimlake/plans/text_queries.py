@@ -20,9 +20,10 @@ def ws_normalize_docs(t):
 
 @query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{text.KG_TOKEN}')) AS token FROM documents) GROUP BY token")
 def kg_token_counts(t):
-    toks = t("documents").select("doc_id", F.explode(text.kg_tokens("text")).alias("token"))
-    # two levels, so that a token of every document is counted a document at a time before it is shuffled
-    return toks.groupBy("token", "doc_id").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
+    # each row says which of its tokens are its first of a kind, so one shuffle of partial counts gives both numbers
+    d = t("documents").select(F.array_sort(text.kg_tokens("text")).alias("_t")).where("size(_t) > 0")
+    d = d.select(F.inline(F.arrays_zip(F.col("_t").alias("token"), F.concat(F.array(F.lit("")), F.slice("_t", 1, F.size("_t") - 1)).alias("before"))))
+    return d.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("token") != F.col("before")).alias("n_docs"))
 
 
 _BRACKETS = r"\([^\n]*?\)|\[[^\n]*?\]"

@@ -43,10 +43,44 @@ def test_dense_blocks_match_brute_force(spark):
     v = rng.normal(size=(60, 8))
     e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
     q = e.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    got = {(r.q, r.id) for r in retrieval.dense(q, "q", "qv", e, "id", "v", 5, block=2).collect()}
+    got = {(r.q, r.id) for r in retrieval.dense(q, "q", "qv", e, "id", "v", 5).collect()}
     assert got == {(i, int(j)) for i in range(0, 60, 10) for j in np.argsort(-(v @ v[i]))[:5]}
 
 
+def test_dense_beyond_the_broadcast_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = np.repeat(rng.normal(size=(40, 4)), 3, axis=0)  # every vector three times: ties go to the smaller id
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "id long, v array<double>")
+    q = e.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    want = {(i, int(j)) for i in range(0, 120, 10) for j in np.lexsort((np.arange(120), -np.round(v @ v[i], 9)))[:4]}
+    run = lambda: {(r.q, r.id) for r in retrieval.dense(q, "q", "qv", e, "id", "v", 4).collect()}
+    assert run() == want
+    monkeypatch.setattr(retrieval, "SENT_BYTES", 8)
+    monkeypatch.setattr(retrieval, "MEETING", 16)
+    assert run() == want
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 16))
+    v = np.r_[v, v + 0.05 * rng.normal(size=v.shape)]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    s = v @ v.T
+    for exact, least, tile in ((False, 0.95, 2048), (False, 0.95, 4), (True, 0.5, 7)):
+        got = {(r.a, r.b) for r in retrieval.near_vectors(e, "id", "v", least, exact=exact, tile=tile).collect()}
+        assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if s[i, j] >= least}
+
+
+def test_bm25_salted_join_is_the_same(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"drug pain {'common ' * (i % 3)}w{i % 5}") for i in range(40)], "id long, t string")
+    q = spark.createDataFrame([(1, "common w1"), (2, "w1 common"), (3, None)], "q int, t string")
+    run = lambda: sorted((r.q, r.id, round(r.score, 9), r["rank"]) for r in retrieval.bm25(q, "q", "t", d, "id", "t", 5).collect())
+    want = run()
+    monkeypatch.setattr(retrieval, "SENT", 0)
+    assert want and run() == want
+
+
 def test_hybrid_degenerate(spark):
     d = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5)], "q int, d int, score double")
     s = spark.createDataFrame([(1, 2, 3.0), (1, 3, 1.0)], "q int, d int, score double")
@@ -72,6 +106,9 @@ def test_advantage_and_ema(spark):
     assert got == pytest.approx([-0.57735, -0.57735, 0.0, 1.1547], abs=2e-4)
     e = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.0), (1, 3, 1.0)], "k int, t int, v double")
     assert round(metrics.last_ema(e, "k", "v", [F.col("t")], 0.1).first().ema, 6) == 0.91
+    many = spark.createDataFrame([(i % 3, i, float(i * 7 % 11)) for i in range(60)], "k int, t int, v double")
+    whole = {r.k: round(r.ema, 9) for r in metrics.last_ema(many, "k", "v", [F.col("t")], 0.1).collect()}
+    assert whole == {r.k: round(r.ema, 9) for r in metrics.last_ema(many, "k", "v", [F.col("t")], 0.1, F.floor(F.col("t") / 7)).collect()}
 
 
 def test_context_metrics_worked_example(spark):
