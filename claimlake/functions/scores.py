@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,17 @@ def safe_double(c: Column, default: float | None = 0.0) -> Column:
     return d if default is None else F.coalesce(d, F.lit(default))
 
 
+def round_binary(c: Column, digits: int) -> Column:
+    """Rounded as printf does: by the exact binary value, ties to even.  Spark's round goes by the shortest decimal, half
+    up, and differs at 0.25 or 0.35; no built-in sees the binary value, so batches of Arrow do it."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: round(v, digits), na_action="ignore")
+
+    return run(c.cast("double"))
+
+
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimlake.functions.text import token_estimate
+from claimlake.functions.text import strip, token_estimate
 
 # Fixed value: the answering prompt around question and context.
 ANSWER_PROMPT = """You are a helpful medical assistant. Answer the user's question **faithfully** using the provided context only. If the answer is not in the context, say "I don't know" and do NOT hallucinate.
@@ -72,7 +72,7 @@ def trim_to_limit(question: Column, texts: Column, limit: int, max_new: int, ext
 def pack_numbered(texts: Column, max_docs: int = 8, max_chars: int = 1200, total: int = 12_000) -> Column:
     """Numbered blocks of the non-blank texts among the first ``max_docs``, up to a total of characters; numbers count blanks."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("int").alias("used"), F.lit(False).alias("full"))
-    numbered = F.transform(F.slice(texts, 1, max_docs), lambda t, i: F.struct(F.substring(F.trim(F.coalesce(t, F.lit(""))), 1, max_chars).alias("t"), (i + 1).alias("n")))
+    numbered = F.transform(F.slice(texts, 1, max_docs), lambda t, i: F.struct(F.substring(strip(F.coalesce(t, F.lit(""))), 1, max_chars).alias("t"), (i + 1).alias("n")))
 
     def add(s: Column, x: Column) -> Column:
         over = s["used"] + F.length(x["t"]) > total

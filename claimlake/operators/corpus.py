@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.operators.ranking import top_k
+
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -97,5 +99,13 @@ def fetch(urls: DataFrame, url: str, client: Callable[[], Callable[[str], str |
     return urls.mapInPandas(run, out.schema)
 
 
-def is_pdf(url: Column) -> Column:
-    return F.lower(url).endswith(".pdf")
+def fetch_items(rows: DataFrame, item: str, url: str, client: Callable[[], Callable[[str], str | None]], most: int = 5, longest: int = 40_000) -> DataFrame:
+    """(item, url, page): the first ``most`` distinct addresses of each item, each address fetched once."""
+    kept = top_k(rows.where(F.coalesce(F.col(url), F.lit("")) != "").select(item, url).distinct(), [item], most, F.asc(url)).select(item, url)
+    return kept.join(fetch(kept.select(url).distinct(), url, client, longest), url).select(item, url, "page")
+
+
+def is_pdf(url: Column, content_type: Column | None = None) -> Column:
+    """Whether an address is a PDF: by its ending, or by the content type that a server gave for it."""
+    by_name = F.lower(url).endswith(".pdf")
+    return by_name if content_type is None else F.when(url.isNotNull(), by_name | F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False)))

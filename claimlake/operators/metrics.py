@@ -126,3 +126,8 @@ def context_metrics(claims_supported: DataFrame, chunk_gains: DataFrame, key: st
 def weighted_share(flag: Column, weight: Column) -> Column:
     """Share of weight with the flag, such as adherence weighted by source authority; 0 without weight."""
     return F.coalesce(F.try_divide(F.sum(F.when(flag, weight).otherwise(0.0)), F.sum(weight)), F.lit(0.0))
+
+
+def batch(runs: DataFrame, group: list[str], done: Column, covered: Column) -> DataFrame:
+    """(group, n_total, n_done, n_skipped, n_zero_coverage) of a run table; done runs that cover nothing are suspicious."""
+    return runs.groupBy(*group).agg(F.count("*").alias("n_total"), F.count_if(done).alias("n_done"), F.count_if(~done).alias("n_skipped"), F.count_if(done & (covered == 0)).alias("n_zero_coverage"))

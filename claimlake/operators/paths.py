@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,7 @@ def run_columns(path: Column) -> list[Column]:
 def file_columns(name: Column) -> list[Column]:
     """model, method, whether a file is fused already, and its stem without repeated fusion tags."""
     base = F.try_element_at(F.split(name, "/"), F.lit(-1))
+    # fixed values: the naming pattern of the files
     method = F.regexp_extract(base, "__checker_(sft|grpo)_", 1)
     rest = F.regexp_extract(base, "__checker_(?:sft|grpo)_([^_]+(?:_[^_]+)*)", 1)
     stem = F.regexp_replace(F.regexp_replace(base, r"\.jsonl?$", ""), "(?:__kgfused)+$", "")
@@ -35,3 +36,12 @@ def file_columns(name: Column) -> list[Column]:
         F.coalesce(F.nullif(F.split(rest, "__kg")[0], F.lit("")), F.lit("unknown")).alias("model"), F.coalesce(F.nullif(method, F.lit("")), F.lit("unknown")).alias("method"),
         base.contains("__kgfused").alias("is_fused"), stem.alias("stem"),
     ]
+
+
+def cleanup(files: DataFrame, tag: str = "__kgfused") -> DataFrame:
+    """(file, action, target) of output files: names with a repeated tag are to be renamed to the tag once, or deleted where
+    the name they would get is taken; the rest is kept.  Nothing is touched: the table is the dry run."""
+    d = files.select("file", F.regexp_replace("file", f"(?:{tag})+(\\.[a-z]+)$", f"{tag}$1").alias("target")).distinct()
+    own = F.col("file") == F.col("target")
+    first = F.row_number().over(Window.partitionBy("target").orderBy(F.when(own, 0).otherwise(1), "file"))
+    return d.select("file", F.when(own, "keep").when(first == 1, "rename").otherwise("delete").alias("action"), "target")

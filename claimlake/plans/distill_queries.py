@@ -80,7 +80,10 @@ def checker_pairs(t):
     return p.select("query_id", "claim_no", "doc_no", "label", F.md5("prompt").alias("prompt_md5"))
 
 
-@query()
+@query(f"""WITH {_RAG}, s AS (SELECT query_id, {_sent('rag_response')} AS c, list_filter(list_transform(coalesce(retrieved_context, []), lambda d: {NORM("coalesce(d.text, '')")}), lambda x: length(x) >= 40) AS e FROM r),
+k AS (SELECT query_id, e, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS ci FROM (SELECT query_id, e, i, row_number() OVER (PARTITION BY query_id, lower(c[i]) ORDER BY i) AS n FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM s)) WHERE n = 1),
+p AS (SELECT query_id, ci, j - 1 AS di FROM (SELECT query_id, ci, unnest(range(1, len(e) + 1)) AS j FROM k))
+SELECT query_id, CAST(ci AS INTEGER) AS claim_no, CAST(di AS INTEGER) AS doc_no, CASE (ci + di) % 4 WHEN 0 THEN 'entailed' WHEN 1 THEN 'neutral' ELSE 'contradicted' END AS label FROM p WHERE (ci + di) % 4 < 3""")
 def checker_pairs_compat(t):
     """The misaligned variant: positions count deduplicated claims and long-enough evidence only."""
     return claims.checker_pairs(_labels(t), "query_id", "claims", "evidence", "labels", compat=True).select("query_id", "claim_no", "doc_no", "label")
@@ -120,12 +123,13 @@ def extractor_rows(t):
 _SHAPES = ['{"response_claims":[["a","r","b"],"plain",["x","y"]]}', '{"response_claims":[],"claims":["z"]}', '{"claims":["p ","q"]}', '{"response_claims":[["a",null,"b"],["",  "r", "o"]]}', "{bad", '{"atomic_claims":[1, "w"]}']
 
 
-@query()
+@query("""SELECT * FROM (VALUES (0, 'a r b|plain|x y', 'a r b.|plain|["x","y"]', 1), (1, '', '', 0), (2, 'p|q', '', 0), (3, 'a b|r o', 'a None b.| r o.', 1), (4, '', '', 0), (5, '1|w', '', 0)) v(rec, texts, sentences, n_triples)""")
 def claims_shapes(t):
     """Literal records in every accepted shape: texts, sentences and valid triples."""
     d = t("region").sparkSession.createDataFrame(list(enumerate(_SHAPES)), "rec int, line string").withColumn("v", F.try_parse_json("line"))
     c = F.try_variant_get("v", "$.response_claims", "variant")
-    return d.select("rec", claims.shaped(F.col("v")).alias("texts"), claims.coerce(c).alias("sentences"), F.size(claims.triples(c)).alias("n_triples"))
+    joined = lambda x: F.coalesce(F.array_join(x, "|"), F.lit(""))
+    return d.select("rec", joined(claims.shaped(F.col("v"))).alias("texts"), joined(claims.coerce(c)).alias("sentences"), F.size(claims.triples(c)).alias("n_triples"))
 
 
 @query(f"SELECT query_id, CAST(i - 1 AS INTEGER) AS doc_no, coalesce(nullif({NORM('retrieved_context[i].text')}, ''), '') AS evidence, coalesce(nullif(trim(retrieved_context[i].doc_id), ''), nullif(trim(retrieved_context[i].title), '')) AS match_key FROM (SELECT DISTINCT query_id, retrieved_context, unnest(range(1, len(retrieved_context) + 1)) AS i FROM rag_rows WHERE query_id IS NOT NULL) WHERE nullif({NORM('retrieved_context[i].text')}, '') IS NOT NULL")
@@ -195,7 +199,18 @@ def _texts():
     return F.transform(F.coalesce("retrieved_context", F.array()), lambda d: d["text"])
 
 
-@query()
+_PACK = f"""WITH RECURSIVE {_RAG}, b AS (SELECT query_id, coalesce(query, '') AS q, coalesce(retrieved_context, []) AS d, {4 * (1024 - 128 - 256 + 1) - 1 - context.PROMPT_CHARS} - length(coalesce(query, '')) AS room FROM r),
+p AS (SELECT query_id, 0 AS i, CAST([] AS VARCHAR[]) AS kept, CAST(0 AS BIGINT) AS used, FALSE AS done, q, d, room FROM b
+  UNION ALL SELECT query_id, i + 1, CASE WHEN done THEN kept WHEN length(t) <= room - used - head THEN list_append(kept, t) WHEN greatest(0, room - used - head) > 0 AND length(t) > 0 THEN list_append(kept, substr(t, 1, CAST(room - used - head AS INTEGER))) ELSE kept END,
+    CASE WHEN NOT done AND length(t) <= room - used - head THEN used + head + length(t) ELSE used END, done OR length(t) > room - used - head, q, d, room
+    FROM (SELECT *, substr(coalesce(d[i + 1].text, ''), 1, 1200) AS t, CASE WHEN len(kept) > 0 THEN 4 ELSE 2 END AS head FROM p WHERE i < least(8, len(d)))),
+z AS (SELECT query_id, q, d, CASE WHEN greatest(1, ({context.PROMPT_CHARS} + length(q)) // 4) >= 640 THEN [] ELSE kept END AS kept FROM p WHERE i = least(8, len(d))),
+u AS (SELECT *, greatest(1, ({context.PROMPT_CHARS} + length(q) + coalesce(list_sum(list_transform(kept, lambda x: length(x) + 4)), 0)) // 4) AS used, list_filter(range(1, len(d) + 1), lambda n: greatest(1, ({context.PROMPT_CHARS} + length(q) + list_sum(list_transform(d[1:n], lambda x: length(coalesce(x.text, '')) + 2)) + 2 * (n - 1)) // 4) <= 832) AS fit,
+  list_filter(list_transform(range(1, least(8, len(d)) + 1), lambda i: CASE WHEN {STRIP("coalesce(d[i].text, '')")} <> '' THEN '[Doc ' || i || ']' || chr(10) || substr({STRIP('d[i].text')}, 1, 1200) END), lambda x: x IS NOT NULL) AS blocks FROM z)
+SELECT query_id, CAST(len(kept) AS INTEGER) AS n_packed, md5(coalesce(array_to_string(kept, '|'), '')) AS packed_md5, md5(coalesce(array_to_string(blocks, chr(10) || chr(10)), '')) AS numbered_md5, CAST(coalesce(list_max(fit), 0) AS INTEGER) AS n_trimmed, CAST(greatest(1, least(128, greatest(0, 1023 - used))) AS INTEGER) AS max_tokens, used > 640 AS skipped FROM u"""
+
+
+@query(_PACK)
 def context_packing(t):
     """Texts that fit a small budget, numbered blocks, the longest run under a hard limit, generation budget, overflow."""
     r = _rag(t).withColumn("q", F.coalesce("query", F.lit("")))
@@ -210,7 +225,7 @@ def context_packing(t):
 @query(f"WITH {_RAG} SELECT query_id, CAST(greatest(1, length(coalesce(rag_response, '')) // 4) AS INTEGER) AS n_tokens, greatest(1, length(coalesce(rag_response, '')) // 4) > 80 AS overflow, round(length(coalesce(rag_response, '')) / 4.0, 1) AS exact FROM r")
 def overflow_skip(t):
     n = text.token_estimate(F.coalesce("rag_response", F.lit("")))
-    return _rag(t).select("query_id", n.alias("n_tokens"), (n > 80).alias("overflow"), F.round(F.length(F.coalesce("rag_response", F.lit(""))) / 4.0, 1).alias("exact"))
+    return _rag(t).select("query_id", n.alias("n_tokens"), context.overflow(1024, 128, 816, n).alias("overflow"), F.round(F.length(F.coalesce("rag_response", F.lit(""))) / 4.0, 1).alias("exact"))
 
 
 _CM = f"""WITH {_RAG}, gold AS (SELECT query_id, unnest({_sent('gt_answer')}) AS g FROM r), ch AS (SELECT query_id, i AS rank, coalesce(retrieved_context[i].text, '') AS ev FROM (SELECT query_id, retrieved_context, unnest(range(1, len(retrieved_context) + 1)) AS i FROM r)),

@@ -197,10 +197,13 @@ def ema_values(t):
     return metrics.last_ema(t("events"), "user_id", "value", [F.col("ts"), F.col("event_id")], 0.1, F.to_date("ts")).select("user_id", F.round("ema", 6).alias("ema"))
 
 
-@query("SELECT event_type, count(*) AS n_total, count(*) FILTER (WHERE value > 50) AS n_fused, count(*) FILTER (WHERE value <= 5) AS n_skipped, count(*) FILTER (WHERE value > 50 AND user_id % 7 = 0) AS n_zero_coverage FROM events GROUP BY event_type")
+@query("WITH " + _BASE + """, q AS (SELECT query_id, count(*) AS n_claims, count(*) FILTER (WHERE kg_hit) AS covered, query_id IN (SELECT query_id FROM kge_scores) AS scored FROM ff GROUP BY query_id)
+SELECT n_claims % 3 AS slot, count(*) AS n_total, count(*) FILTER (WHERE scored) AS n_done, count(*) FILTER (WHERE NOT scored) AS n_skipped, count(*) FILTER (WHERE scored AND covered = 0) AS n_zero_coverage FROM q GROUP BY 1""")
 def batch_summary(t):
-    v, u = F.col("value"), F.col("user_id")
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n_total"), F.count_if(v > 50).alias("n_fused"), F.count_if(v <= 5).alias("n_skipped"), F.count_if((v > 50) & (u % 7 == 0)).alias("n_zero_coverage"))
+    """What a batch of fusions did, a run a query: done, skipped for want of scores, and done without any claim covered."""
+    known = t("kge_scores").select("query_id").where("query_id IS NOT NULL").distinct().withColumn("scored", F.lit(True))
+    runs = _fused(t).groupBy("query_id").agg(F.count("*").alias("n_claims"), F.count_if("kg_hit").alias("covered")).join(known, "query_id", "left")
+    return metrics.batch(runs.withColumn("slot", F.col("n_claims") % 3), ["slot"], F.coalesce("scored", F.lit(False)), F.col("covered"))
 
 
 @query("SELECT gold_label AS label, count(*) AS n FROM student_claims_flat GROUP BY gold_label")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimlake.functions import text
 from claimlake.operators import retrieval, unify
 from claimlake.plans.registry import query
+from claimlake.plans.text_queries import STRIP
 
 
 def _asked(t):
@@ -126,9 +127,10 @@ def gold_contexts(t):
     return q.select("id", F.explode(unify.gold_hits(F.col("contexts"))).alias("h")).select("id", "h.doc_id", F.md5("h.text").alias("text_md5"))
 
 
-@query("""SELECT 'qiaojin/PubMedQA' AS dataset, id, coalesce(question, '') AS question, CAST(len(coalesce(contexts, [])) AS INTEGER) AS n_contexts, coalesce(answer, '') AS answer, nullif(label, '') AS label FROM qa_items WHERE dataset = 'pubmedqa'
+@query(f"""SELECT 'qiaojin/PubMedQA' AS dataset, id, coalesce(question, '') AS question, CAST(len(coalesce(contexts, [])) AS INTEGER) AS n_contexts, coalesce(answer, '') AS answer, nullif(label, '') AS label FROM qa_items WHERE dataset = 'pubmedqa'
 UNION ALL SELECT 'lavita/MedQuAD', id, coalesce(question, ''), 0, coalesce(answer, ''), NULL FROM qa_items WHERE dataset = 'medquad'
-UNION ALL SELECT 'hyesunyun/liveqa_medical_trec2017', id, CASE WHEN trim(coalesce(question, '')) <> '' THEN trim(question) ELSE id END, 1, coalesce(answer, ''), NULL FROM qa_items WHERE dataset = 'liveqa'""")
+UNION ALL SELECT 'hyesunyun/liveqa_medical_trec2017', id, CASE WHEN trim(coalesce(question, '')) <> '' THEN trim(question) ELSE id END, 1, coalesce(answer, ''), NULL FROM qa_items WHERE dataset = 'liveqa'
+UNION ALL SELECT 'csiro/medredqa_pubmed', id, {STRIP('coalesce(question, \'\')')}, CAST({STRIP('coalesce(contexts[1], \'\')')} <> '' AS INTEGER), {STRIP('coalesce(answer, \'\')')}, NULL FROM qa_items WHERE dataset = 'csiro'""")
 def qa_unify(t):
     q = t("qa_items")
     raw = lambda d, *cs: q.where(F.col("dataset") == d).select(F.parse_json(F.to_json(F.struct(*cs))).alias("v"))
@@ -136,7 +138,9 @@ def qa_unify(t):
     p = unify.pages(raw("medquad", F.col("id").alias("question_id"), "question", "answer"), "v")
     refs = F.array(F.struct(F.col("answer").alias("ANSWER"), F.lit("https://a.example").alias("AnswerURL"))).alias("REFERENCE_ANSWERS")
     v = unify.live(raw("liveqa", F.col("id").alias("QUESTION_ID"), F.col("question").alias("NIST_PARAPHRASE"), F.lit("s").alias("NLM_SUMMARY"), refs), "v")
-    u = a.unionByName(p).unionByName(v)
+    # the id stands for the position in the file
+    c = q.where("dataset = 'csiro'").select("id", F.parse_json(F.to_json(F.struct("question", F.get("contexts", F.lit(0)).alias("document"), F.col("answer").alias("response")))).alias("v"))
+    u = a.unionByName(p).unionByName(v).unionByName(unify.local(c, "v", "id", "test"))
     return u.select("dataset", "id", "question", F.size("contexts").alias("n_contexts"), "answer", "label")
 
 

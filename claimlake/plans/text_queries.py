@@ -67,10 +67,14 @@ def chunk_documents(t):
     return corpus.chunks(t("documents"), "doc_id", "text").select("doc_id", "chunk_index", "num_chunks", F.md5("chunk").alias("chunk_md5"))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS part_index, CAST(len(parts) AS INTEGER) AS num_parts, md5(parts[i]) AS part_md5 FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS parts FROM documents WHERE text IS NOT NULL))")
+@query("""WITH d AS (SELECT doc_id, length(text) // 10 + 1 AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, n, CASE WHEN n <= 100 THEN 1 ELSE 1 + (n - 100 + 84) // 85 END AS k FROM d), x AS (SELECT *, unnest(range(0, k)) AS j FROM c)
+SELECT doc_id, CAST(j AS INTEGER) AS chunk_index, CAST(k AS INTEGER) AS num_chunks, md5(list_reduce(list_transform(range(85 * j + 1, least(n, 85 * j + 100) + 1), lambda i: lpad(CAST(i AS VARCHAR), 9, '0')), lambda a, b: a || ' ' || b)) AS chunk_md5 FROM x""")
 def chunk_ordinals(t):
-    parts = t("documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n\n").alias("parts"))
-    return parts.select("doc_id", F.size("parts").alias("num_parts"), F.posexplode("parts").alias("part_index", "part")).select("doc_id", "part_index", "num_parts", F.md5("part").alias("part_md5"))
+    """The chunker on texts of nine-letter words, as many as each document has tens of characters, whose chunks have a closed
+    form: 100 words, 15 of them overlapping."""
+    words = F.transform(F.sequence(F.lit(1), F.floor(F.length("text") / 10).cast("int") + 1), lambda i: F.lpad(i.cast("string"), 9, "0"))
+    d = t("documents").where("text IS NOT NULL").select("doc_id", F.array_join(words, " ").alias("text"))
+    return corpus.chunks(d, "doc_id", "text").select("doc_id", "chunk_index", "num_chunks", F.md5("chunk").alias("chunk_md5"))
 
 
 _UID = "CASE WHEN trim(coalesce(document_id, '')) <> '' THEN 'document_id:' || trim(document_id) ELSE 'md5:' || md5(trim(coalesce(question_focus, '')) || chr(10) || trim(coalesce(text, ''))) END"
@@ -105,9 +109,18 @@ def key_intersect(t):
     return t("rag_rows").select("query_id").where("query_id IS NOT NULL").intersect(t("qa_items").select(F.col("id").alias("query_id")))
 
 
-@query("SELECT query_id FROM (SELECT DISTINCT query_id FROM student_claims_flat WHERE query_id IS NOT NULL) WHERE query_id NOT IN (SELECT query_id FROM kge_scores WHERE query_id IS NOT NULL)")
+@query("SELECT id FROM (SELECT DISTINCT id FROM qa_items WHERE id IS NOT NULL) WHERE id NOT IN (SELECT query_id FROM kge_scores WHERE query_id IS NOT NULL)")
 def keys_without_scores(t):
-    return t("student_claims_flat").select("query_id").where("query_id IS NOT NULL").distinct().join(t("kge_scores").select("query_id"), "query_id", "left_anti")
+    return t("qa_items").select("id").where("id IS NOT NULL").distinct().join(t("kge_scores").select(F.col("query_id").alias("id")), "id", "left_anti")
+
+
+@query("SELECT event_id, CAST(printf('%.1f', value / 8) AS DOUBLE) AS one, CAST(printf('%.3f', value / 16) AS DOUBLE) AS three FROM (SELECT event_id, round(value) AS value FROM events)")
+def number_format(t):
+    """Rounding by the binary value, ties to even, as reports have it."""
+    from claimlake.functions import scores
+
+    v = F.round("value")
+    return t("events").select("event_id", scores.round_binary(v / 8, 1).alias("one"), scores.round_binary(v / 16, 3).alias("three"))
 
 
 @query("SELECT doc_id, md5('42:' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM documents ORDER BY shuffle_key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+# Members that may hold a score, in order of preference.
 SCORE_KEYS = ("score", "prob", "final_score", "p", "p_final_score")
 
 
@@ -52,6 +53,15 @@ def documents(spark: SparkSession, roots: str | list[str], pattern: str = "*.jso
     return d.where("v IS NOT NULL")
 
 
+def file_counts(spark: SparkSession, roots: list[str], pattern: str = "*.json") -> DataFrame:
+    """(file, readable, n_rows) of the files under several roots, each once whatever roots lead to it; links are resolved
+    by the file system; unreadable files are reported and count no rows."""
+    d = spark.read.text(sorted(set(roots)), wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    v = F.try_parse_json("value")
+    items = F.try_variant_get(v, "$.results", "array<variant>")
+    return d.select(F.col("_metadata.file_path").alias("file"), v.isNotNull().alias("readable"), F.coalesce(F.size(items), F.lit(0)).cast("long").alias("n_rows")).dropDuplicates(["file"]).withColumn("n_rows", F.greatest(F.lit(0).cast("long"), "n_rows"))
+
+
 def results(docs: DataFrame) -> DataFrame:
     """(file, pos, record, metrics) of documents that hold a list under ``results``."""
     items = F.coalesce(F.try_variant_get("v", "$.results", "array<variant>"), F.array().cast("array<variant>"))
@@ -144,10 +154,14 @@ class _NpyReader(DataSourceReader):
     def read(self, partition):
         import numpy as np
 
+        import pyarrow as pa
+
         a, b = partition.value
         m = np.load(self.path, mmap_mode="r")
-        for i in range(a, b):
-            yield i, [float(x) for x in m[i]]
+        for i in range(a, b, 4096):
+            part = np.ascontiguousarray(m[i : min(b, i + 4096)], dtype=np.float32)
+            ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], names=["idx", "vec"])
 
 
 class NpySource(DataSource):
@@ -169,6 +183,15 @@ def npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("npy").load(path)
 
 
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, text, meta, vec) of an index table: texts, metadata and vectors in one, nothing to keep aligned."""
+    d = spark.read.parquet(path)
+    missing = {"row_id", "text", "meta", "vec"} - set(d.columns)
+    if missing:
+        raise ValueError(f"not an index table, without {sorted(missing)}")
+    return d.select("row_id", "text", "meta", "vec")
+
+
 def ordered_positions(df: DataFrame, key: str, *order: str) -> DataFrame:
     """``df`` with ``pos`` from 0 within each key."""
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)

@@ -47,3 +47,26 @@ def latex(df: DataFrame, columns: list[str], digits: int, caption: str, *order:
     head = " & ".join(escape(c) for c in columns)
     lines = [r"\begin{table}", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", head + r" \\", r"\midrule", *(escape(b) + r" \\" for b in body), r"\bottomrule", r"\end{tabular}", r"\end{table}"]
     return "\n".join(lines) + "\n"
+
+
+def report(df: DataFrame, columns: dict[str, str], digits: int, caption: str, label: str, *order: str) -> str:
+    """A full-width LaTeX table of a report-sized frame: heads to columns, text and whole numbers as they are, others with
+    ``digits``, nulls as --; of the two layouts of run reports each is a choice of columns."""
+    kinds = dict(df.dtypes)
+    number = {h: kinds[c] in ("double", "float") for h, c in columns.items()}
+    show = lambda h, x: "--" if x is None else f"{x:.{digits}f}" if number[h] else str(x)  # noqa: E731 - rounds as the languages of C do
+    body = [" & ".join(show(h, r[c]) for h, c in columns.items()) for r in df.orderBy(*order).select(*columns.values()).collect()]
+    spec = " ".join("r" if number[h] else "l" for h in columns)
+    head = [r"\begin{table*}[t]", r"\centering", r"\small", rf"\begin{{tabular}}{{{spec}}}", r"\toprule", " & ".join(columns) + r" \\", r"\midrule"]
+    return "\n".join([*head, *(b + r" \\" for b in body), r"\bottomrule", rf"\caption{{{caption}}}\label{{{label}}}", r"\end{tabular}", r"\end{table*}", ""])
+
+
+#: Columns of the two reports: of teacher-checked runs, and of graph coverage with the behaviour of the covered subset.
+TEACHER_REPORT = {"Dataset": "dataset", "Generator": "generator", "Teacher": "teacher", "F1": "overall_f1", "ClaimRec": "claim_recall", "CtxPrec": "context_precision", "Halluc.": "hallucination", "Faith.": "faithfulness"}
+GRAPH_REPORT = {"Dataset": "dataset", "Generator": "generator", "\\#Q": "n_q", "Cov node": "cov_node", "Cov pair": "cov_pair", "Faith. all": "faith_all", "Faith. KG": "faith_kg", "Hall. KG": "hall_kg"}
+
+
+def report_file(text: str, path: str, append: bool = False) -> None:
+    """A report written to a local or mounted file, after what is there with ``append``."""
+    with open(path, "a" if append else "w", encoding="utf-8") as f:
+        f.write(text)
