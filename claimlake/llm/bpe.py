@@ -4,9 +4,11 @@ Merge ranks define which two tokens may stand side by side: a token sequence is
 of its bytes exactly if every adjacent pair encodes to itself.  So each prefix of a word has one
 last token.  The transducer reads bytes; a nondeterministic item is (token before the open
 part, open part), and a deterministic state is a set of items.  States and transitions are made
-when first needed and kept.  A transition gives the last token of the prefix read so far; the
-tokens of a word are read off backwards from its end, so the lookahead is bounded by a word of
-the public split pattern, and a word once seen is one lookup.
+when first needed and kept.  A transition gives the last token of the prefix read so far.  Tokens are emitted as soon as
+all live items agree on them: every item's open part begins at some position, and what all these positions have behind them
+cannot change any more.  Open parts are no longer than the longest token, so what is held back is bounded by the
+LOOKAHEAD and the stretch on which the items still differ, not by the length of the text.  A word of the public
+split pattern once seen is one lookup.
 
 Defined cases: null and empty text give an empty list; text that spells a special token is
 ordinary text; any length is encoded whole; repeated rows are encoded alike; other columns of
@@ -30,6 +32,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Bytes that are read before tokens that are sure are looked for.
+LOOKAHEAD = 256
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id, from a file of ``base64 id`` lines."""
     with open(path, "rb") as f:
@@ -52,6 +58,7 @@ class Transducer:
         self.items = [start]
         self.known = {start: 0}
         self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
+        self.adjacent.clear()
 
     def merge(self, word: bytes) -> list[bytes]:
         """The encoding by definition: merge the lowest-ranked adjacent pair until none is left."""
@@ -96,19 +103,40 @@ class Transducer:
         return to, last
 
     def tokens(self, word: bytes) -> list[int]:
-        """Ids of one word, read off backwards from its last token."""
+        """Ids of one word."""
+        return list(self.stream(word))
+
+    def stream(self, word: bytes) -> Iterator[int]:
+        """Ids of one word, each as soon as the bytes that follow cannot change it any more, looked at every LOOKAHEAD bytes."""
         if word in self.ranks and len(word) < 2:
-            return [self.ranks[word]]
-        if len(self.items) > self.most_states:
+            yield self.ranks[word]
+            return
+        if len(self.items) > self.most_states or len(self.adjacent) > self.most_states:
             self.reset()
-        state, lasts = 0, []
-        for byte in word:
+        state, lasts, base = 0, [], 0  # lasts[i - base - 1] is the last token of the first i bytes
+        for n, byte in enumerate(word, 1):
             hit = self.moves[state].get(byte)
             state, last = hit if hit is not None else self._move(state, byte)
             lasts.append(last)
-        out, at = [], len(word)
-        while at:
-            last = lasts[at - 1]
+            if n - base >= LOOKAHEAD and n % (LOOKAHEAD // 2) == 0:
+                # go back from the beginnings of all open parts until they meet
+                begins = {n - len(part) for _, part in self.items[state]}
+                while len(begins) > 1:
+                    at = max(begins)
+                    begins.remove(at)
+                    begins.add(at - len(lasts[at - base - 1]) if at > base else base)
+                sure = begins.pop()
+                if sure > base:
+                    yield from self._back(lasts, base, sure)
+                    del lasts[: sure - base]
+                    base = sure
+        yield from self._back(lasts, base, len(word))
+
+    def _back(self, lasts: list[bytes], base: int, at: int) -> list[int]:
+        """Ids of the bytes from ``base`` to ``at``, read off backwards from the last token."""
+        out = []
+        while at > base:
+            last = lasts[at - base - 1]
             out.append(self.ranks[last])
             at -= len(last)
         out.reverse()

@@ -10,6 +10,9 @@ Similarity is the Jaccard coefficient of the sets of ``k``-word sequences.  Step
 4. every candidate is decided exactly by exclusive-or and bit counts of bit maps over the
    tile's own universe of sequences.
 
+With ``exact`` steps 2 and 3 are :func:`exact_candidates`: all classes as parity sketches, tile against tile by exclusive-or and
+bit counts, so that no pair depends on chance; its cost grows with the square of the number of classes.
+
 No group is collected whole: copies are one class per task before the shuffle, large
 groups become tile pairs that are spread over all tasks, and verification streams.
 
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.llm import textkit, tiles
@@ -102,13 +105,84 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, k: int, least: float
     text = docs.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     parts = tiles.parts_for(docs, bands, docs.count())
     blocks = tiles.scatter(text, entries, parts)
-    return tiles.expand(tiles.gather(blocks, lambda r: tiles.tile_pairs(r, least), "a binary, b binary, crossed boolean", parts))
+    return tiles.expand(tiles.gather(blocks, lambda r: tiles.tile_pairs(r, least), "a binary, b binary, crossed boolean", parts), least)
+
+
+#: Bits of a parity sketch, and classes of a tile of the exact mode.
+SKETCH_BITS, EXACT_TILE = 1024, 4096
+
+
+def _size_bin(n: Column) -> Column:
+    """Sizes in steps of a tenth, so that there are few bins whatever the lengths."""
+    return F.floor(F.log(1.1, n)).cast("int")
+
 
+def exact_candidates(docs: DataFrame, id_col: str, text_col: str, k: int, least: float, tile: int = EXACT_TILE) -> DataFrame:
+    """(a, b) of all classes whose sketches allow ``least``: a bit of a sketch is the parity of the sequences that fall on it,
+    so sets that differ in d sequences have sketches that differ in at most d bits.
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    Classes are put into size bins and those into tiles; two tiles meet only if their sizes, the population counts,
+    are within the radius.  What comes to the driver is one count a size bin.
+    """
+    width = SKETCH_BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = _lowered(batch["text"])
+            for a, b in textkit.blocks(low):
+                sets = [s for s in textkit.shingles(low[a:b], k) if len(s)]
+                if not sets:
+                    continue
+                bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
+                for row, s in zip(bits, sets):
+                    np.bitwise_xor.at(row, (s % np.uint64(SKETCH_BITS)).astype(np.int64), 1)
+                packed = np.packbits(bits, axis=1)
+                yield pa.RecordBatch.from_pydict({
+                    "node": pa.array([textkit.set_hash(s)[0] for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "sketch": pa.array([p.tobytes() for p in packed], pa.binary()),
+                })
+
+    text = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
+    every = cut_lineage(text.mapInArrow(run, "node long, n int, sketch binary").dropDuplicates(["node"]).withColumn("bin", _size_bin(F.col("n"))))
+    spark = docs.sparkSession
+    parts = {r["bin"]: -(-r["c"] // tile) for r in every.groupBy("bin").agg(F.count("*").alias("c")).collect()}
+    low, high = (lambda x: 1.1**x), (lambda x: 1.1 ** (x + 1))
+    meets = [(x, y, parts[x], parts[y]) for x in parts for y in parts if x <= y and high(x) * (1 + 1e-9) >= least * low(y)]  # rounding of the logarithm
+    if not meets:
+        return spark.createDataFrame([], "a long, b long")
+    m = F.broadcast(spark.createDataFrame(meets, "x int, y int, px int, py int"))  # pairs of size bins
+    own = every.withColumn("t", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int"))
+    # a class goes to every tile pair of its tile: as the smaller bin's and as the larger bin's side
+    left = own.join(m, F.col("bin") == F.col("x")).withColumn("i", F.col("t") % F.col("px")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("py") - 1))).withColumn("side", F.lit(0))
+    right = own.join(m, F.col("bin") == F.col("y")).withColumn("j", F.col("t") % F.col("py")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("px") - 1))).withColumn("side", F.lit(1))
+    both = left.select("x", "y", "i", "j", "side", "node", "n", "sketch").unionByName(right.select("x", "y", "i", "j", "side", "node", "n", "sketch")).where("x <> y OR i <= j")
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, node, n = (table[c].to_numpy() for c in ("side", "node", "n"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, width)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        y = y[np.argsort(n[y], kind="stable")]
+        found = []
+        for s in range(0, len(x), 64):
+            a = x[s : s + 64]
+            lo, hi = np.searchsorted(n[y], [least * n[a].min() - 1e-9, n[a].max() / least + 1e-9])
+            b = y[lo:hi]
+            apart = np.zeros((len(a), len(b)), np.int32)
+            for w in range(width):
+                apart += np.bitwise_count(sketch[a, w][:, None] ^ sketch[b, w][None, :])
+            p, q = n[a].astype(np.int64)[:, None], n[b].astype(np.int64)[None, :]
+            i, j = np.nonzero((apart <= (p + q) * (1 - least) / (1 + least) + 1e-9) & (np.minimum(p, q) >= least * np.maximum(p, q) - 1e-9))
+            u, v = node[a[i]], node[b[j]]
+            found.append(np.stack((np.minimum(u, v), np.maximum(u, v)))[:, u != v])
+        p = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": p[0], "b": p[1]})
+
+    return both.groupBy("x", "y", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, node, n), links (a, b, jaccard) between different classes, a < b."""
     members = cut_lineage(classes(docs, id_col, text_col, k).groupBy("id").agg(F.min(F.struct("node", "n")).alias("x")).select("id", "x.node", "x.n"))
-    cand = cut_lineage(candidates(docs, id_col, text_col, k, least, bands, rows))
+    cand = cut_lineage(exact_candidates(docs, id_col, text_col, k, least) if exact else candidates(docs, id_col, text_col, k, least, bands, rows))
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def sets_of(texts: list[str]) -> list[np.ndarray]:
@@ -118,9 +192,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     return members, tiles.verify(cand, members, text, sets_of, lambda sets, x, y: tiles.jaccard_pairs(sets, x, y, least), least)
 
 
-def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, exact: bool = False) -> DataFrame:
     """(id_a, id_b), smaller first: all pairs of ids, copies included."""
-    members, between = links(docs, id_col, text_col, k, least)
+    members, between = links(docs, id_col, text_col, k, least, exact=exact)
     m = members.select("id", "node")
     x = m.select(F.col("id").alias("x"), F.col("node").alias("a"))
     y = m.select(F.col("id").alias("y"), F.col("node").alias("b"))

@@ -149,7 +149,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sums(feats: DataFrame, add, cells: int) -> dict[str, np.ndarray]:
     """Sums over all windows by language: ``add(lang, features)`` gives ``cells`` numbers a batch.
-    Tasks send one row a language, added up by one task a language; the driver gets a few KB."""
+    Tasks send one row a language, added up in rounds; the driver gets a few KB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -163,12 +163,7 @@ def _sums(feats: DataFrame, add, cells: int) -> dict[str, np.ndarray]:
         if total:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total)), "v": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
-    def merge(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"lang": [key[0]], "v": [sum(np.frombuffer(v, np.float64) for v in pdf["v"]).tobytes()]})
-
-    got = feats.select("lang", "f").mapInArrow(run, "lang string, v binary").groupBy("lang").applyInPandas(merge, "lang string, v binary").collect()
+    got = textkit.added(feats.select("lang", "f").mapInArrow(run, "lang string, v binary"), "lang", "string", np.float64).collect()  # one row a language
     return {r["lang"]: np.frombuffer(r["v"], np.float64) for r in got}
 
 

@@ -5,15 +5,15 @@ distinct words of every question in one global order, rare words first.  Then th
 insertions and deletions between two such strings of words is the size of the symmetric
 difference, so the search is an edit-distance join with a bound k that follows from the lengths:
 
-* an evaluation string is cut into k+1 segments, of which at least one is untouched by k edits;
-* a training string gives its substrings of the same length at the positions that k edits allow;
+* an evaluation string of n words is cut into k+1 segments of n/(k+1) words, the longer ones last, where the words are
+  common; at least one of them is untouched by k edits;
+* a training string gives its substrings of the lengths and at the positions that the evaluation strings of all lengths
+  in reach may have;
 * pairs that share a segment at allowed positions, and whose 64-bit parity sketches differ in at
   most k bits (each edit flips one), are settled by banded dynamic programming.
 
-Segments are SEGMENT words long.  For strings under SHORT words they are one word long; only
-deletions can touch such a segment, so for each pair of lengths their number follows from the
-least overlap.  Nothing is lost: the search is exact.  Word frequencies, which give the order, are counted over all
-questions in a sketch of fixed size, and any order gives the same result.
+Nothing is lost: the search is exact for strings of every length.  Word frequencies, which give the order, are counted over
+all questions in a sketch of fixed size, and any order gives the same result.
 
 Defined cases: null questions and questions without words: in no pair; null or other split
 spellings: neither side; repeated rows: each pair once; the same question many times is one class until the
@@ -22,6 +22,7 @@ pairs are written; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from claimlake.llm import textkit, tiles
 from claimlake.runtime import cut_lineage, width
 
-SHORT, SEGMENT = 12, 3
 SKETCH = 1 << 18
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("sketch", "<u8"), ("n", "<i4"), ("pos", "<u2"), ("side", "i1")])
 # The split spellings of the input.
@@ -68,15 +68,10 @@ def frequencies(rows: DataFrame) -> np.ndarray:
                 total += np.bincount(_buckets(np.concatenate(s)), minlength=SKETCH)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(16), pa.int32()), "v": pa.array([total[i * chunk : (i + 1) * chunk].tobytes() for i in range(16)], pa.binary())})
 
-    def merge(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"chunk": [key[0]], "v": [np.log2(1 + sum(np.frombuffer(v, np.int64) for v in pdf["v"])).astype(np.uint8).tobytes()]})
-
-    got = rows.select("text").mapInArrow(run, "chunk int, v binary").groupBy("chunk").applyInPandas(merge, "chunk int, v binary").collect()
+    got = textkit.added(rows.select("text").mapInArrow(run, "chunk int, v binary"), "chunk", "int", np.int64).collect()  # SKETCH counts
     out = np.zeros(SKETCH, np.uint8)
     for r in got:
-        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["v"], np.uint8)
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.log2(1 + np.frombuffer(r["v"], np.int64)).astype(np.uint8)
     return out
 
 
@@ -90,26 +85,49 @@ def parity(words: np.ndarray) -> np.uint64:
     return np.bitwise_xor.reduce(np.left_shift(np.uint64(1), words & np.uint64(63)))
 
 
+@functools.lru_cache(maxsize=4096)
+def segments(n: int, least: float) -> tuple[tuple[int, int], ...]:
+    """(begin, length) of the k+1 segments of an evaluation string of n words, k for the longest training string in reach."""
+    parts = most_edits(n, math.floor(n / least + 1e-9), least) + 1
+    q, longer = divmod(n, parts)
+    out, at = [], 0
+    for i in range(parts):
+        size = q + (i >= parts - longer)
+        out.append((at, size))
+        at += size
+    return tuple(out)
+
+
+@functools.lru_cache(maxsize=1024)
+def substrings(m: int, least: float) -> tuple[tuple[int, np.ndarray], ...]:
+    """(length, begins) of the substrings of a training string of m words that may be a segment of an evaluation string."""
+    wanted: dict[int, np.ndarray] = {}
+    for n in range(math.ceil(least * m - 1e-9), math.floor(m / least + 1e-9) + 1):
+        k = most_edits(n, m, least)
+        for at, size in segments(n, least):
+            if size <= m:
+                mask = wanted.setdefault(size, np.zeros(m - size + 1, bool))
+                mask[max(0, at - k) : at + k + 1] = True
+    return tuple((size, np.flatnonzero(mask)) for size, mask in sorted(wanted.items()))
+
+
 def keys(words: np.ndarray, side: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Segment keys and positions of a string of words."""
+    """Keys and positions of the segments (side 1, evaluation) or substrings (side 0) of a string of words."""
     n = len(words)
-    lo, hi = math.ceil(least * n - 1e-9), math.floor(n / least + 1e-9)
+    if side:
+        by: dict[int, list[int]] = {}
+        for at, size in segments(n, least):
+            by.setdefault(size, []).append(at)
+        wanted = [(size, np.array(at)) for size, at in sorted(by.items())]
+    else:
+        wanted = substrings(n, least)
     out, pos = [], []
-    # (length of the evaluation string, of the training string) for segments of one word
-    pairs = [(n, m) for m in range(lo, hi + 1)] if side and n < SHORT else [] if side else [(e, n) for e in range(lo, min(hi, SHORT - 1) + 1)]
-    for e, t in pairs:
-        overlap = math.ceil(least / (1 + least) * (e + t) - 1e-9)
-        if overlap <= min(e, t):
-            out.append(textkit.mix64(words[: n - overlap + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(e * 1_000_003 + t)))
-            pos.append(np.zeros(n - overlap + 1, np.int64))
-    if n >= SHORT if side else hi >= SHORT:
-        count = max(0, n - SEGMENT + 1)
-        run = np.zeros(count, np.uint64)
-        for i in range(SEGMENT):
-            run = run * np.uint64(0x9E3779B97F4A7C15) + words[i : i + count]
-        k = most_edits(n, hi, least)
-        at = np.arange(k + 1) * SEGMENT if side else np.arange(min(count, (SEGMENT + 1) * k + 1))
-        out.append(textkit.mix64(run[at]))
+    run, size = np.zeros(n, np.uint64), 0
+    for length, at in wanted:
+        while size < length:
+            run = run[: n - size] * np.uint64(0x9E3779B97F4A7C15) + words[size:]
+            size += 1
+        out.append(textkit.mix64(run[at] + np.uint64(length)))
         pos.append(at)
     return (np.concatenate(out), np.concatenate(pos)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 

@@ -12,6 +12,9 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Code points at or above this are never letters or digits (checked against Unicode 16).
 LIMIT = 0x33480
@@ -104,11 +107,6 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(ends_of, begin).astype(np.int64)
 
 
-def hash_of(word: str) -> np.uint64:
-    """Hash of one word."""
-    return words([word])[0][0]
-
-
 def shingles(texts: list[str], k: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its ``k``-word sequences (empty below ``k`` words)."""
     h, of = words(texts)
@@ -138,5 +136,30 @@ def set_hash(values: np.ndarray) -> tuple[int, int]:
     return _signed(a), _signed(b ^ len(values))
 
 
+def added(parts: DataFrame, key: str, key_type: str, dtype, rounds: int = 64) -> DataFrame:
+    """(key, v): tables of fixed size, sent by tasks as binary arrays (key, v), added up element by element.
+
+    Two rounds: of each key, the arrays of tasks with the same number modulo ``rounds`` first, then the at most ``rounds``
+    sums; so the last task of a key gets few arrays however many tasks there were, and both rounds hold one array.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for b in batches:
+            for k, v in zip(b[key].to_pylist(), b["v"].to_pylist()):
+                if total is not None and k != at:
+                    yield pa.RecordBatch.from_pydict({key: pa.array([at], b[key].type), "v": pa.array([total.tobytes()], pa.binary())})
+                    total = None
+                at, kind = k, b[key].type
+                x = np.frombuffer(v, dtype)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({key: pa.array([at], kind), "v": pa.array([total.tobytes()], pa.binary())})
+
+    schema = f"{key} {key_type}, v binary"
+    once = lambda d, *by: d.repartition(*by).sortWithinPartitions(*by).select(key, "v").mapInArrow(merge, schema)
+    return once(once(parts.withColumn("_r", F.spark_partition_id() % rounds), "_r", key), key)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x

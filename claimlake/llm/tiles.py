@@ -74,7 +74,8 @@ def gather(blocks: DataFrame, reduce: Callable[[np.ndarray], Iterator[pa.RecordB
         if held:
             yield from reduce(np.frombuffer(b"".join(held), entry))
 
-    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    # parts are even by their hash; a part number is a partition number, so that none gets several
+    return blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def tile_pairs(rows: np.ndarray, ratio: float) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def tile_pairs(rows: np.ndarray, ratio: float) -> Iterator[pa.RecordBatch]:
             for y in tiles[i:]:
                 if x["n"][-1] < ratio * y["n"][0] - 1e-9:
                     break  # sorted by count: later tiles differ even more
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x["node"].tobytes()], pa.binary()), "b": pa.array([y["node"].tobytes()], pa.binary()), "crossed": [True]})
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x.tobytes()], pa.binary()), "b": pa.array([y.tobytes()], pa.binary()), "crossed": [True]})
 
 
 def _items(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
@@ -129,15 +130,20 @@ def _items(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def expand(items: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of the work items, which are spread over all tasks first."""
+def expand(items: DataFrame, ratio: float) -> DataFrame:
+    """Distinct (a, b), a < b, of the work items, which are spread over all tasks first; of crossed tiles only the pairs whose
+    counts may reach the ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, crossed in zip(*(batch[c].to_pylist() for c in ("a", "b", "crossed"))):
-                x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
                 if crossed:
-                    x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+                    e, f = np.frombuffer(a, ENTRY), np.frombuffer(b, ENTRY)
+                    n, m = e["n"][:, None], f["n"][None, :]
+                    i, j = np.nonzero(np.minimum(n, m) >= ratio * np.maximum(n, m) - 1e-9)
+                    x, y = e["node"][i], f["node"][j]
+                else:
+                    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
                 lo, hi = np.minimum(x, y), np.maximum(x, y)
                 ok = lo < hi
                 yield pa.RecordBatch.from_pydict({"a": pa.array(lo[ok]), "b": pa.array(hi[ok])})
@@ -213,8 +219,3 @@ def parts_for(df: DataFrame, entries_per_row: int, rows: int) -> int:
     """Parts of at most about two million entries."""
     at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(at_least, -(-rows * entries_per_row // 2_000_000))
-
-
-def keep_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra or clashing ones are of no matter."""
-    return df.select(*(F.col(f"`{n}`") for n in names))

@@ -14,7 +14,7 @@ PIECE = "nephropa"
 
 def same_cell(word: str, bits: int) -> str:
     """A made-up word whose hash begins with the same bits."""
-    top = textkit.hash_of(word) >> np.uint64(64 - bits)
+    top = textkit.words([word])[0][0] >> np.uint64(64 - bits)
     for block in range(80):
         low = [f"zq{block}x{i}" for i in range(100_000)]
         h, _ = textkit.words([" ".join(low)])

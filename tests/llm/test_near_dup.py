@@ -92,7 +92,7 @@ def test_large_groups_become_tile_items():
     rows["node"], rows["n"] = np.arange(n), np.r_[np.full(tiles.TILE, 10), np.full(tiles.TILE, 12), np.full(tiles.TILE, 100)]
     items = list(tiles.tile_pairs(rows, 0.7))
     assert all(b["crossed"][0].as_py() for b in items)
-    pairs = {(i, j) for b in items for i in np.frombuffer(b["a"][0].as_py(), np.int64) for j in np.frombuffer(b["b"][0].as_py(), np.int64) if i < j}
+    pairs = {(i, j) for b in items for i in np.frombuffer(b["a"][0].as_py(), tiles.ENTRY)["node"] for j in np.frombuffer(b["b"][0].as_py(), tiles.ENTRY)["node"] if i < j}
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if min(rows["n"][i], rows["n"][j]) >= 0.7 * max(rows["n"][i], rows["n"][j])}
     assert want <= pairs and len(items) == 4  # the tiles of 100 meet no other
 
@@ -103,8 +103,38 @@ def test_hot_key_through_spark(spark):
     rows["node"], rows["n"] = np.arange(n), 10
     schema = "a binary, b binary, crossed boolean"
     d = spark.createDataFrame([(0, rows.tobytes())], "part int, block binary")
-    got = tiles.expand(tiles.gather(d, lambda r: tiles.tile_pairs(r, 0.7), schema, 4))
+    got = tiles.expand(tiles.gather(d, lambda r: tiles.tile_pairs(r, 0.7), schema, 4), 0.7)
     assert got.count() == n * (n - 1) // 2
+    # beyond the radius no pair comes out of a crossed tile
+    rows["n"][::2] = 20
+    d = spark.createDataFrame([(0, rows.tobytes())], "part int, block binary")
+    got = tiles.expand(tiles.gather(d, lambda r: tiles.tile_pairs(r, 0.7), schema, 4), 0.7)
+    assert got.where("a % 2 <> b % 2").count() == 0
+
+
+def test_parts_are_partitions(spark):
+    d = spark.createDataFrame([(i % 8, bytes(8)) for i in range(64)], "part int, block binary").repartitionById(8, "part")
+    assert [len({r.part for r in p}) for p in d.rdd.glom().collect()] == [1] * 8
+
+
+def test_exact_mode_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(60):
+        t = [words[j] for j in rng.integers(0, 300, rng.integers(3, 60))]
+        texts.append(t)
+        texts.append([w for w in t if rng.random() > 0.03] or t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "a b")]
+    sets = [{tuple(t[j : j + 3]) for j in range(len(t) - 2)} for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]) - 1e-9}
+    got = {tuple(r) for r in near_dup.pairs(frame(spark, rows), k=3, least=0.7, exact=True).collect()}
+    assert got == want and want
+    # cut into tiles of four, the same
+    small = near_dup.exact_candidates(frame(spark, rows), "doc_id", "text", 3, 0.7, tile=4)
+    nodes = {r.id: r.node for r in near_dup.classes(frame(spark, rows), "doc_id", "text", 3).collect()}
+    pairs = {(r.a, r.b) for r in small.collect()}
+    assert {tuple(sorted((nodes[i], nodes[j]))) for i, j in want if nodes[i] != nodes[j]} <= pairs
 
 
 def test_exact_jaccard_of_tiles():

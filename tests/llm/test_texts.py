@@ -141,3 +141,28 @@ def test_spam(spark):
     assert spam.found(d.where("false")).count() == 0
     long = spark.createDataFrame([*rows, (9000, prose(rng, 1500)), (8000, (kw + " ") * 40)], "doc_id long, text string")
     assert [r.id for r in spam.found(long).where("id IN (8000, 9000)").collect()] == [8000]
+
+
+def test_tokens_come_out_before_the_text_ends():
+    ranks = bpe.read_ranks(bpe.VOCABULARY)
+    fst = bpe.Transducer(ranks)
+    word = ("abcdefghij" * 5000).encode()
+    read = []
+
+    class Counting(bytes):
+        def __iter__(self):
+            for b in super().__iter__():
+                read.append(b)
+                yield b
+
+    it = fst.stream(Counting(word))
+    next(it)
+    assert len(read) <= 2 * bpe.LOOKAHEAD  # the first token is out long before the end
+    assert fst.tokens(word) == [ranks[t] for t in _merged(fst, word[:2000])] + fst.tokens(word)[len(_merged(fst, word[:2000])) :]
+    for text in (b"x" * 3000, bytes(range(256)) * 20, "äöü汉字".encode() * 300, b"ababab" * 700):
+        assert fst.tokens(text) == [ranks[t] for t in fst.merge(text)]
+
+
+def _merged(fst, word):
+    """The encoding of a prefix without its last tokens, which what follows may change."""
+    return fst.merge(word)[:-20]
