@@ -117,6 +117,24 @@ def test_mix(spark):
     assert rep["cap", "small"].most_copies == 2 and rep["cap", "absent"].mix_tokens == 0 and rep["n", "big"].mix_tokens == 0
     assert sorted(map(tuple, mixing.mix(d, t)[0].collect())) == sorted(map(tuple, rows))
     assert mixing.mix(d.where("false"), t)[0].count() == 0
+    assert rep["m", "small"].bound and not rep["m", "big"].bound and abs(rep["m", "big"].deviation) < 0.02
+    # the number of documents is fixed, whatever the seed
+    assert len({mixing.mix(d, t, seed=s)[0].where("mix_name = 'm' AND source = 'big'").groupBy().sum("copies").first()[0] for s in (1, 2)}) == 1
+
+
+def test_missing_size_goes_to_the_others():
+    assert mixing.wanted([(0.5, 10.0), (0.3, 100.0), (0.2, 100.0)], 60.0, False) == [(10.0, True), (18.0, False), (12.0, False)]
+    assert mixing.wanted([(0.5, 10.0), (0.3, 100.0), (0.2, 100.0)], 60.0, True) == [(10.0, True), (30.0, False), (20.0, False)]
+    assert mixing.wanted([(0.5, 10.0), (0.3, 25.0), (0.2, 100.0)], 60.0, True) == [(10.0, True), (25.0, True), (25.0, False)]
+    assert mixing.wanted([(1.0, 5.0)], 60.0, True) == [(5.0, True)] and mixing.wanted([(0.0, 5.0)], 60.0, True) == [(0.0, False)]
+
+
+def test_odds_with_certain_documents(spark):
+    # one document is larger than the rest together: it is certain, the odds of the others give what is left
+    sizes = spark.createDataFrame([(0, "s", 1000), *((i, "s", 10) for i in range(1, 101))], "doc_id long, source string, n_tokens long")
+    planned = spark.createDataFrame([("m", "s", 1500.0)], "mix_name string, source string, rest double")
+    scale = mixing.odds(sizes, planned, 1.0).first().scale
+    assert scale * 1000 > 1 and sum(min(1.0, scale * n) * n for n in [1000] + [10] * 100) == pytest.approx(1500.0)
 
 
 def prose(rng, n=12):
