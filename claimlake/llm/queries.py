@@ -81,7 +81,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_by_language(spark: SparkSession, d: str) -> DataFrame:
     s = spam.score(_t(spark, d, "documents"))
-    return s.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("spam_share") > 0.5).alias("n_spam"), F.round(F.avg("spam_share"), 6).alias("mean_share"))
+    return s.groupBy("lang", "model").agg(F.count("*").alias("n_docs"), F.count_if(F.col("spam_share") > 0.5).alias("n_spam"), F.round(F.avg("spam_share"), 6).alias("mean_share"))
 
 
 def p1_cutoffs(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +89,11 @@ def p1_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return defects.cutoff_report(_answers(spark, d))
 
 
+def p9_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of known kind, made from a bounded sample, under several cutoffs and cosines."""
+    return spam.validation(_t(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_labels": p1_labels,
@@ -105,6 +110,7 @@ QUERIES = {
     "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_by_language": p9_by_language,
+    "p9_validation": p9_validation,
 }
 
 _PAIRS_SQL = """

@@ -8,7 +8,16 @@ A window whose squared Mahalanobis distance is over the cutoff and whose deviati
 in the spam directions (fewer function words, more repetition, links, boundaries, prices) is
 spam; a text is found if such windows hold more than half of its characters.
 
-Defined cases: null and empty texts and texts under LEAST_WORDS words are not found; repeated
+Shares over few words scatter more: the deviations of a window of fewer than STEADY words are scaled down by the square
+root of its part of STEADY, so texts of a few words need no rule of their own.  Chinese is told by its script and read
+character by character.  Texts of no known language, and of a language that has fewer than ENOUGH windows, are judged by
+the model of all known languages together, and :func:`score` says so; of a known language with too few windows only links,
+boundaries and prices count, as its words cannot be compared with those of others.
+
+The cutoff is the 0.997 quantile of chi-squared with 6 degrees of freedom; :func:`validation` measures cutoff and cosine on
+spam made from the corpus's own words.
+
+Defined cases: null and empty texts and texts without words are not found; repeated
 rows of one id give the id once, with its largest share; other columns are ignored; an empty table gives no rows.
 """
 
@@ -18,22 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.llm import textkit
 from claimlake.runtime import cut_lineage
 
-WINDOW, LEAST_WORDS = 20, 8
+WINDOW, STEADY = 20, 13
+#: Windows that a language's own model takes.
+ENOUGH = 50
 #: Windows of a stretch of text, over which words are counted.
 STRETCH = 20
 CUTOFF, COSINE = 20.0, 0.5
 #: Largest deviation that one feature may count for, so that no single one (say a table without function words) decides alone.
 MOST = 3.2
 FEATURES = ("function", "repeated", "surprisal", "link", "boundary", "price")
+#: The first so many features depend on the language.
+OF_LANGUAGE = 3
 SIGNS = np.array([-1.0, 1.0, -1.0, 1.0, 1.0, 1.0])
 FLOOR = np.array([0.06, 0.06, 0.06, 0.2, 0.07, 0.03])
 BINS = 512
+#: Numbers kept of a window: its features and its number of words.
+WIDTH = len(FEATURES) + 1
 
 # Function words by language: fixed values.
 FUNCTION_WORDS = {
@@ -41,6 +57,7 @@ FUNCTION_WORDS = {
     "es": "el la los las un una unos unas de del y a en es que por para con se no su sus al lo como más pero o si ya muy sin sobre este esta estos entre cuando hasta desde todo durante también fue ha hay antes después qué puede",
     "fr": "le la les un une des de du et à en est que qui par pour avec se ne pas son sa ses au aux ce cette ces comme plus mais ou où si sans sur entre quand dans d l on il elle ils été être peut chez après avant faut a",
     "de": "der die das den dem des ein eine einen einem einer und ist in im zu zum zur mit von vom für auf an am bei nach vor nicht auch sich als wie wer wird werden wurde hat haben kann können oder aber ob durch nur bis aus über unter sollte es warum dass manchmal wieder war nicht bekommen mehr öfter",
+    "zh": "的 了 是 在 和 与 或 也 不 有 这 那 为 对 中 于 后 前 请 可 会 能 被 把 而 但 若 及 以 时 更 先 如 果 从 等 将 每 其 所 之 就 都 很 到 由 向 因",
     "pt": "o a os as um uma de do da dos das e em no na nos nas é que por para com se não seu sua ao à como mais mas ou já muito sem sobre este esta entre quando até desde também foi há antes depois pode fale qual já",
 }
 _SETS: dict[str, np.ndarray] = {}
@@ -53,12 +70,23 @@ def _function_sets() -> dict[str, np.ndarray]:
     return _SETS
 
 
+_CJK = regex.compile(r"[\u3400-\u9fff]")
+
+
+def _read(text: str) -> str:
+    """Chinese with a space behind every character, any other text as it is."""
+    if text.isascii() or len(_CJK.findall(text)) <= 0.3 * len(text):
+        return text
+    return _CJK.sub(r"\g<0> ", text)
+
+
 def _char_class(c: np.ndarray, chars: str) -> np.ndarray:
     return np.isin(c, np.frombuffer(chars.encode("utf-32-le"), np.uint32))
 
 
 def windows(texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """For each lower-cased text its language, the characters of its windows and their features."""
+    texts = [_read(t) for t in texts]
     cp, ends_of, begin, end, h = textkit.scan(texts)
     of = np.searchsorted(ends_of, begin)
     cut = np.searchsorted(of, np.arange(len(texts) + 1))
@@ -95,12 +123,12 @@ def windows(texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
             lo = ends_of[i] - len(texts[i])
             share = {k: (v[b] - v[a]) / n for k, v in hits.items()}
             lang = max(share, key=share.get)
-            if cjk[ends_of[i]] - cjk[lo] > 0.3 * len(texts[i]):
+            if cjk[ends_of[i]] - cjk[lo] > 0.15 * len(texts[i]):  # every second character is a space
                 lang = "zh"
             elif share[lang] < 0.08:
                 lang = "und"
-        if n < LEAST_WORDS:
-            out.append((lang, np.zeros(0, np.int32), np.zeros((0, len(FEATURES)), np.float32)))
+        if not n:
+            out.append((lang, np.zeros(0, np.int32), np.zeros((0, WIDTH), np.float32)))
             continue
         k = max(1, round(n / WINDOW))
         edge = a + (np.arange(k + 1) * n) // k
@@ -115,8 +143,8 @@ def windows(texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
         size = np.diff(edge)
         x0 = begin[edge[:-1]]
         x1 = np.r_[begin[edge[1:-1]], ends_of[i]]
-        f = np.empty((k, len(FEATURES)), np.float32)
-        fw = np.max([v[edge[1:]] - v[edge[:-1]] for v in (hits.values() if lang in ("und", "zh") else [hits[lang]])], axis=0)
+        f = np.empty((k, WIDTH), np.float32)
+        fw = np.max([v[edge[1:]] - v[edge[:-1]] for v in (hits.values() if lang == "und" else [hits[lang]])], axis=0)
         f[:, 0] = fw / size
         place = np.repeat(np.arange(k), size) * (len(count) + 1) + inverse
         distinct = np.bincount(np.unique(place) // (len(count) + 1), minlength=k)
@@ -127,6 +155,7 @@ def windows(texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
         marks = unfed if noise[ends_of[i]] - noise[ends_of[i] - len(texts[i])] > 0.03 * n else bounds
         f[:, 4] = np.minimum(1.0, (marks[x1] - marks[x0]) / size)
         f[:, 5] = np.minimum(1.0, (price[x1] - price[x0]) / size)
+        f[:, 6] = np.minimum(size, 1000)
         out.append((lang, chars.astype(np.int32), f))
     return out
 
@@ -158,7 +187,7 @@ def _sums(feats: DataFrame, add, cells: int) -> dict[str, np.ndarray]:
             for lang, f in zip(b["lang"].to_pylist(), b["f"].to_pylist()):
                 by.setdefault(lang, []).append(f)
             for lang, fs in by.items():
-                x = np.frombuffer(b"".join(fs), np.float16).reshape(-1, len(FEATURES)).astype(np.float64)
+                x = np.frombuffer(b"".join(fs), np.float16).reshape(-1, WIDTH)[:, :-1].astype(np.float64)
                 total[lang] = total.get(lang, 0) + add(lang, x)
         if total:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total)), "v": pa.array([v.tobytes() for v in total.values()], pa.binary())})
@@ -167,50 +196,63 @@ def _sums(feats: DataFrame, add, cells: int) -> dict[str, np.ndarray]:
     return {r["lang"]: np.frombuffer(r["v"], np.float64) for r in got}
 
 
-def fit(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: centre, scale and inverse covariance (of scaled deviations) of all windows."""
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fit(feats: DataFrame) -> dict[str, Model]:
+    """By language: centre, scale and inverse covariance (of scaled deviations) of all windows; "" is of all known languages."""
     k = len(FEATURES)
 
     def histogram(lang: str, x: np.ndarray) -> np.ndarray:
         at = np.minimum((x.clip(0, 1) * BINS).astype(np.int64), BINS - 1) + np.arange(k) * BINS
         return np.bincount(at.ravel(), minlength=k * BINS).astype(np.float64)
 
+    counts = {lang: v.reshape(k, BINS) for lang, v in _sums(feats, histogram, k * BINS).items()}
+    known = [v for lang, v in counts.items() if lang != "und"]
+    if known:
+        counts[""] = np.sum(known, axis=0)
     centre, scale = {}, {}
-    for lang, v in _sums(feats, histogram, k * BINS).items():
-        h = v.reshape(k, BINS)
-        mid = (np.arange(BINS) + 0.5) / BINS
+    mid = (np.arange(BINS) + 0.5) / BINS
+    for lang, h in counts.items():
         med = np.array([mid[np.searchsorted(np.cumsum(r), r.sum() / 2)] for r in h])
         mad = []
         for r, m in zip(h, med):
             order = np.argsort(np.abs(mid - m), kind="stable")
             mad.append(np.abs(mid - m)[order][np.searchsorted(np.cumsum(r[order]), r.sum() / 2)])
-        if h[0].sum() >= 50:
+        if lang == "" or lang != "und" and h[0].sum() >= ENOUGH:
             centre[lang], scale[lang] = med, np.maximum(1.4826 * np.array(mad), FLOOR)
-    whole = "en" if "en" in centre else next(iter(centre), None)
 
     def scatter(lang: str, x: np.ndarray) -> np.ndarray:
-        if lang not in centre:
-            return np.zeros(1 + k * k)
-        z = (x - centre[lang]) / scale[lang]
-        z = z[(z * z).sum(axis=1) <= 14.45]  # the 0.975 quantile of chi-squared with 6 degrees of freedom
-        return np.r_[len(z), (z.T @ z).ravel()]
-
-    out = {}
-    for lang, v in _sums(feats, scatter, 1 + k * k).items():
-        if lang in centre and lang != "und":
-            cov = v[1:].reshape(k, k) / max(1.0, v[0]) + 0.15 * np.eye(k)
-            out[lang] = (centre[lang], scale[lang], np.linalg.inv(cov))
-    if whole in out:
-        out["und"] = out[whole]
-    return out
-
-
-def flags(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, cutoff: float = CUTOFF, cosine: float = COSINE) -> np.ndarray:
-    """Which windows are outliers in the spam directions."""
-    z = ((x - model[0]) / model[1]).clip(-MOST, MOST)
+        """Of the windows near the centre, their number and products: about the language's own centre, and about that of all."""
+        out = []
+        for name in (lang, ""):
+            if name not in centre or lang == "und":
+                out.append(np.zeros(1 + k * k))
+                continue
+            z = (x - centre[name]) / scale[name]
+            z = z[(z * z).sum(axis=1) <= 14.45]  # the 0.975 quantile of chi-squared with 6 degrees of freedom
+            out.append(np.r_[len(z), (z.T @ z).ravel()])
+        return np.concatenate(out)
+
+    sums = _sums(feats, scatter, 2 * (1 + k * k))
+    parts = {lang: v[: 1 + k * k] for lang, v in sums.items() if lang in centre}
+    if "" in centre:
+        parts[""] = sum(v[1 + k * k :] for v in sums.values())
+    return {lang: (centre[lang], scale[lang], np.linalg.inv(v[1:].reshape(k, k) / max(1.0, v[0]) + 0.15 * np.eye(k))) for lang, v in parts.items()}
+
+
+def flags(model: Model, x: np.ndarray, cutoff: float = CUTOFF, cosine: float = COSINE) -> np.ndarray:
+    """Which windows (features and number of words) are outliers in the spam directions."""
+    d2, toward = _measures(model, x)
+    return (d2 > cutoff) & (toward >= cosine)
+
+
+def _measures(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance of each window, and the cosine of its deviation with the spam directions."""
+    z = ((x[:, :-1] - model[0]) / model[1]).clip(-MOST, MOST) * np.sqrt(np.minimum(1.0, x[:, -1:] / STEADY))
     d2 = np.einsum("ij,jk,ik->i", z, model[2], z)
     toward = (z * SIGNS).clip(0).sum(axis=1) - 0.5 * (-z * SIGNS).clip(0).sum(axis=1)
-    return (d2 > cutoff) & (toward / np.sqrt((z * z).sum(axis=1) + 1e-12) >= cosine)
+    return d2, toward / np.sqrt((z * z).sum(axis=1) + 1e-12)
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, cosine: float = COSINE) -> DataFrame:
@@ -219,22 +261,76 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, cosine: float = COSINE) -> DataFrame:
-    """(id, lang, spam_share) of all texts."""
+    """(id, lang, model, spam_share) of all texts; model is the language that judged it, all where none did of its own."""
     feats = cut_lineage(features(docs, id_col, text_col))
     model = fit(feats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             share = np.zeros(b.num_rows)
+            used = []
             for i, (lang, chars, f) in enumerate(zip(*(b[c].to_pylist() for c in ("lang", "chars", "f")))):
-                m = model.get(lang, model.get("und"))
+                own = lang if lang in model else ""
+                used.append(own or "all")
+                m = model.get(own)
                 if not chars or m is None:
                     continue
                 size = np.frombuffer(chars, np.int32)
-                x = np.frombuffer(f, np.float16).reshape(-1, len(FEATURES)).astype(np.float64)
+                x = np.frombuffer(f, np.float16).reshape(-1, WIDTH).astype(np.float64)
+                if lang != "und" and not own:
+                    x[:, :OF_LANGUAGE] = m[0][:OF_LANGUAGE]
                 share[i] = size[flags(m, x, cutoff, cosine)].sum() / size.sum()
-            yield pa.RecordBatch.from_arrays([b["id"], b["lang"], pa.array(share)], names=["id", "lang", "spam_share"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["lang"], pa.array(used, pa.string()), pa.array(share)], names=["id", "lang", "model", "spam_share"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    each = feats.mapInArrow(run, f"id {kind}, lang string, spam_share double")
-    return each.groupBy("id").agg(F.max(F.struct("spam_share", "lang")).alias("x")).select("id", "x.lang", "x.spam_share")
+    each = feats.mapInArrow(run, f"id {kind}, lang string, model string, spam_share double")
+    return each.groupBy("id").agg(F.max(F.struct("spam_share", "lang", "model")).alias("x")).select("id", "x.lang", "x.model", "x.spam_share")
+
+
+#: Documents that spam is made from, by the smallest hashes, and the cutoffs and cosines that are compared.
+SAMPLE, CUTOFFS, COSINES = 2000, (10.0, 15.0, 20.0, 25.0, 30.0), (0.3, 0.5, 0.7)
+
+
+def planted(text: str, seed: int) -> list[tuple[str, bool, str]]:
+    """(kind, is spam, text) made from the words of a text: keywords, links and tags; with a third of it before and after
+    an otherwise clean text, which is no spam; the text itself in three writings."""
+    words = [w for w in regex.findall(r"[\p{L}\p{N}]+", text) if len(w) > 4][:400]
+    if len(words) < 30:
+        return []
+    rng = np.random.default_rng(seed)
+    pick = list(rng.choice(words, 6))
+    phrase = lambda: " ".join(rng.choice(pick, rng.integers(1, 4)))
+    n = max(12, len(text) // 18)
+    keywords = " ".join(phrase() for _ in range(n))
+    links = "\n".join(f"{phrase()} - https://{rng.choice(pick).lower()}{i}.example/{rng.integers(1e5)}" for i in range(max(6, n // 4)))
+    tags = " ".join(f"#{w.lower()}" for w in rng.choice(pick, n))
+    some = keywords[: max(80, len(text) // 3)]
+    return [("keywords", True, keywords), ("comma_list", True, ", ".join(phrase() for _ in range(n))), ("links", True, links), ("tags", True, tags), ("mostly", True, keywords[: 3 * len(text)] + " " + text[: len(keywords) // 4]), ("third", False, text + " " + some), ("clean", False, text), ("lower", False, text.lower()), ("unstopped", False, text.replace(". ", " "))]
+
+
+def validation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(cutoff, cosine, kind, is_spam, n, n_found): how texts of known kind, made from SAMPLE documents, are judged by the models of
+    the corpus, for each cutoff and cosine.  Documents that are found themselves are left out of the sample."""
+    spark = docs.sparkSession
+    feats = cut_lineage(features(docs, id_col, text_col))
+    model = fit(feats)
+    clean = found(docs, id_col, text_col).select(F.col("id").alias(id_col))
+    sample = docs.where(F.length(text_col) >= 300).join(clean, id_col, "left_anti").select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(SAMPLE)
+    grid = [(c, o) for c in CUTOFFS for o in COSINES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for h, t in zip(b["h"].to_pylist(), b["t"].to_pylist()):
+                made = planted(t, h & 0xFFFFFFFF)
+                for (kind, spam, _), (lang, chars, f) in zip(made, windows([x.lower() for _, _, x in made])):
+                    m = model.get(lang if lang in model else "")
+                    if m is None or not len(chars):
+                        continue
+                    d2, toward = _measures(m, f.astype(np.float16).astype(np.float64))
+                    rows += [(c, o, kind, spam, bool(chars[(d2 > c) & (toward >= o)].sum() > 0.5 * chars.sum())) for c, o in grid]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.bool_()))], names=["cutoff", "cosine", "kind", "is_spam", "hit"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = sample.repartition(n).mapInArrow(run, "cutoff double, cosine double, kind string, is_spam boolean, hit boolean")
+    return each.groupBy("cutoff", "cosine", "kind", "is_spam").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_found"))

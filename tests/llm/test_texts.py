@@ -184,3 +184,24 @@ def test_tokens_come_out_before_the_text_ends():
 def _merged(fst, word):
     """The encoding of a prefix without its last tokens, which what follows may change."""
     return fst.merge(word)[:-20]
+
+
+def test_short_texts_other_languages_and_chinese(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng)) for i in range(300)]
+    zh = "这种疾病影响肾脏，有时也影响肝脏。如果发热超过十二天，请咨询专科医生。使用药物治疗从每天九毫克开始，夜间复查。"
+    extra = {1000: "None", 1001: "See above", 1002: "N/A", 1003: ".", 1004: "https://a.example/x", 2000: zh * 3, 2001: "买药 便宜药 " * 40, 3000: "kaunis talo seisoo maella ja valo loistaa ikkunasta ulos pihalle illalla " * 3}
+    d = spark.createDataFrame([*rows, *extra.items()], "doc_id long, text string")
+    got = {r.id: r for r in spam.score(d).where("id >= 1000").collect()}
+    assert not [i for i in (1000, 1001, 1002, 1003, 2000) if got[i].spam_share > 0.5]
+    assert got[2000].lang == "zh" and got[2000].model == "all" and got[3000].model == "all"
+
+
+def test_planted_kinds(spark):
+    rng = random.Random(9)
+    d = spark.createDataFrame([(i, prose(rng, 14)) for i in range(400)], "doc_id long, text string")
+    v = [r for r in spam.validation(d).collect() if (r.cutoff, r.cosine) == (spam.CUTOFF, spam.COSINE)]
+    for is_spam in (True, False):
+        n, hit = (sum(getattr(r, c) for r in v if r.is_spam == is_spam) for c in ("n", "n_found"))
+        assert n > 0 and (hit / n > 0.95 if is_spam else hit / n < 0.05)
+    assert spam.planted("too short", 1) == []
