@@ -9,7 +9,7 @@ difference, so the search is an edit-distance join with a bound k that follows f
   common; at least one of them is untouched by k edits;
 * a training string gives its substrings of the lengths and at the positions that the evaluation strings of all lengths
   in reach may have;
-* pairs that share a segment at allowed positions, and whose 64-bit parity sketches differ in at
+* pairs that share a segment at allowed positions, and whose two 64-bit parity sketches each differ in at
   most k bits (each edit flips one), are settled by banded dynamic programming.
 
 Nothing is lost: the search is exact for strings of every length.  Word frequencies, which give the order, are counted over
@@ -35,7 +35,7 @@ from claimlake.llm import textkit, tiles
 from claimlake.runtime import cut_lineage, width
 
 SKETCH = 1 << 18
-ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("sketch", "<u8"), ("n", "<i4"), ("pos", "<u2"), ("side", "i1")])
+ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("sketch", "<u8"), ("other", "<u8"), ("n", "<i4"), ("pos", "<u2"), ("side", "i1")])
 # The split spellings of the input.
 EVALUATION = ("validation", "val", "dev", "test")
 
@@ -80,9 +80,10 @@ def most_edits(n: int, m: int, least: float) -> int:
     return math.floor((n + m) * (1 - least) / (1 + least) + 1e-9)
 
 
-def parity(words: np.ndarray) -> np.uint64:
-    """64 bits, each the parity of the words that fall on it: sets that differ in k words differ in at most k bits."""
-    return np.bitwise_xor.reduce(np.left_shift(np.uint64(1), words & np.uint64(63)))
+def parity(words: np.ndarray, shift: int = 0) -> np.uint64:
+    """64 bits, each the parity of the words that fall on it: sets that differ in k words differ in at most k bits.
+    Another ``shift`` takes other bits of the hashes: words that meet on one bit of the first sketch hardly do on the second."""
+    return np.bitwise_xor.reduce(np.left_shift(np.uint64(1), (words >> np.uint64(shift)) & np.uint64(63)))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -137,7 +138,7 @@ def _may_match(e: np.ndarray, t: np.ndarray, least: float) -> np.ndarray:
     n, m = e["n"].astype(np.int64), t["n"].astype(np.int64)
     k = np.floor((n + m) * (1 - least) / (1 + least) + 1e-9)
     near = np.abs(e["pos"].astype(np.int64) - t["pos"]) <= k
-    return near & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (np.bitwise_count(e["sketch"] ^ t["sketch"]) <= k)
+    return near & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (np.bitwise_count(e["sketch"] ^ t["sketch"]) <= k) & (np.bitwise_count(e["other"] ^ t["other"]) <= k)
 
 
 def _cross(ev: np.ndarray, tr: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +286,7 @@ def links(items: DataFrame, least: float = 0.8, id_col: str = "id", split_col: s
             words = s[np.lexsort((s, order.value[_buckets(s)]))]
             key, pos = keys(words, side, least)
             e = np.empty(len(key), ENTRY)
-            e["key"], e["node"], e["sketch"], e["n"], e["pos"], e["side"] = key, node, parity(s), len(s), np.minimum(pos, 65535), side
+            e["key"], e["node"], e["sketch"], e["other"], e["n"], e["pos"], e["side"] = key, node, parity(s), parity(s, 6), len(s), np.minimum(pos, 65535), side
             parts.append(e)
         return np.concatenate(parts) if parts else np.zeros(0, ENTRY)
 
