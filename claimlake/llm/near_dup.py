@@ -47,10 +47,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             low = _lowered(batch["text"])
             node, n = np.zeros(len(low), np.int64), np.zeros(len(low), np.int32)
             for a, b in textkit.blocks(low):
-                for i, s in enumerate(textkit.shingles(low[a:b], k), a):
-                    n[i] = len(s)
-                    if len(s):
-                        node[i] = textkit.set_hash(s)[0]
+                sets = textkit.shingles(low[a:b], k)
+                node[a:b] = textkit.set_hashes(sets)
+                n[a:b] = [len(s) for s in sets]
             ok = pa.array(n > 0)
             yield pa.RecordBatch.from_arrays([batch["id"].filter(ok), pa.array(node).filter(ok), pa.array(n).filter(ok)], names=["id", "node", "n"])
 
@@ -87,13 +86,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, k: int, least: float
         out = []
         for a, b in textkit.blocks(low):
             sets, nodes = [], []
-            for s in textkit.shingles(low[a:b], k):
-                if len(s):
-                    node = textkit.set_hash(s)[0]
-                    if node not in seen:
-                        seen.add(node)
-                        sets.append(s)
-                        nodes.append(node)
+            every = textkit.shingles(low[a:b], k)
+            for s, node in zip(every, textkit.set_hashes(every).tolist()):
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    sets.append(s)
+                    nodes.append(node)
             if sets:
                 e = np.empty((len(sets), bands), tiles.ENTRY)
                 e["key"] = band_keys(sets, bands, rows)
@@ -138,7 +136,7 @@ def exact_candidates(docs: DataFrame, id_col: str, text_col: str, k: int, least:
                     np.bitwise_xor.at(row, (s % np.uint64(SKETCH_BITS)).astype(np.int64), 1)
                 packed = np.packbits(bits, axis=1)
                 yield pa.RecordBatch.from_pydict({
-                    "node": pa.array([textkit.set_hash(s)[0] for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "sketch": pa.array([p.tobytes() for p in packed], pa.binary()),
+                    "node": pa.array(textkit.set_hashes(sets)), "n": pa.array([len(s) for s in sets], pa.int32()), "sketch": pa.array([p.tobytes() for p in packed], pa.binary()),
                 })
 
     text = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")

@@ -80,12 +80,6 @@ def most_edits(n: int, m: int, least: float) -> int:
     return math.floor((n + m) * (1 - least) / (1 + least) + 1e-9)
 
 
-def parity(words: np.ndarray, shift: int = 0) -> np.uint64:
-    """64 bits, each the parity of the words that fall on it: sets that differ in k words differ in at most k bits.
-    Another ``shift`` takes other bits of the hashes: words that meet on one bit of the first sketch hardly do on the second."""
-    return np.bitwise_xor.reduce(np.left_shift(np.uint64(1), (words >> np.uint64(shift)) & np.uint64(63)))
-
-
 @functools.lru_cache(maxsize=4096)
 def segments(n: int, least: float) -> tuple[tuple[int, int], ...]:
     """(begin, length) of the k+1 segments of an evaluation string of n words, k for the longest training string in reach."""
@@ -112,25 +106,44 @@ def substrings(m: int, least: float) -> tuple[tuple[int, np.ndarray], ...]:
     return tuple((size, np.flatnonzero(mask)) for size, mask in sorted(wanted.items()))
 
 
-def keys(words: np.ndarray, side: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and positions of the segments (side 1, evaluation) or substrings (side 0) of a string of words."""
-    n = len(words)
-    if side:
-        by: dict[int, list[int]] = {}
-        for at, size in segments(n, least):
-            by.setdefault(size, []).append(at)
-        wanted = [(size, np.array(at)) for size, at in sorted(by.items())]
-    else:
-        wanted = substrings(n, least)
-    out, pos = [], []
-    run, size = np.zeros(n, np.uint64), 0
-    for length, at in wanted:
-        while size < length:
-            run = run[: n - size] * np.uint64(0x9E3779B97F4A7C15) + words[size:]
-            size += 1
-        out.append(textkit.mix64(run[at] + np.uint64(length)))
-        pos.append(at)
-    return (np.concatenate(out), np.concatenate(pos)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+@functools.lru_cache(maxsize=4096)
+def wanted(n: int, side: int, least: float) -> tuple[tuple[int, np.ndarray], ...]:
+    """(length, begins) of the segments (side 1, evaluation) or substrings (side 0) of a string of n words."""
+    if not side:
+        return substrings(n, least)
+    by: dict[int, list[int]] = {}
+    for at, size in segments(n, least):
+        by.setdefault(size, []).append(at)
+    return tuple((size, np.array(at)) for size, at in sorted(by.items()))
+
+
+def entries_of(sets: list[np.ndarray], sides: np.ndarray, nodes: np.ndarray, order: np.ndarray, least: float) -> np.ndarray:
+    """The ENTRY records of non-empty word sets, whole batches at a time."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    begin = np.cumsum(n) - n
+    one = np.uint64(1)
+    sketch, other = (np.bitwise_xor.reduceat(np.left_shift(one, (flat >> np.uint64(shift)) & np.uint64(63)), begin) for shift in (0, 6))
+    # the words of each string, rare ones first
+    words = flat[np.lexsort((flat, order[_buckets(flat)], np.repeat(np.arange(len(n)), n)))]
+    runs, size = [words], 1
+    out = []
+    for m in np.unique(n):
+        for side in (0, 1):
+            own = np.flatnonzero((n == m) & (sides == side))
+            if not len(own):
+                continue
+            for length, at in wanted(int(m), side, least):
+                while size < length:
+                    runs.append(runs[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + words[size:])
+                    size += 1
+                e = np.empty((len(own), len(at)), ENTRY)
+                e["key"] = textkit.mix64(runs[length - 1][begin[own][:, None] + at] + np.uint64(length))
+                for name, v in (("node", nodes), ("sketch", sketch), ("other", other)):
+                    e[name] = v[own][:, None]
+                e["n"], e["pos"], e["side"] = m, np.minimum(at, 65535), side
+                out.append(e.ravel())
+    return np.concatenate(out)
 
 
 def _may_match(e: np.ndarray, t: np.ndarray, least: float) -> np.ndarray:
@@ -269,46 +282,40 @@ def links(items: DataFrame, least: float = 0.8, id_col: str = "id", split_col: s
         for b in batches:
             s = sets_of(b["text"].to_pylist())
             ok = pa.array([len(x) > 0 for x in s])
-            node = pa.array([textkit.set_hash(x)[0] for x in s], pa.int64())
+            node = pa.array(textkit.set_hashes(s))
             yield pa.RecordBatch.from_arrays([b["id"].filter(ok), b["side"].filter(ok), node.filter(ok)], names=["id", "side", "node"])
 
     members = cut_lineage(rows.mapInArrow(classes, f"id {kind}, side int, node long").distinct())
 
     def entries(batch: pa.RecordBatch, seen: set) -> np.ndarray:
-        parts = []
-        for s, side in zip(sets_of(batch["text"].to_pylist()), batch["side"].to_pylist()):
-            if not len(s):
-                continue
-            node = textkit.set_hash(s)[0]
-            if (node, side) in seen:
-                continue
-            seen.add((node, side))
-            words = s[np.lexsort((s, order.value[_buckets(s)]))]
-            key, pos = keys(words, side, least)
-            e = np.empty(len(key), ENTRY)
-            e["key"], e["node"], e["sketch"], e["other"], e["n"], e["pos"], e["side"] = key, node, parity(s), parity(s, 6), len(s), np.minimum(pos, 65535), side
-            parts.append(e)
-        return np.concatenate(parts) if parts else np.zeros(0, ENTRY)
+        sets = sets_of(batch["text"].to_pylist())
+        nodes, sides = textkit.set_hashes(sets), batch["side"].to_numpy()
+        fresh = []
+        for i, key in enumerate(zip(nodes.tolist(), sides.tolist())):
+            if len(sets[i]) and key not in seen:
+                seen.add(key)
+                fresh.append(i)
+        if not fresh:
+            return np.zeros(0, ENTRY)
+        return entries_of([sets[i] for i in fresh], sides[fresh], nodes[fresh], order.value, least)
 
     parts = tiles.parts_for(rows, 30, items.count())
     blocks = tiles.scatter(rows.select("side", "text"), entries, parts)
     cand = _expand(tiles.gather(blocks, lambda r: _reduce(r, least), "a binary, b binary, crossed boolean", parts, ENTRY), least)
-    texts = rows.select("id", "text", "side").withColumn("node_side", F.col("side")).dropDuplicates(["id", "text"])
-    one = members.groupBy("node").agg(F.min("id").alias("id"))
-    return members, _settle(cut_lineage(cand), one, texts, members, least)
+    return members, _settle(cut_lineage(cand), rows.select("id", "text"), members, least)
 
 
-def _settle(cand: DataFrame, one: DataFrame, texts: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """An id may come with two texts; only the text of the class itself may stand for it."""
+def _settle(cand: DataFrame, texts: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Only the classes of candidates need a text; an id may come with two, only that of the class itself may stand for it."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = pa.array([textkit.set_hash(x)[0] for x in sets_of(b["text"].to_pylist())], pa.int64())
-            yield pa.RecordBatch.from_arrays([node, b["text"]], names=["id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(textkit.set_hashes(sets_of(b["text"].to_pylist()))), b["text"]], names=["id", "text"])
 
-    by_class = texts.join(one.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(own, "id long, text string").dropDuplicates(["id"])
-    same = one.select("node", F.col("node").alias("id"))
-    return tiles.verify(cand, same, by_class, sets_of, lambda s, x, y: banded(s, x, y, least), least)
+    nodes = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    by_class = cut_lineage(texts.join(one.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(own, "id long, text string").dropDuplicates(["id"]))
+    return tiles.verify(cand, one.select("node", F.col("node").alias("id")), by_class, sets_of, lambda s, x, y: banded(s, x, y, least), least)
 
 
 def pairs(items: DataFrame, least: float = 0.8, **columns: str) -> DataFrame:

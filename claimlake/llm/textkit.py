@@ -136,6 +136,16 @@ def set_hash(values: np.ndarray) -> tuple[int, int]:
     return _signed(a), _signed(b ^ len(values))
 
 
+def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """The first hash of :func:`set_hash` of many sets at once; 0 for an empty one."""
+    out = np.zeros(len(sets), np.int64)
+    full = np.flatnonzero(np.fromiter(map(len, sets), np.int64, len(sets)))
+    if len(full):
+        at = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+        out[full] = np.add.reduceat(mix64(np.concatenate([sets[i] for i in full])), at).view(np.int64)
+    return out
+
+
 def added(parts: DataFrame, key: str, key_type: str, dtype, rounds: int = 64) -> DataFrame:
     """(key, v): tables of fixed size, sent by tasks as binary arrays (key, v), added up element by element.
 

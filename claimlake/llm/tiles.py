@@ -171,7 +171,7 @@ def verify(cand: DataFrame, members: DataFrame, texts: DataFrame, sets_of: Calla
                 part = batch.slice(o, TILE)
                 block, place, node = (part[c].to_numpy() for c in ("block", "place", "node"))
                 sets = sets_of(part["text"].to_pylist())
-                own = np.fromiter((len(s) > 0 and textkit.set_hash(s)[0] == x for s, x in zip(sets, node)), bool, len(sets))
+                own = (textkit.set_hashes(sets) == node) & (np.fromiter(map(len, sets), np.int64, len(sets)) > 0)
                 at: dict[int, int] = {}
                 if head is not None:
                     at[head[0]] = len(sets)
