@@ -13,8 +13,8 @@ Similarity is the Jaccard coefficient of the sets of ``k``-word sequences.  Step
 With ``exact`` steps 2 and 3 are :func:`exact_candidates`: all classes as parity sketches, tile against tile by exclusive-or and
 bit counts, so that no pair depends on chance; its cost grows with the square of the number of classes.
 
-No group is collected whole: copies are one class per task before the shuffle, large
-groups become tile pairs that are spread over all tasks, and verification streams.
+No group is collected whole: copies are one class per task before the shuffle, a key with very many classes is cut into a
+grid first, large groups become tile pairs that are spread over all tasks, and verification streams.
 
 Defined cases: null, empty and shorter than ``k`` words: no class, in no pair; repeated rows of
 one id: the id counts once, of different texts one by hash; other columns: ignored; empty table: no rows.
@@ -101,8 +101,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, k: int, least: float
         return np.concatenate(out) if out else np.zeros(0, tiles.ENTRY)
 
     text = docs.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    parts = tiles.parts_for(docs, bands, docs.count())
-    blocks = tiles.scatter(text, entries, parts)
+    n = docs.count()
+    parts = tiles.parts_for(docs, bands, n)
+    blocks = tiles.split_hot(tiles.scatter(text, entries, parts), n, parts)
     return tiles.expand(tiles.gather(blocks, lambda r: tiles.tile_pairs(r, least), "a binary, b binary, crossed boolean", parts), least)
 
 

@@ -299,8 +299,10 @@ def links(items: DataFrame, least: float = 0.8, id_col: str = "id", split_col: s
             return np.zeros(0, ENTRY)
         return entries_of([sets[i] for i in fresh], sides[fresh], nodes[fresh], order.value, least)
 
-    parts = tiles.parts_for(rows, 30, items.count())
-    blocks = tiles.scatter(rows.select("side", "text"), entries, parts)
+    n = items.count()
+    parts = tiles.parts_for(rows, 30, n)
+    # a string has a key at most once a position: a key may have as many entries as words, few in questions
+    blocks = tiles.split_hot(tiles.scatter(rows.select("side", "text"), entries, parts), n, parts, ENTRY)
     cand = _expand(tiles.gather(blocks, lambda r: _reduce(r, least), "a binary, b binary, crossed boolean", parts, ENTRY), least)
     return members, _settle(cut_lineage(cand), rows.select("id", "text"), members, least)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.llm import textkit
+from claimlake.runtime import cut_lineage
 
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
 TILE = 256
@@ -58,24 +59,78 @@ def scatter(df: DataFrame, entries: Callable[[pa.RecordBatch, set], np.ndarray],
     return df.mapInArrow(run, "part int, block binary")
 
 
+#: Entries of one key that are gathered by one task at most.
+HOT = 500_000
+
+
+def split_hot(blocks: DataFrame, rows: int, parts: int, entry: np.dtype = ENTRY, limit: int | None = None) -> DataFrame:
+    """``blocks`` as (part, cell, block), the entries of keys with more than ``limit`` (HOT) entries cut into a grid.
+
+    A key has at most one entry a row of the input, so up to ``limit`` rows there is nothing to cut.  Beyond, the blocks
+    are written down and keys counted in them: a key over the limit in F flushes has most of its entries in flushes that hold at
+    least limit/4F of it, so only such counts are added up.  The hot keys are at most as many as fit their entries in all
+    blocks, a few a part.  Each is cut into s pieces by node, and each pair of pieces is a cell that any task can take.
+    """
+    limit = limit or HOT
+    if rows <= limit:
+        return blocks.select("part", F.lit(-1).cast("long").alias("cell"), "block")
+    held = cut_lineage(blocks)
+    flushes = max(1, held.groupBy("part").count().agg(F.max("count")).first()[0] or 1)
+    least = max(1, limit // (4 * flushes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch["block"].to_pylist():
+                key, n = np.unique(np.frombuffer(block, entry)["key"], return_counts=True)
+                big = n >= least
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[big].view(np.int64)), "n": pa.array(n[big].astype(np.int64))})
+
+    found = held.select("block").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 0.75 * limit).collect()
+    if not found:
+        return held.select("part", F.lit(-1).cast("long").alias("cell"), "block")
+    pieces = {r["key"] & ((1 << 64) - 1): -(-2 * r["n"] // limit) for r in found}
+    hot = np.array(sorted(pieces), np.uint64)
+    first = np.cumsum([0, *(pieces[int(k)] ** 2 for k in hot[:-1])])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in zip(batch["part"].to_pylist(), batch["block"].to_pylist()):
+                e = np.frombuffer(block, entry)
+                at = np.minimum(np.searchsorted(hot, e["key"]), len(hot) - 1)
+                is_hot = hot[at] == e["key"]
+                out = [(part, -1, e[~is_hot].tobytes())] if not is_hot.all() else []
+                for h in np.unique(at[is_hot]):
+                    own = e[is_hot & (at == h)]
+                    s = pieces[int(hot[h])]
+                    sub = (textkit.mix64(own["node"].view(np.uint64)) % np.uint64(s)).astype(np.int64)
+                    for i in np.unique(sub):
+                        piece = own[sub == i].tobytes()
+                        for j in range(s):
+                            cell = int(first[h]) + min(i, j) * s + max(i, j)
+                            out.append((int(textkit.mix64(np.array([cell], np.uint64))[0] % np.uint64(parts)), cell, piece))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["part", "cell", "block"])
+
+    return held.mapInArrow(cut, "part int, cell long, block binary")
+
+
 def gather(blocks: DataFrame, reduce: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int, entry: np.dtype = ENTRY) -> DataFrame:
-    """``reduce`` of all entries of each part; a part is bounded by the choice of ``parts``."""
+    """``reduce`` of all entries of each (part, cell); a part is bounded by the choice of ``parts``, a cell by :func:`split_hot`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         at = None
         for batch in batches:
-            for part, block in zip(batch["part"].to_pylist(), batch["block"].to_pylist()):
-                if part != at and held:
+            for part, cell, block in zip(batch["part"].to_pylist(), batch["cell"].to_pylist(), batch["block"].to_pylist()):
+                if (part, cell) != at and held:
                     yield from reduce(np.frombuffer(b"".join(held), entry))
                     held = []
-                at = part
+                at = (part, cell)
                 held.append(block)
         if held:
             yield from reduce(np.frombuffer(b"".join(held), entry))
 
     # parts are even by their hash; a part number is a partition number, so that none gets several
-    return blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
+    return blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "cell").mapInArrow(run, schema)
 
 
 def tile_pairs(rows: np.ndarray, ratio: float) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 import pyarrow as pa
 
 from claimlake.llm import near_dup, textkit, tiles
@@ -102,16 +103,31 @@ def test_hot_key_through_spark(spark):
     rows = np.zeros(n, tiles.ENTRY)
     rows["node"], rows["n"] = np.arange(n), 10
     schema = "a binary, b binary, crossed boolean"
-    d = spark.createDataFrame([(0, rows.tobytes())], "part int, block binary")
+    d = spark.createDataFrame([(0, -1, rows.tobytes())], "part int, cell long, block binary")
     got = tiles.expand(tiles.gather(d, lambda r: tiles.tile_pairs(r, 0.7), schema, 4), 0.7)
     assert got.count() == n * (n - 1) // 2
     # beyond the radius no pair comes out of a crossed tile
     rows["n"][::2] = 20
-    d = spark.createDataFrame([(0, rows.tobytes())], "part int, block binary")
+    d = spark.createDataFrame([(0, -1, rows.tobytes())], "part int, cell long, block binary")
     got = tiles.expand(tiles.gather(d, lambda r: tiles.tile_pairs(r, 0.7), schema, 4), 0.7)
     assert got.where("a % 2 <> b % 2").count() == 0
 
 
+def test_hot_keys_are_cut_into_cells(spark):
+    rng = np.random.default_rng(3)
+    rows = np.zeros(900, tiles.ENTRY)
+    rows["key"], rows["node"], rows["n"] = np.r_[np.full(600, 7), rng.integers(100, 140, 300)], np.arange(900), 10
+    blocks = [(0, rows[i::5].tobytes()) for i in range(5)]
+    d = spark.createDataFrame(blocks, "part int, block binary")
+    schema = "a binary, b binary, crossed boolean"
+    want = {tuple(r) for r in tiles.expand(tiles.gather(tiles.split_hot(d, 100, 4), lambda r: tiles.tile_pairs(r, 0.7), schema, 4), 0.7).collect()}
+    cut = tiles.split_hot(d, 900, 4, limit=120)
+    sizes = [r.s // tiles.ENTRY.itemsize for r in cut.where("cell >= 0").groupBy("cell").agg(F.sum(F.length("block")).alias("s")).collect()]
+    assert len(sizes) > 10 and max(sizes) <= 240
+    got = {tuple(r) for r in tiles.expand(tiles.gather(cut, lambda r: tiles.tile_pairs(r, 0.7), schema, 4), 0.7).collect()}
+    assert got == want and len(want) >= 600 * 599 // 2
+
+
 def test_parts_are_partitions(spark):
     d = spark.createDataFrame([(i % 8, bytes(8)) for i in range(64)], "part int, block binary").repartitionById(8, "part")
     assert [len({r.part for r in p}) for p in d.rdd.glom().collect()] == [1] * 8
