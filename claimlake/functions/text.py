@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Every character that Unicode or Python counts as white space, as both Java and RE2 read it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The token patterns of entity linking and of lexical search.
 KG_TOKEN = r"[a-z0-9]+(?:[a-z0-9\-_/]+)?"
 BM25_TOKEN = r"[a-zA-Z0-9_#+\-]+"
 # Dosage-form words that entity names lose.
@@ -136,12 +137,29 @@ def aliases(c: Column | str, least: int = 3, most: int = 6) -> Column:
     return F.slice(F.array_distinct(F.filter(forms, lambda x: F.length(x) >= least)), 1, most)
 
 
+def numeric_entities(c: Column) -> Column:
+    """Decimal and hexadecimal character references as their characters; numbers that are no character give U+FFFD."""
+    def one(p: Column, i: Column) -> Column:
+        body = F.regexp_extract(p, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        n = F.when(F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(body).try_cast("long")
+        good = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(i == 0, p).when(body == "", F.concat(F.lit("&#"), p)).otherwise(F.concat(char, F.substring(p, F.length(body) + 2, F.length(p))))
+
+    return F.array_join(F.transform(F.split(c, "&#"), one), "")
+
+
+# Named character references that prose uses.
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "deg": "°", "micro": "µ", "times": "×", "eacute": "é", "amp": "&"}
+
+
 def html_text(c: Column | str) -> Column:
-    """Visible text: no script, style and noscript parts, no tags, five entities decoded, white space collapsed."""
+    """Visible text: no script, style and noscript parts, no tags, character references decoded, white space collapsed."""
     s = F.regexp_replace(col(c), r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>", " ")
     s = F.regexp_replace(s, r"<[^>]*>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        s = F.replace(s, F.lit(a), F.lit(b))
+    s = numeric_entities(s)
+    for a, b in ENTITIES.items():
+        s = F.replace(s, F.lit(f"&{a};"), F.lit(b))
     return norm(s)
 
 

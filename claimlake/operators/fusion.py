@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlake.functions import scores
+from claimlake.operators import accessors
 from claimlake.operators.ranking import top_k
 
 
@@ -55,9 +56,36 @@ def _share(c: Column) -> Column:
     return F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
 
 
-def _quantiles(c: Column, name: str) -> list[Column]:
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return [zero(F.min(c)).alias(f"{name}_min"), zero(F.percentile(c, F.lit(0.5))).alias(f"{name}_p50"), zero(F.percentile(c, F.lit(0.9))).alias(f"{name}_p90"), zero(F.max(c)).alias(f"{name}_max")]
+def _range(c: Column, name: str) -> list[Column]:
+    return [F.coalesce(F.min(c), F.lit(0.0)).alias(f"{name}_min"), F.coalesce(F.max(c), F.lit(0.0)).alias(f"{name}_max")]
+
+
+#: Bins a unit of value, of which only those that hold a wanted rank are looked at value by value.
+BINS = 4096
+
+
+def quantiles(rows: DataFrame, group: list[str], values: dict[str, Column], probs: dict[str, float]) -> DataFrame:
+    """(group, <value>_<prob>): exact quantiles, interpolated between neighbouring ranks; null where a value is always null.
+
+    Rows are counted by bin first; the values of the few bins that hold a wanted rank are then counted and ranked, so
+    neither an aggregation buffer nor a window ever holds all distinct values of a group.
+    """
+    each = rows.select(*group, F.inline(F.array(*(F.struct(F.lit(k).alias("name"), c.cast("double").alias("v")) for k, c in values.items())))).where("v IS NOT NULL").withColumn("bin", F.floor(F.col("v") * BINS))
+    key = [*group, "name"]
+    sizes = each.groupBy(*key, "bin").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*key)
+    sizes = sizes.withColumn("n", F.sum("c").over(w)).withColumn("before", F.sum("c").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
+    # the two ranks, from 0, between which each probability lies
+    at = lambda p: F.lit(p) * (F.col("n") - 1)
+    ranks = F.array(*(F.struct(F.lit(k).alias("prob"), F.lit(side).alias("side"), (F.floor(at(p)) if side == "lo" else F.ceil(at(p))).cast("long").alias("rank"), (at(p) - F.floor(at(p))).alias("part")) for k, p in probs.items() for side in ("lo", "hi")))
+    want = sizes.withColumn("x", F.explode(ranks)).where((F.col("x.rank") >= F.col("before")) & (F.col("x.rank") < F.col("before") + F.col("c")))
+    want = want.select(*key, "bin", "before", "x.*")
+    held = each.join(want.select(*key, "bin").distinct(), [*key, "bin"], "left_semi").groupBy(*key, "bin", "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*key, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = held.withColumn("upto", upto).join(want, [*key, "bin"]).where((F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("k")))
+    one = hit.groupBy(*key, "prob").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"), F.max("part").alias("part"))
+    one = one.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    return one.groupBy(*group).agg(*(F.max(F.when((F.col("name") == v) & (F.col("prob") == p), F.col("q"))).alias(f"{v}_{p}") for v in values for p in probs))
 
 
 def summary(fused: DataFrame, file: str, query: str = "query_id") -> DataFrame:
@@ -71,10 +99,11 @@ def summary(fused: DataFrame, file: str, query: str = "query_id") -> DataFrame:
     fl = F.when(has, scores.argmax_enc(F.col("fe"), F.col("fn"), F.col("fc")))
     d = fused.withColumns({"_n": nli, "_f": fl, "_has": has, "_cov": F.col("kg_score") > 0, "_d": F.when(has, F.col("fe") - F.col("pe")), "_ks": F.when(F.col("kg_score") > 0, F.col("kg_score"))})
     if_ = lambda cond, x: F.when(cond, x)
-    return d.groupBy(file).agg(
+    q = quantiles(d, [file], {"kg_score": F.col("kg_score"), "kg_score_cov": F.col("_ks"), "delta_pe": F.col("_d")}, {"p50": 0.5, "p90": 0.9})
+    s = d.groupBy(file).agg(
         F.countDistinct(query).alias("n_queries"), F.count("*").alias("n_claims"), F.count_if("_has").alias("fused_available_claims"), _share(F.col("_has")).alias("fused_available_rate"),
         _share(F.col("_cov")).alias("kg_cov_claim_rate"), _share(F.col("kg_hit")).alias("kg_hit_claim_rate"), _share(F.col("_cov") & F.col("_has")).alias("kg_cov_fused_rate"), _share(F.col("kg_hit") & F.col("_has")).alias("kg_hit_fused_rate"),
-        *_quantiles(F.col("kg_score"), "kg_score"), *_quantiles(F.col("_ks"), "kg_score_cov"), F.coalesce(F.avg("_ks"), F.lit(0.0)).alias("kg_score_cov_mean"),
+        *_range(F.col("kg_score"), "kg_score"), *_range(F.col("_ks"), "kg_score_cov"), F.coalesce(F.avg("_ks"), F.lit(0.0)).alias("kg_score_cov_mean"),
         _share(F.col("_n") == "entailed").alias("nli_ent_rate"), _share(F.col("_n") == "neutral").alias("nli_neu_rate"), _share(F.col("_n") == "contradicted").alias("nli_con_rate"),
         _share(if_(has, F.col("_f") == "entailed")).alias("fused_ent_rate"), _share(if_(has, F.col("_f") == "neutral")).alias("fused_neu_rate"), _share(if_(has, F.col("_f") == "contradicted")).alias("fused_con_rate"),
         _share(F.col("_n") == "entailed").alias("faith_nli"), (1 - _share(F.col("_n") == "entailed")).alias("hall_nli"),
@@ -82,5 +111,13 @@ def summary(fused: DataFrame, file: str, query: str = "query_id") -> DataFrame:
         _share(if_(has, F.col("_f") != F.col("_n"))).alias("pred_change_rate"),
         _share(if_(F.col("_cov"), F.col("_n") == "entailed")).alias("kg_cov_ent_rate_nli"), _share(if_(F.col("_cov") & has, F.col("_f") == "entailed")).alias("kg_cov_ent_rate_fused"),
         _share(if_(F.col("kg_hit"), F.col("_n") == "entailed")).alias("kg_hit_ent_rate_nli"), _share(if_(F.col("kg_hit") & has, F.col("_f") == "entailed")).alias("kg_hit_ent_rate_fused"),
-        *_quantiles(F.col("_d"), "delta_pe"), F.coalesce(F.avg("_d"), F.lit(0.0)).alias("delta_pe_mean"),
+        *_range(F.col("_d"), "delta_pe"), F.coalesce(F.avg("_d"), F.lit(0.0)).alias("delta_pe_mean"),
     )
+    return s.join(q, file, "left").fillna(0.0, [f"{v}_{p}" for v in ("kg_score", "kg_score_cov", "delta_pe") for p in ("p50", "p90")])
+
+
+def with_parameters(summaries: DataFrame, documents_: DataFrame, file: str) -> DataFrame:
+    """Summaries with path, fusion_type, alpha and beta of their files; ``documents_`` has (file, v, claims ARRAY<VARIANT>)."""
+    p = documents_.select(file, accessors.fusion_parameters(F.col("v"), F.col("claims")).alias("_p"))
+    j = summaries.join(p, file, "left").withColumn("path", F.col(file))
+    return j.withColumns({"fusion_type": F.coalesce("_p.fusion_type", F.lit("unknown")), "alpha": F.col("_p.alpha"), "beta": F.col("_p.beta")}).drop("_p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlake.operators.ranking import top_k
+
 LABELS = ("entailed", "contradicted", "neutral")
 
 
@@ -131,3 +133,11 @@ def weighted_share(flag: Column, weight: Column) -> Column:
 def batch(runs: DataFrame, group: list[str], done: Column, covered: Column) -> DataFrame:
     """(group, n_total, n_done, n_skipped, n_zero_coverage) of a run table; done runs that cover nothing are suspicious."""
     return runs.groupBy(*group).agg(F.count("*").alias("n_total"), F.count_if(done).alias("n_done"), F.count_if(~done).alias("n_skipped"), F.count_if(done & (covered == 0)).alias("n_zero_coverage"))
+
+
+def first_overlap(queries: DataFrame, scored: DataFrame, group: str, key: str, order: str, n: int = 200) -> DataFrame:
+    """(group, n_looked, overlap): share of the first ``n`` queries of each group that are among the scored ones.  The cap is the
+    feature: a quick look whether two files belong together."""
+    first = top_k(queries.select(group, key, order) if order != key else queries.select(group, key), [group], n, F.asc(order))
+    known = scored.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_s", F.lit(1.0))
+    return first.join(known, key, "left").groupBy(group).agg(F.count("*").alias("n_looked"), F.avg(F.coalesce("_s", F.lit(0.0))).alias("overlap"))

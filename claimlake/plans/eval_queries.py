@@ -212,3 +212,21 @@ def context_use(t):
     gains = e.groupBy("query_id", "rank").agg(F.count_if(F.col("j") >= 0.12).alias("gain"))
     m = metrics.context_metrics(c, gains, "query_id", 3).join(c.select("query_id", "n_claims"), "query_id")
     return m.select("query_id", "n_claims", *(F.round(x, 6).alias(x) for x in ("context_utilisation", "faithfulness", "hallucination")))
+
+
+@query("WITH " + _BASE + " SELECT substr(query_id, 1, 2) AS file, substr(query_id, 1, 2) AS path, count(*) AS n_claims, CASE substr(query_id, 1, 2) WHEN 'pu' THEN 'alpha' WHEN 'me' THEN 'beta' ELSE 'unknown' END AS fusion_type, CASE substr(query_id, 1, 2) WHEN 'pu' THEN 0.8 WHEN 'me' THEN 0.7 END::DOUBLE AS alpha, CASE WHEN substr(query_id, 1, 2) = 'me' THEN 0.6 END::DOUBLE AS beta FROM ff GROUP BY 1")
+def fusion_run_columns(t):
+    """The columns of a summary that come from the configuration of its file."""
+    f = _fused(t).withColumn("file", F.substring("query_id", 1, 2))
+    config = F.when(F.col("file") == "pu", '{"kg_fusion_config": {"alpha": 0.8}}').when(F.col("file") == "me", '{"kg_fusion_config": {"alpha": 0.7, "beta": "0.6"}}').otherwise("{}")
+    docs = f.select("file").distinct().select("file", F.parse_json(config).alias("v"), F.array().cast("array<variant>").alias("claims"))
+    s = fusion.with_parameters(fusion.summary(f, "file"), docs, "file")
+    return s.select("file", "path", "n_claims", "fusion_type", "alpha", "beta")
+
+
+@query("WITH " + _BASE + """, fq AS (SELECT query_id, row_number() OVER (PARTITION BY substr(query_id, 1, 2) ORDER BY query_id) AS i FROM (SELECT DISTINCT query_id FROM ff))
+SELECT substr(query_id, 1, 2) AS file, count(*) AS n_looked, round(avg(CAST(query_id IN (SELECT query_id FROM kge_scores) AS DOUBLE)), 6) AS overlap FROM fq WHERE i <= 20 GROUP BY 1""")
+def first_overlap(t):
+    """Share of the first queries of each file that have scores; here the first 20, as a file's diagnostics have the first 200."""
+    q = _claims(t).select("query_id").distinct().withColumn("file", F.substring("query_id", 1, 2))
+    return metrics.first_overlap(q, t("kge_scores"), "file", "query_id", "query_id", 20).withColumn("overlap", F.round("overlap", 6))

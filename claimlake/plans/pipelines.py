@@ -138,9 +138,10 @@ def evaluate_checker(pairs: DataFrame, client, prompt: str = "prompt", label: st
     return {"rows": rows, "per_label": metrics.per_label(rows, label, "pred"), "summary": summary, "confusion": metrics.confusion(rows, label, "pred")}
 
 
-def evaluate_overlap(teacher: DataFrame, gold: DataFrame, key: str = "query_id", listed: str = "pred_claims") -> tuple[DataFrame, DataFrame]:
-    """Claim overlap of each query that both sides have, last row of a query counting, and its macro mean."""
-    side = lambda d: d.groupBy(key).agg(F.last(listed).alias(listed)).select(key, F.transform(listed, text.claim_form).alias("claims"))
+def evaluate_overlap(teacher: DataFrame, gold: DataFrame, key: str = "query_id", listed: str = "pred_claims", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Claim overlap of each query that both sides have, and its macro mean.  Of several rows of a query the last by ``order``
+    counts, such as the position at which it was read; without one the largest list, so that the result does not depend on chance."""
+    side = lambda d: d.groupBy(key).agg((F.max_by(listed, F.struct(order, listed)) if order else F.max(listed)).alias(listed)).select(key, F.transform(listed, text.claim_form).alias("claims"))
     per = metrics.overlap(side(teacher), side(gold), key, "claims")
     return per, per.agg(F.count("*").alias("n"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")))
 

@@ -50,15 +50,15 @@ def paragraph_clean(t):
     return t("documents").select("doc_id", F.md5(clean).alias("clean_md5"), (F.length(clean) >= 300).alias("long_enough"))
 
 
-_HTML = "'<html><head><style>p {x: y}</style></head><body><p>' || coalesce(text, '') || '</p><script>if (a < b) run()</script>&amp;&nbsp;end</body></html>'"
+_HTML = "'<html><head><style>p {x: y}</style></head><body><p>' || coalesce(text, '') || '</p><script>if (a < b) run()</script>&amp;&nbsp;end &#8211; &#x41;&#xD800;&rsquo; &#; &#12</body></html>'"
 _HT = f"regexp_replace(regexp_replace({_HTML}, '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+for _a, _b in (("&#8211;", "–"), ("&#x41;", "A"), ("&#xD800;", "�"), ("&rsquo;", "’"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
     _HT = f"replace({_HT}, '{_a}', '{_b}')"
 
 
 @query(f"SELECT doc_id, md5({NORM(_HT)}) AS visible_md5 FROM documents")
 def html_to_text(t):
-    page = F.concat(F.lit("<html><head><style>p {x: y}</style></head><body><p>"), F.coalesce("text", F.lit("")), F.lit("</p><script>if (a < b) run()</script>&amp;&nbsp;end</body></html>"))
+    page = F.concat(F.lit("<html><head><style>p {x: y}</style></head><body><p>"), F.coalesce("text", F.lit("")), F.lit("</p><script>if (a < b) run()</script>&amp;&nbsp;end &#8211; &#x41;&#xD800;&rsquo; &#; &#12</body></html>"))
     return t("documents").select("doc_id", F.md5(text.html_text(page)).alias("visible_md5"))
 
 
