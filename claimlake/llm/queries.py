@@ -131,6 +131,16 @@ SQL: dict[str, str] = {
         c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
         SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.7 * (x.n + y.n - c)
     """,
+    "p3_groups": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS class FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.7 * (x.n + y.n - c)), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT DISTINCT a AS doc_id, a AS top FROM e UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.doc_id),
+        k AS (SELECT e.a AS doc_id, count(DISTINCT y.class) FILTER (WHERE y.class <> x.class) + count(*) FILTER (WHERE y.class = x.class) AS n_links FROM e JOIN n x ON x.doc_id = e.a JOIN n y ON y.doc_id = e.b GROUP BY 1)
+        SELECT r.doc_id, min(top) AS group_id, any_value(n_links) AS n_links FROM r JOIN k ON k.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
     "p4_found": """
         SELECT 'documents' AS rec_table, CAST(doc_id AS VARCHAR) AS rec_key, CAST(0 AS INTEGER) AS pos FROM documents WHERE length(text) > 2000
         UNION
