@@ -29,16 +29,21 @@ def postings(corpus: DataFrame, key: str, content: str, only: DataFrame | None =
     return each.groupBy("token", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def document_frequencies(corpus: DataFrame, key: str, content: str) -> DataFrame:
-    """(token, df): each document counts a token once, so counting is merged before the shuffle."""
-    return _tokens(corpus, key, content).select(F.explode(F.array_distinct("_t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-
 def lengths(corpus: DataFrame, key: str, content: str) -> DataFrame:
     """One row (n_docs, avgdl) over all documents, empty ones included."""
     return corpus.where(F.col(key).isNotNull()).agg(F.count("*").alias("n_docs"), F.avg(F.size(text.bm25_tokens(F.coalesce(F.col(content), F.lit(""))))).alias("avgdl"))
 
 
+def statistics(corpus: DataFrame, key: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """((token, df), one row (n_docs, avgdl)) of one reading of the corpus, kept in the checkpoint folder: each document counts a
+    token once, and adds its length under no token, so both are merged before the shuffle."""
+    none = F.struct(F.lit(None).cast("string").alias("token"), F.size("_t").cast("long").alias("dl"))
+    each = F.concat(F.transform(F.array_distinct("_t"), lambda x: F.struct(x.alias("token"), F.lit(0).cast("long").alias("dl"))), F.array(none))
+    g = cut_lineage(_tokens(corpus, key, content).select(F.inline(each)).groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")))
+    stats = g.where("token IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_docs"), F.try_divide(F.sum("dl"), F.sum("df")).alias("avgdl"))
+    return g.where("token IS NOT NULL").select("token", "df"), stats
+
+
 def idf(frequencies: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(token, df, idf); negative values become ``epsilon`` times the mean over all tokens."""
     raw = frequencies.crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # stats is one row
@@ -59,8 +64,8 @@ def bm25(queries: DataFrame, qkey: str, qtext: str, corpus: DataFrame, key: str,
     to the tasks if they are at most SENT; else both sides carry a salt, so that the occurrences of a common
     token are spread over SALTS tasks.  Only occurrences of asked tokens are shuffled, by query and document.
     """
-    stats = lengths(corpus, key, content)
-    weights = idf(document_frequencies(corpus, key, content), stats)
+    frequencies, stats = statistics(corpus, key, content)
+    weights = idf(frequencies, stats)
     toks = queries.select(qkey, text.bm25_tokens(F.coalesce(F.col(qtext), F.lit(""))).alias("_t"))
     asked = toks.select(F.array_sort("_t").alias("_a")).distinct().withColumn("_q", F.xxhash64("_a")).select("_q", F.explode("_a").alias("token")).groupBy("_q", "token").agg(F.count("*").alias("qn"))
     w = cut_lineage(asked.join(weights.select("token", "idf"), "token").crossJoin(F.broadcast(stats.select("avgdl"))))  # one row
