@@ -8,6 +8,7 @@ from claimlake.plans import distill_queries as _distill  # noqa: F401 - register
 from claimlake.plans import eval_queries as _eval  # noqa: F401 - registers its queries
 from claimlake.plans import io_queries as _io  # noqa: F401 - registers its queries
 from claimlake.plans import kg_queries as _kg  # noqa: F401 - registers its queries
+from claimlake.plans import pipeline_queries as _pipelines  # noqa: F401 - registers its queries
 from claimlake.plans import retrieval_queries as _retrieval  # noqa: F401 - registers its queries
 from claimlake.plans import text_queries as _text  # noqa: F401
 
