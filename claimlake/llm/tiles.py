@@ -206,18 +206,24 @@ def expand(items: DataFrame, ratio: float) -> DataFrame:
     return items.repartition(max(2, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "a long, b long").distinct()
 
 
+#: Partners of a node that are settled in one stream.
+SPLIT = 4096
+
+
 def verify(cand: DataFrame, members: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]], decide: Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
     """(a, b, jaccard) of the candidate pairs (a, b) of nodes that reach ``least``.
 
     ``members`` (id, node) and ``texts`` (id, text) give the text of one member of each node; of several texts of
     an id only those of the node itself count.  Rows travel to the block of the smaller node and stream
-    there in tiles, whose pairs ``decide`` settles exactly.
+    there in tiles, whose pairs ``decide`` settles exactly; a node with more than SPLIT partners has several blocks.
     """
     first = members.groupBy("node").agg(F.min("id").alias("id"))
-    wanted = cand.select(F.col("a").alias("block"), F.col("b").alias("node"), F.lit(1).alias("place")).unionByName(
-        cand.select(F.col("a").alias("block"), F.col("a").alias("node"), F.lit(0).alias("place")).distinct()
+    many = cand.groupBy("a").agg(F.count("*").alias("_c")).where(F.col("_c") > SPLIT).select("a", F.ceil(F.col("_c") / SPLIT).alias("_s"))
+    salted = cand.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_s")), F.lit(0)).alias("salt"))
+    wanted = salted.select(F.col("a").alias("block"), "salt", F.col("b").alias("node"), F.lit(1).alias("place")).unionByName(
+        salted.select(F.col("a").alias("block"), "salt", F.col("a").alias("node"), F.lit(0).alias("place")).distinct()
     )
-    placed = wanted.join(first, "node").join(texts, "id").select("block", "place", "node", "text")
+    placed = wanted.join(first, "node").join(texts, "id").select("block", "salt", "place", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: tuple[int, np.ndarray] | None = None
@@ -242,7 +248,7 @@ def verify(cand: DataFrame, members: DataFrame, texts: DataFrame, sets_of: Calla
                 head = (last, sets[at[last]]) if last in at else None
 
     n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "block").sortWithinPartitions("block", "place").mapInArrow(run, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    return placed.repartition(n, "block", "salt").sortWithinPartitions("block", "salt", "place").mapInArrow(run, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
