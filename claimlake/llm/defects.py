@@ -79,13 +79,15 @@ _OPENER = regex.compile(r"^[\s\W]*(?:as an? \w+|(?:i(?:'m| am) (?:\w+ ){0,2})?so
 _LISTED = regex.compile(r"^\s*(?:[-*•·–]|\d{1,3}[.)])\s+\S")
 _BARE_ITEM = regex.compile(r"\S\s*\n[ \t]*(?:[-*•·–]|\d{1,3}[.)])$")
 _SEGMENT = regex.compile(r"[.!?。！？;；\n]")
+_CJK = regex.compile(r"[\u3400-\u9fff]")
 _URL_END = regex.compile(r"https?://\S+$|\bwww\.\S+$")
 _CLOSED = frozenset(".!?。！？")
 _ELLIPSIS = ("...", "…")
 _AFTER_CLOSED = "\"'”’»)]*_  \t\n"
 _HANGING = frozenset(",;:，；、([{-–/&+")
 
-LANGS = tuple(FUNCTION_WORDS)
+#: Languages told by their words; Chinese, which has no spaces, is told by its script.
+LANGS = tuple(k for k in FUNCTION_WORDS if k != "zh")
 #: The half counts of the word model are dealt over so many words a language.
 SMOOTH = 1 << 18
 #: Words that the language model holds are at least one in so many of all words, which bounds their number.
@@ -110,9 +112,9 @@ _fw: dict[str, np.ndarray] = {}
 
 def _function_sets() -> dict[str, np.ndarray]:
     if not _fw:
-        for k, v in FUNCTION_WORDS.items():
-            _fw[k] = np.unique(textkit.words([v])[0])
-    return {k: v for k, v in _fw.items() if k}
+        for k in LANGS:
+            _fw[k] = np.unique(textkit.words([FUNCTION_WORDS[k]])[0])
+    return {k: _fw[k] for k in LANGS}
 
 
 def _all_function_words() -> np.ndarray:
@@ -133,6 +135,9 @@ def _scan_texts(low: list[str]) -> tuple[np.ndarray, ...]:
     cp, ends_of, begin, end, h = textkit.scan(low)
     of = np.searchsorted(ends_of, begin)
     stop = np.isin(cp, np.frombuffer(".!?。！？;；\n".encode("utf-32-le"), np.uint32))
+    # dots in a row stand for what is left out, they close nothing
+    dot = cp == 46
+    stop &= ~(dot & (np.r_[False, dot[:-1]] | np.r_[dot[1:], False])) if len(cp) else stop
     # a stop before the next word of the same text, with only marks and spaces between
     sums = np.r_[0, np.cumsum(stop)]
     digit = np.r_[0, np.cumsum((cp >= 48) & (cp < 58))]
@@ -181,7 +186,6 @@ def counts(rows: DataFrame) -> DataFrame:
     """(kind, h, n, open_ends, sure, sure_end, lang_...): exact counts of the words and pairs of all questions and answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fw = _function_sets()
         parts: list[np.ndarray] = []
         held = 0
         names = ["kind", "h", *COUNTS]
@@ -192,7 +196,7 @@ def counts(rows: DataFrame) -> DataFrame:
                     h, of, ends, last = _scan_texts(low[a:b])
                     if not len(h):
                         continue
-                    hits = np.stack([np.bincount(of[np.isin(h, v)], minlength=b - a) for v in fw.values()])
+                    hits = _function_hits(h, of, b - a)
                     size = np.bincount(of, minlength=b - a)
                     lang = np.array([_seed_language(hits[:, i], size[i]) for i in range(b - a)])[of]
                     by_lang = [lang == k for k in range(len(LANGS))]
@@ -240,27 +244,36 @@ def word_model(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], weight.clip(-4, 4).astype(np.float16)
 
 
+def _function_hits(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """How many function words of each language each of n texts has."""
+    if "table" not in _fw:
+        every = _all_function_words()
+        _fw["table"] = np.stack([np.isin(every, v) for k, v in _function_sets().items()])
+    every, table = _fw[""], _fw["table"]
+    at = np.minimum(np.searchsorted(every, h), len(every) - 1)
+    hit = np.flatnonzero(every[at] == h)
+    at, of = at[hit], of[hit]
+    return np.stack([np.bincount(of[row[at]], minlength=n) for row in table])
+
+
 def _languages(low: list[str], known: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
     """For each text: language by function words or -1, by the word model or -1, and the share of Chinese characters."""
     out: list = []
-    fw = _function_sets()
     for a, b in textkit.blocks(low):
         h, of = textkit.words(low[a:b])
         size = np.bincount(of, minlength=b - a)
-        hits = np.stack([np.bincount(of[np.isin(h, v)], minlength=b - a) for v in fw.values()])
-        w = np.zeros((len(LANGS), len(h)), np.float32)
-        if len(known):
+        hits = _function_hits(h, of, b - a)
+        score = np.zeros((len(LANGS), b - a))
+        if len(known) and len(h):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            w = np.where(known[at] == h, weight[:, at], 0).astype(np.float32)
-        score = np.stack([np.bincount(of, weights=w[k], minlength=b - a) for k in range(len(LANGS))])
-        for i in range(b - a):
-            t = low[a + i]
-            cjk = 0.0 if t.isascii() else sum(0x3400 <= ord(c) < 0xA000 for c in t) / max(1, len(t))
-            s = np.sort(score[:, i])
-            order = np.sort(hits[:, i])
-            f = int(np.argmax(hits[:, i])) if order[-1] >= 2 and order[-1] > 1.5 * order[-2] else -1
-            m = int(np.argmax(score[:, i])) if size[i] >= 3 and s[-1] - s[-2] > 3 else -1
-            out.append((f, m, cjk))
+            told = np.flatnonzero(known[at] == h)
+            w = weight[:, at[told]].astype(np.float32)
+            score = np.stack([np.bincount(of[told], weights=x, minlength=b - a) for x in w])
+        s, order = np.sort(score, axis=0), np.sort(hits, axis=0)
+        f = np.where((order[-1] >= 2) & (order[-1] > 1.5 * order[-2]), np.argmax(hits, axis=0), -1)
+        m = np.where((size >= 3) & (s[-1] - s[-2] > 3), np.argmax(score, axis=0), -1)
+        cjk = [0.0 if t.isascii() else len(_CJK.findall(t)) / max(1, len(t)) for t in low[a:b]]
+        out += zip(f.tolist(), m.tolist(), cjk)
     return out
 
 
@@ -283,7 +296,8 @@ def _votes_one(q: str, a: str, raw: str, la, lq) -> tuple[tuple[int, ...], tuple
         return ((1, 1, 0) if not words else (0, 1, 0)) + (-1,) * 19, None
 
     # copies_question
-    own = _WORD.findall(_LABEL.sub("", a, count=1))
+    label = _LABEL.match(a)
+    own = _WORD.findall(a, label.end()) if label else words if "<" not in a and "&" not in a else _WORD.findall(a)
     asked = _WORD.findall(q)
     if asked and len(own) >= 2:
         inside = set(asked)

@@ -48,3 +48,10 @@ def test_a_piece_stays_a_piece_however_often_texts_break_off_at_it(spark):
     asked = spark.createDataFrame([("t", "x", list(votes), *keys)], "rec_table string, id string, votes array<tinyint>, last bigint, pair bigint, before bigint, whole bigint, hangs boolean, listed boolean")
     got = defects.ends(asked, defects.counts(defects.rows_of(d, "t", "answer", "loaded_at"))).first().votes
     assert dict(zip(defects.FUNCTIONS["truncated"], got[-7:]))["fragment"] == 1
+
+
+def test_dots_in_a_row_close_nothing(spark):
+    low = ["side effects range from mild to... a rash. it helps a lot.", "side effects range from mild to…"]
+    h, of, ends, last = defects._scan_texts(low)
+    words = [w for t in low for w in __import__("re").findall(r"\w+", t)]
+    assert [w for w, e in zip(words, ends) if e] == ["rash", "lot"] and last.sum() == 2
