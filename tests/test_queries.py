@@ -54,3 +54,18 @@ def test_plans(spark, data):
     assert "PushedFilters: [IsNotNull(query_id)]" in _plan(catalog.QUERIES["topk_edges"](spark, data))
     scan = _plan(catalog.QUERIES["union_splits"](spark, data))
     assert "ReadSchema: struct<dataset:string>" in scan
+
+
+def test_retrieval_plans(spark, data):
+    dense = _plan(catalog.QUERIES["dense_topk"](spark, data))
+    assert "MapInArrow" in dense and "CoGroup" not in dense  # the corpus streams past the queries
+    bm25 = _plan(catalog.QUERIES["bm25_topk"](spark, data))
+    assert "BroadcastHashJoin" in bm25 and "CartesianProduct" not in bm25
+    counts = _plan(catalog.QUERIES["kg_token_counts"](spark, data))
+    assert counts.count("Exchange hashpartitioning") == 1 and "partial_count" in counts
+    near = _plan(catalog.QUERIES["near_vectors"](spark, data))
+    assert "NestedLoop" not in near and "CartesianProduct" not in near
+
+
+def test_summary_holds_no_percentile_buffer(spark, data):
+    assert "percentile(" not in _plan(catalog.QUERIES["fusion_summary"](spark, data))
