@@ -90,7 +90,7 @@ def p1_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of known kind, made from a bounded sample, under several cutoffs and cosines."""
+    """Texts of known kind, made from every document, under several cutoffs and cosines."""
     return spam.validation(_t(spark, d, "documents"))
 
 

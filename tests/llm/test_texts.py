@@ -205,3 +205,42 @@ def test_planted_kinds(spark):
         n, hit = (sum(getattr(r, c) for r in v if r.is_spam == is_spam) for c in ("n", "n_found"))
         assert n > 0 and (hit / n > 0.95 if is_spam else hit / n < 0.05)
     assert spam.planted("too short", 1) == []
+
+
+def test_every_document_is_validated(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 18)) for i in range(2100)] + [(i, "cheap pills " * 200) for i in range(5000, 5003)]
+    rows += [(5000, prose(rng, 18)), (None, prose(rng, 18)), (6000, None), (6001, "too short")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spam.validation(d).collect()
+    assert {r.n for r in got} == {2100} and len(got) == len(spam.CUTOFFS) * len(spam.COSINES) * len(spam.KINDS)
+    assert spam.validation(d.where("false")).count() == 0
+    # words are drawn from the whole text
+    assert "later" in spam.planted("first " * 400 + "later " * 4000, 3)[0][2]
+
+
+def test_validation_judges_as_the_score_does(spark):
+    import numpy as np
+
+    rng = random.Random(13)
+    spanish = " ".join(["El médico explica que la paciente tiene fiebre alta y que no se debe esperar más para tomar un remedio suave en la noche."] * 4)
+    docs = {i: prose(rng, rng.randrange(18, 30)) for i in range(120)} | {900: spanish}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    model = spam.fit(spam.features(d, "doc_id", "text"))
+    assert "es" not in model and spam.windows([spanish.lower()])[0][0] == "es"
+    made = [(i, kind, t) for i, h in d.select("doc_id", F.xxhash64("doc_id")).collect() for kind, _, t in spam.planted(docs[i], h & 0xFFFFFFFF)]
+    want = dict.fromkeys(spam.KINDS, 0)
+    for _, kind, t in made:
+        lang, chars, f = spam.windows([t.lower()])[0]
+        x = spam._seen(model, lang, f.astype(np.float16).astype(float))
+        want[kind] += bool(chars[spam.flags(model.get(lang, model[""]), x)].sum() > 0.5 * chars.sum())
+    got = {r.kind: (r.n, r.n_found) for r in spam.validation(d).collect() if (r.cutoff, r.cosine) == (spam.CUTOFF, spam.COSINE)}
+    assert got == {k: (121, n) for k, n in want.items()} and want["keywords"] > 100
+
+
+def test_windows_are_of_the_text_alone():
+    rng = random.Random(14)
+    texts = ["", "a", "http://x"] + ["".join(rng.choice("ab the of la 中文的 \n\t,.;-://  $#\u00a0\u3000é\U0001f600") for _ in range(rng.randrange(900))) for _ in range(200)]
+    for t, (lang, chars, f) in zip(texts, spam.windows(texts)):
+        own = spam.windows([t])[0]
+        assert lang == own[0] and chars.tolist() == own[1].tolist() and f.tolist() == own[2].tolist()
